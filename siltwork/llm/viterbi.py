@@ -9,19 +9,19 @@ _NEVER = -1e9
 
 
 def _step(score: np.ndarray, move: np.ndarray | float) -> np.ndarray:
-    """The best score of each label before the next emission. move: a matrix, or the cost of any change of label."""
+    """The best score of each label (first axis) before the next emission. move: a matrix, or the cost of any change of label."""
     if isinstance(move, np.ndarray):
-        return (score[..., :, None] + move).max(-2)
-    return np.maximum(score, score.max(-1, keepdims=True) - move)
+        shape = (*move.shape, *[1] * (score.ndim - 1))
+        return (score[:, None] + move.reshape(shape)).max(0)
+    return np.maximum(score, score.max(0) - np.float32(move))
 
 
 def _back(score: np.ndarray, move: np.ndarray | float) -> np.ndarray:
     """The label that each label comes from."""
     if isinstance(move, np.ndarray):
-        return (score[..., :, None] + move).argmax(-2).astype(np.int8)
-    best = score.argmax(-1).astype(np.int8)[..., None]
-    own = np.arange(score.shape[-1], dtype=np.int8)
-    return np.where(score >= score.max(-1, keepdims=True) - move, own, best)
+        return (score[:, None] + move[:, :, None]).argmax(0).astype(np.int8)
+    own = np.arange(len(score), dtype=np.int8)[:, None]
+    return np.where(score >= score.max(0) - np.float32(move), own, score.argmax(0).astype(np.int8))
 
 
 def decode(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray | float) -> np.ndarray:
@@ -30,7 +30,7 @@ def decode(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray | float) -> n
     out = np.zeros(rows, np.int8)
     if not rows:
         return out
-    emit = emit.astype(np.float32)
+    emit = np.ascontiguousarray(emit.T, np.float32)
     ends = np.cumsum(lengths)
     begins = ends - lengths
     per = -(-lengths // CHUNK)
@@ -44,43 +44,43 @@ def decode(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray | float) -> n
     longest = int(per.max())
     #: by_rank[k]: the chunks that are the k-th of their sequence
     by_rank = np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank, minlength=longest))[:-1])
-
-    enter = np.zeros((len(owner), labels), np.float32)
     fresh = rank == 0  # their first row comes from no other
+
+    enter = np.zeros((labels, len(owner)), np.float32)
     if longest > 1:
-        maps = np.full((len(owner), labels, labels), _NEVER, np.float32)
-        maps[:, np.arange(labels), np.arange(labels)] = 0
+        maps = np.full((labels, labels, len(owner)), _NEVER, np.float32)  # last label, label before the chunk
+        maps[np.arange(labels), np.arange(labels)] = 0
         for t, m in enumerate(live):
-            maps[:m] = _step(maps[:m], move)
+            maps[:, :, :m] = _step(maps[:, :, :m], move)
             if not t:
-                maps[fresh] = 0
-            maps[:m] += emit[begin[:m] + t][:, None, :]
-        state = np.zeros((len(lengths), labels), np.float32)
+                maps[:, :, fresh] = 0
+            maps[:, :, :m] += emit[:, begin[:m] + t][:, None]
+        state = np.zeros((labels, len(lengths)), np.float32)
         for k, chunks in enumerate(by_rank):
             if k:
-                enter[chunks] = state[owner[chunks]]
-            after = (enter[chunks][:, :, None] + maps[chunks]).max(1)
-            state[owner[chunks]] = after - after.max(-1, keepdims=True)
-    score, back = enter.copy(), np.zeros((CHUNK, len(owner), labels), np.int8)
+                enter[:, chunks] = state[:, owner[chunks]]
+            after = (enter[None][:, :, chunks] + maps[:, :, chunks]).max(1)
+            state[:, owner[chunks]] = after - after.max(0)
+    score, back = enter.copy(), np.zeros((CHUNK, labels, len(owner)), np.int8)
     for t, m in enumerate(live):
-        back[t, :m] = _back(score[:m], move)
-        score[:m] = _step(score[:m], move)
+        back[t, :, :m] = _back(score[:, :m], move)
+        score[:, :m] = _step(score[:, :m], move)
         if not t:
-            score[fresh] = 0
-        score[:m] += emit[begin[:m] + t]
-    lead = np.tile(np.arange(labels, dtype=np.int8), (len(owner), 1))  # a chunk's last label -> the label before the chunk
+            score[:, fresh] = 0
+        score[:, :m] += emit[:, begin[:m] + t]
+    lead = np.repeat(np.arange(labels, dtype=np.int8)[:, None], len(owner), axis=1)  # a chunk's last label -> the label before the chunk
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
-        lead[:m] = np.take_along_axis(back[t, :m], lead[:m].astype(np.intp), axis=1)
+        lead[:, :m] = np.take_along_axis(back[t, :, :m], lead[:, :m].astype(np.intp), axis=0)
     last = np.zeros(len(owner), np.int8)
     follow = np.zeros(len(lengths), np.int8)
     for k in range(longest - 1, -1, -1):
         chunks = by_rank[k]
         final = rank[chunks] == per[owner[chunks]] - 1
-        last[chunks] = np.where(final, score[chunks].argmax(1).astype(np.int8), follow[owner[chunks]])
-        follow[owner[chunks]] = lead[chunks, last[chunks]]
+        last[chunks] = np.where(final, score[:, chunks].argmax(0).astype(np.int8), follow[owner[chunks]])
+        follow[owner[chunks]] = lead[last[chunks], chunks]
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         out[begin[:m] + t] = last[:m]
-        last[:m] = back[t, np.arange(m), last[:m]]
+        last[:m] = back[t, last[:m], np.arange(m)]
     return out
