@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import decontaminate, language, packing, registry, secrets, warc
+from siltwork.llm import chosenpath, decontaminate, language, packing, registry, secrets, warc
 
 
 
@@ -18,6 +18,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("__rejected")), "left_anti")
 
 
+def remove_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of copies and near copies."""
+    return chosenpath.without_duplicates(docs)
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark passage."""
     return decontaminate.clean(docs, registry.table(spark, sf_dir, "benchmark"))
@@ -35,6 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language", identify_language),
+    ("duplicates", remove_duplicates),
     ("decontamination", remove_benchmark),
     ("secrets", mask_secrets),
     ("packing", pack_sequences),

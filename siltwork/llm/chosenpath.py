@@ -205,9 +205,23 @@ def _compare_group(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(links.astype(np.int64)), pa.array(rows[root])], names=["row", "links", "root"])
 
 
-def join(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """One row per document: class_id (the least doc_id of its connected component of links and copies), n_links (other
     shingle sets that it resembles by at least 4/5), n_copies (other documents with its own set)."""
+    return classes(docs, **options).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def without_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The documents, all columns, with one row of each class: the one of the least doc_id. Rows without words stay."""
+    all_rows = classes(docs, **options).where("root is not null")
+    first = all_rows.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    gone = all_rows.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__gone")).checkpoint()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_MEMBERS else gone
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+
+
+def classes(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, row (its number in reading), root (a row that stands for its class, null without words), class_id, n_links, n_copies."""
     runs = runs_for(recall, similarity)
     floor = similarity - 3 * math.sqrt(similarity * (1 - similarity) / TOKENS)
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_column].alias("text"))
@@ -296,8 +310,8 @@ def join(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_colu
     group = components(compared.where("row != root").select(F.col("row").alias("a"), F.col("root").alias("b")))
     sets = sets.join(linked, "row", "left").join(group, F.col("row") == F.col("node"), "left").select(*key, "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "row").alias("root"))
     least = sets.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    sets = sets.join(least, "root").select(*key, "class_id", "links", "copies")
-    return nodes.select("doc_id", *key).join(sets, key, "left").select(
-        "doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+    sets = sets.join(least, "root").select(*key, "root", "class_id", "links", "copies")
+    return nodes.select("doc_id", "row", *key).join(sets, key, "left").select(
+        "doc_id", "row", "root", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_copies"),
     )

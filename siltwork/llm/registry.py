@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import decontaminate, language, packing, pii, quality, secrets, tokencount, warc, wrappers
+from siltwork.llm import chosenpath, decontaminate, language, packing, pii, quality, secrets, tokencount, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.join(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -58,7 +62,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_language, op3_main_text, op4_packing, op5_secrets, op6_warc, op8_token_counts, op9_decontamination, op10_private_data)}
+    return {f.__name__: f for f in (op1_repetition, op2_language, op3_main_text, op4_packing, op5_secrets, op6_warc, op7_similarity_join, op8_token_counts, op9_decontamination, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
