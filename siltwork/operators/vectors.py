@@ -24,12 +24,8 @@ def _limit(k: int) -> int:
     return k
 
 
-def scores(points: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, score of each query with each point. The stated queries (query_id, query vector) are few and
-    are sent to every task; points are read once and not shuffled, and each task does one matrix product a batch."""
-    held = queries.select("query_id", "query").orderBy("query_id").limit(QUERY_BLOCK + 1).toPandas()
-    if len(held) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: score them in blocks")
+def scores(points: DataFrame, held: pd.DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score of each held query with each point: one matrix product a batch in the tasks that read points."""
     ids, q = held["query_id"].to_numpy(), np.array(held["query"].tolist(), float).reshape(len(held), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(held) else q
 
@@ -44,13 +40,20 @@ def scores(points: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     return points.select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP, at_least: float | None = None, key: str = "vec_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
-    """The k best points of each query, ties by key. Only k rows of a query leave each task."""
-    s = scores(points, queries, key, vector)
+def top_k(points: DataFrame, queries: DataFrame, k: int | None = TOP, at_least: float | None = None, key: str = "vec_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
+    """The k best points of each query(query_id, query), ties by key. Queries are taken in blocks of ``QUERY_BLOCK``, each held by
+    every task against all points, so points are not shuffled; of a query, k rows leave each task."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    dealt = queries.select("query_id", "query").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = [scores(points, dealt.where(F.col("__b") == b).orderBy("query_id").drop("__b").toPandas(), key, vector) for b in range(blocks)]
+    s = parts[0]
+    for other in parts[1:]:
+        s = s.unionByName(other)
     s = s if places is None else s.withColumn("score", F.round("score", places))
     s = s if at_least is None else s.where(F.col("score") >= at_least)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= _limit(k))
+    ranked = s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)))
+    return ranked if k is None else ranked.where(F.col("rank") <= _limit(k))
 
 
 def similarity(a: Column, b: Column) -> Column:
