@@ -95,18 +95,22 @@ def batches(sizes: DataFrame, key: list[str], order: str, tokens: str, most: int
     """Adds ``batch``: inputs in order go into one batch until it has ``most`` or would pass the budget. Each key's
     inputs are packed by themselves (a request queue), so keys are what spreads the work."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order, kind="stable")
-        out, n, total, batch = [], 0, 0, 0
-        for t in df[tokens]:
-            if n >= most or (n and total + t > budget):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + t
-            out.append(batch)
-        return df.assign(batch=out)
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema)
-    return sizes.groupBy(*key).applyInPandas(run, f"{fields}, batch long")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, total, batch = None, 0, 0, 0
+        for df in parts:  # rows of a key stand together in order, so only the open batch's counts are held
+            out = []
+            for *k, t in df[[*key, tokens]].itertuples(index=False):
+                if k != now:
+                    now, n, total, batch = k, 0, 0, 0
+                elif n >= most or (n and total + t > budget):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + t
+                out.append(batch)
+            yield df.assign(batch=out)
+
+    return sizes.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, f"{fields}, batch long")
 
 
 def hashing_embedder(texts: list[str], size: int = 64) -> np.ndarray:

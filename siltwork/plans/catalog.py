@@ -231,12 +231,12 @@ def vector_checks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", X.finite_vector("embedding", 64).alias("valid"), F.round(X.norm("embedding"), 6).alias("length"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents), r AS (SELECT lang, doc_id, i, n_chars AS total, 1 AS n, 0 AS batch FROM n WHERE i = 1
+@query("""WITH RECURSIVE n AS (SELECT doc_id // 400 AS lang, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 400 ORDER BY doc_id) AS i FROM documents), r AS (SELECT lang, doc_id, i, n_chars AS total, 1 AS n, 0 AS batch FROM n WHERE i = 1
   UNION ALL SELECT n.lang, n.doc_id, n.i, CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN n.n_chars ELSE r.total + n.n_chars END, CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN 1 ELSE r.n + 1 END,
-  CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN n ON n.lang = r.lang AND n.i = r.i + 1) SELECT doc_id, lang, CAST(batch AS BIGINT) AS batch FROM r""")
+  CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN n ON n.lang = r.lang AND n.i = r.i + 1) SELECT doc_id, lang AS queue, CAST(batch AS BIGINT) AS batch FROM r""")
 def batch_packing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return vectors.batches(docs, ["lang"], "doc_id", "n_chars", budget=29_000).select("doc_id", "lang", "batch")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 400").alias("queue"), "n_chars")
+    return vectors.batches(docs, ["queue"], "doc_id", "n_chars", budget=29_000).select("doc_id", "queue", "batch")
 
 
 # -- answers --
@@ -300,13 +300,15 @@ def embedding_text(spark, sf_dir):
 
 # -- graphs --
 
-_REFERENCES = "SELECT DISTINCT 'o' || l_orderkey AS source, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey"
-_EDGES = f"SELECT source, 'p' || p_partkey AS target, name AS reference, count(*) OVER (PARTITION BY source, name) > 1 AS ambiguous FROM ({_REFERENCES}) JOIN part ON p_name = name"
+_PART = "SELECT p_partkey, concat_ws('/', p_name, p_brand, p_type, p_size) AS name FROM part"
+_REFERENCES = f"SELECT DISTINCT 'o' || l_orderkey AS source, name FROM lineitem JOIN ({_PART}) ON p_partkey = l_partkey"
+_EDGES = f"SELECT source, 'p' || p_partkey AS target, name AS reference, count(*) OVER (PARTITION BY source, name) > 1 AS ambiguous FROM ({_REFERENCES}) JOIN ({_PART}) USING (name)"
 
 
 def _symbols(spark, sf_dir):
     """Orders refer to parts by name; parts define names, some of them more than once."""
     part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    part = part.select("p_partkey", F.concat_ws("/", "p_name", "p_brand", "p_type", "p_size").alias("p_name"))
     refs = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy("l_orderkey").agg(F.collect_set("p_name").alias("references"))
     orders = refs.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("name"), "references")
     return orders.unionByName(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("references")))

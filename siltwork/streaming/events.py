@@ -104,25 +104,26 @@ def coalesce_pushes(log: DataFrame, key: str = "repository_id", at: str = "ts",
     live, pending if one is, dropped if its commit is the last indexed one. A job runs from its queued push to the next completion."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([at, tie], kind="stable")
-        live, indexed, pending, out = None, None, None, []
-        for kind, c in zip(df["kind"], df[commit], strict=True):
-            if kind == "done":
-                if live is not None:
-                    indexed, live, pending = live, (pending if pending not in (None, live) else None), None
-                out.append("done")
-            elif live is None and indexed == c:
-                out.append("dropped")
-            elif live is None:
-                live = c
-                out.append("queued")
-            else:
-                pending = c
-                out.append("pending")
-        return df.assign(outcome=out)
-
-    return log.groupBy(key).applyInPandas(run, f"{schema}, outcome string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, live, indexed = None, None, None
+        for df in parts:  # rows of a key stand together in order, so only its state is held
+            out = []
+            for k, kind, c in zip(df[key], df["kind"], df[commit], strict=True):
+                if k != now:
+                    now, live, indexed = k, None, None
+                if kind == "done":
+                    indexed, live = (live if live is not None else indexed), None
+                    out.append("done")
+                elif live is not None:
+                    out.append("pending")
+                elif indexed == c:
+                    out.append("dropped")
+                else:
+                    live = c
+                    out.append("queued")
+            yield df.assign(outcome=out)
+
+    return log.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, f"{schema}, outcome string")
 
 
 def stateful_coalesce(stream: DataFrame) -> DataFrame:
