@@ -253,6 +253,14 @@ def find(texts: list, field: Field) -> list[list[tuple[int, int, int]]]:
     return found
 
 
+def labels_agree(field: Field, texts: list) -> float:
+    """The share of the base spans' first tokens that the field alone tags as a beginning."""
+    t = tokenize(texts)
+    want = labels(texts, t, Points(texts).starts) == _BEGIN
+    tags = decode(field.emit(t.features), np.bincount(t.owner, minlength=len(texts))[np.unique(t.owner)], field.moves) if len(t.owner) else want
+    return float((tags[want] == _BEGIN).mean()) if want.any() else 1.0
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
