@@ -40,8 +40,10 @@ def utf16_length(c: ColumnLike) -> Column:
 def utf16_prefix(c: ColumnLike, units: Column) -> Column:
     """The first ``units`` UTF-16 units; a surrogate pair that would be cut is left out."""
     c = _c(c)
-    cut = F.decode(F.substring(F.encode(c, "UTF-16BE"), F.lit(1), (units * 2).cast("int")), "UTF-16BE")
-    return F.when(utf16_length(c) <= units, c).otherwise(F.regexp_replace(cut, "[\\x{FFFD}\\x{D800}-\\x{DBFF}]$", ""))
+    raw = F.encode(c, "UTF-16BE")
+    split = F.hex(F.substring(raw, (units * 2 - 1).cast("int"), F.lit(2))).rlike("^D[89AB]")
+    cut = F.decode(F.substring(raw, F.lit(1), (F.when(split, units - 1).otherwise(units) * 2).cast("int")), "UTF-16BE")
+    return F.when(utf16_length(c) <= units, c).otherwise(cut)
 
 
 def sha256(c: ColumnLike) -> Column:

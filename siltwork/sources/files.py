@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -26,7 +27,7 @@ MAX_FILES, MAX_BYTES, MAX_FILE_BYTES, MAX_ENTRIES, MAX_DEPTH, SAMPLE_BYTES = 5_0
 
 def scan(spark: SparkSession, root: str, enter: Column | None = None, include: Column | None = None, max_entries: int | None = MAX_ENTRIES) -> DataFrame:
     """path (relative), name, depth, size, modified, content of the files below ``root``. enter, include: conditions on ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).unionByName(_dot_files(spark, root))
     plain = re.sub(r"^file:/*", "/", root).rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + re.escape(plain) + "/+", "")
     out = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
@@ -36,6 +37,29 @@ def scan(spark: SparkSession, root: str, enter: Column | None = None, include: C
     return out if max_entries is None else at_most(out, max_entries, "directory entries")
 
 
+def _dot_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files that Spark's own listing passes over: with names, or in directories, that begin with '.' or '_'. At most MAX_ENTRIES are listed."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    walk, rows, seen = fs.listFiles(top, True), [], 0
+    base = fs.makeQualified(top).toString().rstrip("/")
+    while walk.hasNext():
+        status, seen = walk.next(), seen + 1
+        if seen > MAX_ENTRIES:
+            raise BoundExceeded(f"directory entries: more than {MAX_ENTRIES}")
+        path = status.getPath().toString()
+        inner = path[len(base) + 1 :].split("/")
+        if any(p.startswith((".", "_")) for p in inner) and not any(p.lower() in IGNORED_DIRECTORIES for p in inner[:-1]):
+            content = b""
+            if status.getLen() <= MAX_FILE_BYTES:
+                with_stream = fs.open(status.getPath())
+                content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(with_stream))
+                with_stream.close()
+            rows.append((path, datetime.datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen(), content))
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

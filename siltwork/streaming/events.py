@@ -35,7 +35,7 @@ def parse(deliveries: DataFrame) -> DataFrame:
     p = lambda f: F.col(f"p.{f}")
     branch = F.nullif(F.regexp_extract(p("ref"), "^refs/heads/(.+)$", 1), F.lit(""))
     zero = p("after").rlike("^0+$")
-    reason = F.when(F.col("p").isNull(), "malformed").when(
+    reason = F.when(F.get_json_object("body", "$").isNull(), "malformed").when(
         F.col("event") == "push", F.when(branch.isNull(), "not a branch").when(F.coalesce(p("deleted"), F.lit(False)) | zero, "deleted").when(p("installation.id").isNull() | p("repository.id").isNull() | ~F.coalesce(p("after").rlike("^[0-9a-f]{40,64}$"), F.lit(False)), "malformed"),
     ).when(F.col("event") == "installation", F.when(~F.coalesce(p("action").isin("deleted", "suspend"), F.lit(False)), "other action")).when(
         F.col("event") == "installation_repositories", F.when(F.coalesce(p("action"), F.lit("")) != "removed", "other action").when(F.coalesce(F.size(p("repositories_removed")), F.lit(0)) == 0, "nothing removed"),
@@ -136,7 +136,7 @@ def stateful_coalesce(stream: DataFrame) -> DataFrame:
             for kind, c in f.sort_values("ts", kind="stable")[["kind", "commit_sha"]].itertuples(index=False):
                 if kind == "done":
                     if live is not None:
-                        indexed, live, pending = live, (pending if pending not in (None, live) else None), None
+                        indexed, live, pending = live, None, None
                     continue
                 if live is None and indexed == c:
                     rows.append((k[0], c, "dropped"))
