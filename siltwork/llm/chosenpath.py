@@ -173,9 +173,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def _compare_group(batches):
     """Rows (part, half, row, shingles) -> (row, links, root): exact comparison of a small group (half 0), or of two blocks of a large one."""
     for g in grouped(batches):
-        half = g.column(1).to_numpy()
-        rows = g.column(2).to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in g.column(3).to_pylist()]
+        rows, first = np.unique(g.column(2).to_numpy(), return_index=True)
+        half = g.column(1).to_numpy()[first]
+        shingle = g.column(3)
+        sets = [np.frombuffer(shingle[int(k)].as_py(), np.uint64) for k in first]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -213,18 +214,31 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, with one row of each class: the one of the least doc_id. Rows without words stay."""
-    all_rows = classes(docs, **options).where("root is not null")
+    all_rows = classes(docs, **options).where("root is not null").select("row", "doc_id", "root").checkpoint()
     first = all_rows.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
     gone = all_rows.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__gone")).checkpoint()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_MEMBERS else gone
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
+    kept = docs.withColumn("__row", _number(docs[id_column].cast("long"), docs[text_column])).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    again = all_rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("__again")).checkpoint()
+    if again.isEmpty():
+        return kept.drop("__row")
+    # Of rows repeated under one doc_id with one text, each task sends one on.
+    match = F.col("__row") == F.col("__again")
+    once = kept.join(again, match, "left_semi").groupBy("__row").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(again, match, "left_anti").drop("__row").unionByName(once)
 
 
-def classes(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row (its number in reading), root (a row that stands for its class, null without words), class_id, n_links, n_copies."""
+def _number(doc_id, text):
+    """A document's number in all readings: a hash of its id and text, so only rows that repeat both share it."""
+    return F.xxhash64(doc_id, text)
+
+
+def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, row (the document's number), root (a row that stands for its class, null without words), class_id, n_links, n_copies."""
     runs = runs_for(recall, similarity)
-    floor = similarity - 3 * math.sqrt(similarity * (1 - similarity) / TOKENS)
-    src = docs.select(docs[id_column].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_column].alias("text"))
+    floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / TOKENS)
+    src = docs.select(docs[id_column].cast("long").alias("doc_id"), _number(docs[id_column].cast("long"), docs[text_column]).alias("row"), docs[text_column].alias("text"))
 
     def sketch(batches):
         for part, texts in sliced(batches, "text"):
@@ -247,7 +261,7 @@ def classes(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_c
     key = ["size", "low", "high"]
     full = nodes.where("size > 0")
     sets = full.groupBy(*key).agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).checkpoint()
-    own = sets.select("row").join(full.select("row", "sketch"), "row").checkpoint()
+    own = sets.select("row").join(full.select("row", "sketch"), "row").dropDuplicates(["row"]).checkpoint()
 
     def start(batches):
         for batch in batches:
@@ -286,7 +300,10 @@ def classes(docs: DataFrame, recall: float = 0.99, similarity: float = 0.8, id_c
     member = member.join(counts, "root").select(F.col("node").alias("row"), "root", "n").checkpoint()
 
     def exact(batches):
+        seen: set[int] = set()  # of rows that repeat, a task sends the first
         for part, texts in sliced(batches, "text"):
+            new = [k for k, r in enumerate(part.column(0).to_pylist()) if not (r in seen or seen.add(r))]
+            part, texts = part.take(pa.array(new, pa.int64())), [texts[k] for k in new]
             grams, owner = shingles(texts)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(

@@ -279,7 +279,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, open_windows: int = 16,
 
 def _merged(table: pa.Table, window: int) -> pa.Table:
     part = table.column("part")[0].as_py() if table.num_rows else 0
-    pieces = sorted(zip(*(table.column(n).to_pylist() for n in _NAMES[:5]), strict=True), key=lambda p: (-p[2], p[0], p[1]))
+    pieces = sorted(zip(*(table.column(n).to_pylist() for n in _NAMES[:5]), strict=True), key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1]))
     bins: list[tuple[int, int]] = []
     held: list[list] = []
     for p in pieces:

@@ -7,7 +7,8 @@ table in the folder that all executors share, so Spark's commit protocol covers
 
 Defined results: a null html is an empty payload; records with equal payloads refer to the one with the
 smallest page_id, and of rows repeated under one page_id the first is the response; rows without page_id
-come after all others; a null url is left out of the record; other columns are not read.
+come after all others; a null url is left out of the record; other columns are not read. The pages are read
+twice and must come in the same order both times, as files do.
 """
 
 from __future__ import annotations
