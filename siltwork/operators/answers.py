@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import text as X
 from siltwork.functions.checks import InvalidRows
 from siltwork.operators import vectors as V
+from siltwork.sources.session import shared_folder
 
 # Fixed texts of a context block and of an answer without context.
 BEGIN, END, CUT = "--- BEGIN UNTRUSTED REPOSITORY SOURCE ---", "--- END UNTRUSTED REPOSITORY SOURCE ---", "\n[context truncated]"
@@ -108,6 +109,7 @@ def extractive_answer(question: str, references: list[str], context: str) -> str
 def ask(questions: DataFrame, points: DataFrame, embed: Callable = V.hashing_embedder, answer: Callable[[str, list[str], str], str] = extractive_answer, k: int = V.TOP, budget: int = 24_000, size: int = 64) -> DataFrame:
     """question_id, category, answer, citations of questions(question_id, question). points: stored chunks with embeddings, all of one scope.
     Symbols are sought exactly only for questions of that class; a question that nothing is found for gets the fixed answer."""
+    shared_folder(questions.sparkSession)
     asked = questions.select("question_id", "question", X.question_class("question").alias("category"), X.exact_symbol("question").alias("symbol"))
     vectors = V.embed(asked.select(F.col("question_id").alias("id"), F.col("question").alias("text")), embed, size)
     semantic = V.top_k(points, vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), k, key="point_id").select(F.col("query_id").alias("question_id"), "point_id", "score", "rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import InvalidRows, at_most, unique
+from siltwork.sources.session import shared_folder
 
 # Limits of graphs, and kinds of symbols that a route can call.
 MAX_FILES, MAX_IMPORTS, MAX_SYMBOLS, MAX_REFERENCES, MAX_EDGES, MAX_FLOWS = 5_000, 50_000, 10_000, 100_000, 50_000, 1_000
@@ -41,6 +42,7 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Rounds of colouring: labels of the least node that reaches a node, and that a node reaches, spread along the
     edges; nodes with equal labels both ways form a component and leave. Edges that lead out of what is left are
     pruned, so chains leave in as many rounds as they are long at most. Every round is distributed and checkpointed."""
+    shared_folder(edges.sparkSession)
     edges = edges.select("source", "target").distinct().checkpoint()
     loops = edges.where("source = target").select(F.col("source").alias("component"), F.col("source").alias("node"))
     live = edges.where("source != target")
@@ -81,6 +83,7 @@ def _spread(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> Dat
 
 def import_graph(files: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges, unresolved, cycles and stats of files(path, language, imports) of one snapshot."""
+    shared_folder(files.sparkSession)
     files = at_most(files, MAX_FILES, "files").withColumn("path", X.canonical_path("path"))
     edges, unresolved = resolve_imports(files)
     edges = edges.checkpoint()
@@ -178,6 +181,7 @@ def traverse(edges: DataFrame, origin: str, direction: str = "both", depth: int
     if direction not in ("imports", "imported-by", "both") or not 1 <= depth <= 4:
         raise ValueError("direction or depth")
     spark = edges.sparkSession
+    shared_folder(spark)
     out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("dependency").alias("how"))
     back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit("dependent").alias("how"))
     step = out if direction == "imports" else back if direction == "imported-by" else out.unionByName(back)

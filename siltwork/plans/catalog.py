@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
 from siltwork.operators import answers, chunks, evaluation, graphs, maintenance, report, vectors
-from siltwork.sources import files
+from siltwork.sources import files, session
 from siltwork.streaming import events as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,7 @@ SCOPE = {"user_id": "b" * 24, "repository_id": "a" * 24, "branch": "main", "comm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.shared_folder(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
