@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import chosenpath, decontaminate, language, packing, registry, secrets, warc
-
+from siltwork.llm import chosenpath, decontaminate, language, packing, registry, secrets
+from siltwork.sources.session import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     docs = registry.table(spark, sf_dir, "documents")
-    place = f"{warc.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

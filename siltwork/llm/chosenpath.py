@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.batches import Points, mix, ngrams, sliced
+from siltwork.sources.session import shared_folder
 
 SCHEMA = "doc_id long, class_id long, n_links long, n_copies long"
 SHINGLE = 5
@@ -236,6 +237,7 @@ def _number(doc_id, text):
 
 def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, row (the document's number), root (a row that stands for its class, null without words), class_id, n_links, n_copies."""
+    shared_folder(docs.sparkSession)
     runs = runs_for(recall, similarity)
     floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / TOKENS)
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), _number(docs[id_column].cast("long"), docs[text_column]).alias("row"), docs[text_column].alias("text"))

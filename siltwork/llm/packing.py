@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.batches import sliced
+from siltwork.sources.session import shared_folder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 _OPEN = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, open boolean"
@@ -270,6 +271,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, open_windows: int = 16,
         if left:
             yield _rows(left, window)
 
+    shared_folder(docs.sparkSession)
     placed = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, _OPEN)
     placed = placed.checkpoint()
     group = F.shiftright(F.col("sequence_id"), 32) / F.lit(MERGED)

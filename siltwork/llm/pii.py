@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.sources.session import shared_folder
+
 #: Fixed patterns of the base kinds, in the order in which kinds are listed. Possessive where nothing can be
 #: given back, so that long runs neither recurse nor are tried again from each of their characters.
 PATTERNS = {
@@ -135,6 +137,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, support: int = 3, accept: float
 
 def private_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of the base spans, all spans, and the number of spans found by context."""
+    shared_folder(docs.sparkSession)
     narrow = base(docs, id_column, text_column).checkpoint()
     found = candidates(narrow)
     accepted = bootstrap(found, **options)

@@ -17,14 +17,15 @@ import base64
 import hashlib
 import io
 import struct
-import tempfile
 import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.sources.session import shared_folder
+
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 BUNDLE_SCHEMA = "bundle binary, record_ids array<string>, frames array<int>, offsets array<int>"
 
@@ -122,17 +123,9 @@ class BundleReader:
         return headers, data[end + 4 : end + 4 + int(headers["Content-Length"])]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine's only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    return named or "file://" + tempfile.mkdtemp(prefix="siltwork-")
-
-
 def bundles(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows of bundles with their index. The pages' payloads are shuffled only if there are very many revisits."""
+    shared_folder(pages.sparkSession)
     src = pages.select(
         pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), F.coalesce(pages[html_column], F.lit("")).alias("html"),
         F.monotonically_increasing_id().alias("row"),  # tells rows repeated under one page_id apart

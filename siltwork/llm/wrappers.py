@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.batches import sliced
+from siltwork.sources.session import shared_folder
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -409,6 +410,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
                 out.append(page_text(html, known.get(r)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    shared_folder(pages.sparkSession)
     src = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), pages[html_column].alias("html"))
     rules = wrappers(src).select("host", "pages", "wrapper").mapInArrow(rule, "rule_host string, rule string").checkpoint()
     size = rules.agg(F.coalesce(F.sum(F.octet_length("rule") + F.octet_length("rule_host")), F.lit(0))).first()[0]
