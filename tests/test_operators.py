@@ -225,3 +225,36 @@ def test_names(spark):
         assert one(spark, X.repository_url(F.lit(u))) is None
     for b, ok in (("main", True), ("feat/x", True), ("-x", False), ("a..b", False), ("a.lock", False), ("a/.b", False), ("", False), ("a b", False)):
         assert one(spark, X.valid_branch(F.lit(b))) is ok
+
+
+def test_index_snapshot(spark, tmp_path):
+    from siltwork.operators import indexing
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("import { b } from './b';\nexport function run() { return b(); }\n")
+    (tmp_path / "src/b.ts").write_text("export const b = () => 1;\n")
+    scope = {"user_id": "u", "repository_id": "r", "branch": "main", "commit_sha": "c1"}
+    first = {k: v.checkpoint() for k, v in indexing.index_snapshot(spark, str(tmp_path), scope).items()}
+    assert {r["file_path"]: r["status"] for r in first["plan"].collect()} == {"src/a.ts": "changed", "src/b.ts": "changed"}
+    (tmp_path / "src/b.ts").write_text("export const b = () => 2;\n")
+    (tmp_path / "c.md").write_text("# notes\n")
+    second = indexing.index_snapshot(spark, str(tmp_path), scope | {"commit_sha": "c2"}, first["files"], first["points"], "c1")
+    assert {r["file_path"]: r["status"] for r in second["plan"].collect()} == {"src/a.ts": "retained", "src/b.ts": "changed", "c.md": "changed"}
+    points = indexing.duplicate_free(second["points"]).collect()
+    assert {r["commit_sha"] for r in points} == {"c2"} and {r["file_path"] for r in points} == {"src/a.ts", "src/b.ts", "c.md"}
+    assert {(r["file_path"], r["name"]) for r in second["symbols"].collect()} == {("src/b.ts", "b")}
+
+
+def test_jobs_and_metrics(spark):
+    import json
+
+    from siltwork.operators import indexing
+
+    good = {"repositoryId": "a" * 24, "userId": "b" * 24, "repositoryUrl": "https://example.org/x", "requestedAt": "2024-05-01T10:00:00.000Z"}
+    rows = [good, good | {"branch": "main"}, good | {"more": 1}, good | {"requestedAt": "2024-05-01"}, good | {"requestedAt": "2024-02-31T10:00:00.000Z"}, good | {"userId": "x"}, good | {"branch": " x"}]
+    got = indexing.parse_jobs(spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(rows)] + [(7, "{")], "k int, body string")).orderBy("k").collect()
+    assert [r["valid"] for r in got] == [True, True, False, False, False, False, False, False]
+    lines = indexing.exposition(spark.createDataFrame([('a"b', 3)], "route string, value long"), "http_requests_total", ["route"]).collect()
+    assert [r["line"] for r in lines] == ["# TYPE http_requests_total counter", 'http_requests_total{route="a\\"b"} 3']
+    assert one(spark, indexing.failure_class(F.lit(429)))["retryable"] and not one(spark, indexing.failure_class(F.lit(400)))["retryable"]
+    assert one(spark, indexing.retry_delay(F.lit(3))) == 20.0
