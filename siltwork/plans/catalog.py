@@ -560,3 +560,67 @@ def delivery_dedup(spark, sf_dir):
 def push_coalesce(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", "done").otherwise("push").alias("kind"), (F.floor("value") % 5).cast("string").alias("commit_sha"))
     return streams.coalesce_pushes(e, key="user_id").select("event_id", "outcome")
+
+
+# -- deliveries, jobs, citations --
+
+_BODY = """SELECT event_id, CASE event_id % 6 WHEN 4 THEN 'installation' WHEN 5 THEN 'star' ELSE 'push' END AS event, user_id, event_id % 6 AS m FROM events"""
+
+
+def _deliveries(spark, sf_dir):
+    """Events as webhook bodies: pushes of branches, tags and deletions, revocations, and others."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 6).alias("m"))
+    ref = F.when(F.col("m") == 1, "refs/tags/v1").otherwise("refs/heads/main")
+    repository = F.struct(F.col("user_id").alias("id"), F.concat(F.lit("o/r"), F.col("user_id").cast("string")).alias("full_name"))
+    push = F.struct(ref.alias("ref"), F.lit("a" * 40).alias("after"), (F.col("m") == 2).alias("deleted"), repository.alias("repository"), F.struct((F.col("user_id") % 7).alias("id")).alias("installation"))
+    gone = F.struct(F.lit("deleted").alias("action"), F.struct((F.col("user_id") % 7).alias("id")).alias("installation"))
+    body = F.when(F.col("m") == 3, F.lit("{")).when(F.col("m") == 4, F.to_json(gone)).otherwise(F.to_json(push))
+    return e.select("event_id", F.when(F.col("m") == 4, "installation").when(F.col("m") == 5, "star").otherwise("push").alias("event"), body.alias("body"))
+
+
+@query(f"""SELECT event_id, CASE m WHEN 0 THEN 'push' WHEN 3 THEN 'invalid' WHEN 4 THEN 'installation_revoked' ELSE 'ignored' END AS kind, CASE m WHEN 1 THEN 'not a branch' WHEN 2 THEN 'deleted' WHEN 3 THEN 'malformed' WHEN 5 THEN 'other event' END AS reason,
+  CASE WHEN m IN (0, 2, 5) THEN 'main' END AS branch, CASE WHEN m <> 3 THEN user_id % 7 END AS installation_id FROM ({_BODY})""")
+def webhook_parse(spark, sf_dir):
+    return streams.parse(_deliveries(spark, sf_dir)).select("event_id", "kind", "reason", "branch", "installation_id")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT user_id % 7 AS i FROM ({_BODY}) WHERE m = 4 AND user_id % 10 = 0) SELECT c_custkey AS id, CASE WHEN c_nationkey % 7 IN (SELECT i FROM g) THEN 'failed' ELSE 'ready' END AS status FROM customer""")
+def revocation(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 7).cast("long").alias("installation_id"), F.col("c_custkey").alias("github_repository_id"), F.lit("ready").alias("status"))
+    users = table(spark, sf_dir, "events").where("user_id % 10 = 0").select("event_id")
+    e = streams.parse(_deliveries(spark, sf_dir).join(users, "event_id", "left_semi"))
+    return streams.revoke(c, e).select("id", "status")
+
+
+@query("""SELECT doc_id, 'see ' || source || ' ' || '[' || source || ':L1-L' || n_chars || ']' || ' ' || '[%5B' || lang || '%5D:L2-L3]' || chr(10) || chr(10) || lang || ' [' || '%5B' || lang || '%5D:L2-L3]' AS answer, 2 AS sources FROM documents""")
+def cited_answers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "source", "lang", "n_chars")
+    one = F.struct(F.concat(F.lit("see "), "source").alias("text"), F.array(F.lit("S1"), F.lit("S2")).alias("source_ids"))
+    two = F.struct(F.col("lang").alias("text"), F.array(F.lit("S2")).alias("source_ids"))
+    first = d.select("question_id", F.lit("S1").alias("reference"), F.col("source").alias("file_path"), F.lit(1).cast("long").alias("start_line"), F.col("n_chars").alias("end_line"))
+    second = d.select("question_id", F.lit("S2").alias("reference"), F.concat(F.lit("["), "lang", F.lit("]")).alias("file_path"), F.lit(2).cast("long").alias("start_line"), F.lit(3).cast("long").alias("end_line"))
+    a = answers.cited(d.select("question_id", F.array(one, two).alias("segments")), first.unionByName(second))
+    return a.select(F.col("question_id").alias("doc_id"), "answer", F.size("citations").alias("sources"))
+
+
+_CASES = "SELECT doc_id, n_chars % 4 AS a, doc_id % 5 AS b FROM documents"
+
+
+@query(f"""SELECT 'c' || doc_id AS id, a <= b AS success, CASE WHEN a <= b THEN 1.0::DOUBLE ELSE 0.0 END AS recall_at_5, CASE WHEN a <= b THEN 0.2::DOUBLE ELSE 0.0 END AS precision_at_5, CASE WHEN a <= b THEN round(1.0::DOUBLE / (a + 1), 6) ELSE 0.0 END AS mean_reciprocal_rank,
+  CASE WHEN a <= b AND b % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS groundedness, CASE WHEN a <= b AND b % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hallucination_rate, CASE WHEN a <= b THEN CASE WHEN b = 3 THEN 1.0::DOUBLE ELSE 0.0 END ELSE 0.0 END AS completeness FROM ({_CASES})""")
+def case_scores(spark, sf_dir):
+    """Each document as a case: its file stands at rank a + 1 of four, cited inside or outside what was retrieved."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), (F.col("n_chars") % 4).cast("int").alias("a"), (F.col("doc_id") % 5).cast("int").alias("b"))
+    none = F.array().cast("array<string>")
+    cases = d.select(
+        "id", F.lit("q").alias("question"), F.array(F.lit("hit")).alias("expected_files"), none.alias("expected_symbols"), F.lit(None).cast("array<struct<file_path:string,start_line:int,end_line:int>>").alias("expected_line_ranges"),
+        F.array(F.struct(F.lit("k").alias("id"), F.array(F.lit("Token  3")).alias("terms"))).alias("expected_answer_concepts"), none.alias("forbidden_answer_terms"), none.alias("tags"),
+    )
+    source = lambda i: F.struct(i.cast("string").alias("id"), F.when(i == F.col("a"), "hit").otherwise(F.concat(F.lit("f"), i.cast("string"))).alias("file_path"), F.lit(None).cast("string").alias("symbol_name"), F.lit(1).alias("start_line"), F.lit(10).alias("end_line"), F.lit(0.5).alias("score"))
+    obs = d.where("a <= b").select(
+        F.col("id").alias("case_id"), F.concat(F.lit(" Uses TOKEN "), F.col("b").cast("string")).alias("answer"), F.transform(F.sequence(F.lit(0), F.lit(3)), source).alias("retrieved_sources"),
+        F.array(F.struct(F.lit("hit").alias("file_path"), F.lit(None).cast("string").alias("symbol_name"), F.lit(2).alias("start_line"), F.when(F.col("b") % 2 == 0, 9).otherwise(99).alias("end_line"))).alias("citations"),
+        F.lit(None).cast("struct<retrieval_ms:double,generation_ms:double,indexing_ms:double>").alias("timings"), F.lit(None).cast("struct<embedding_tokens:bigint,input_tokens:bigint,output_tokens:bigint>").alias("usage"), F.lit(None).cast("map<string,string>").alias("metadata"),
+    )
+    s = evaluation.score(cases, obs)
+    return s.select("id", "success", "recall_at_5", "precision_at_5", F.round("mean_reciprocal_rank", 6).alias("mean_reciprocal_rank"), "groundedness", "hallucination_rate", "completeness")
