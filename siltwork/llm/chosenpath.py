@@ -153,7 +153,7 @@ def _compare_bucket(batches, floor: float):
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, root: the least node of each connected component of the links (a, b); alternating large and small stars."""
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()  # what makes the links runs once
     last = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
