@@ -1,11 +1,14 @@
-"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
+"""Benchmark decontamination by pairs of words, in DataFrame functions only.
 
-Each window of ``SPAN`` words gets one hash per mask; a mask ignores the words at its zeros, so a substituted
-word there does not change the hash. Hashes of benchmark items and of documents are joined. Around a hit,
-the words of the window are compared one by one; matches on one alignment (document position minus item
-position) are joined as bit sets, so words between hits that are substituted simply do not count.
 A document is contaminated by an item if at least min(``least``, 80 % of the item's words) words match on one
-alignment. Items of 5 to 7 words are sought as a whole; shorter ones say nothing and are not sought.
+alignment (document position minus item position), wherever on it they stand. Items of 5 to 7 words are sought
+as a whole; shorter ones say nothing and are not sought.
+
+No alignment is missed: if t of n words match, three neighbours among them lie within (n - 1) / ((t - 1) / 2)
+words (rounded down), and two of these within half of that. So each word of a document gets one hash per
+distance to a later word, up to that half; these are joined with the pairs of the items, and a pair with a third
+match near it has the whole item compared word by word. Items so long for their threshold that the
+distance passes ``REACH`` are joined word by word instead.
 
 Words are maximal runs of letters and digits, in lower case. Defined results: null and empty texts match
 nothing; the best alignment is reported for each doc_id and item, over all rows repeated under a doc_id;
@@ -14,16 +17,20 @@ a null item_id is reported as null; other columns are not read; empty tables giv
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SHORTEST = 5
+#: Items of at least so many words need not match as a whole.
 SPAN = 8
-#: The kept words of each mask.
+#: The kept words of the spaced seeds in the SQL of :func:`oracle`, which counts in windows of ``SPAN`` words.
 MASKS = [(0, 1, 2, 4, 7), (0, 2, 3, 5, 7), (0, 1, 3, 6, 7), (0, 3, 4, 6, 7)]
-SHORTEST = 5
-#: Up to so many seeds (about 100 bytes each) are broadcast; beyond, they are joined by shuffle.
+#: The longest distance over which three matches are sought; it holds for items of 102 words at the threshold of 13.
+REACH = 16
+#: So many pairs, each with the words of its item, are broadcast at once; more are sought in several passes.
 BROADCAST_SEEDS = 300_000
 
 
@@ -31,43 +38,57 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per word with the words after it: pos, s.w0 ... s.w7 (null beyond the end). All in generated code."""
-    df = df.select(*keep, words(F.col("text")).alias("w")).where("w[0] != ''")
-    shifted = df.select(*keep, *[(F.col("w") if k == 0 else F.slice("w", k + 1, F.size("w"))).alias(f"w{k}") for k in range(SPAN)])
-    return shifted.select(*keep, F.posexplode(F.arrays_zip(*[f"w{k}" for k in range(SPAN)])).alias("pos", "s"))
+def _least(n: int, least: int) -> int:
+    """The words that must match of an item of n words."""
+    return n if n < SPAN else min(least, math.ceil(n * 0.8))
+
+
+def _reach(n: int, t: int) -> int | None:
+    """Within so many words three neighbours of t matches among n words must lie; None if the item is joined word by word."""
+    reach = (n - 1) // ((t - 1) // 2) if t >= 3 else REACH + 1
+    return reach if reach <= REACH else None
+
+
+def _near(own: DataFrame, items: DataFrame, reach: int) -> DataFrame:
+    """The matched positions of items (``k``) on the alignments where a pair and a third word match within ``reach`` words."""
+    gaps = range(1, reach // 2 + 1)
+    pair = lambda words, at: F.array(*[F.when(F.get(words, at + g).isNotNull(), F.xxhash64(F.lit(g), F.get(words, at), F.get(words, at + g))) for g in gaps])
+    at = items.select("*", F.posexplode("own").alias("at", "first")).drop("first")
+    seeds = at.select("*", F.explode(pair(F.col("own"), F.col("at"))).alias("seed")).where("seed is not null")
+    hits = own.select("*", F.explode(pair(F.col("w"), F.col("pos"))).alias("seed")).where("seed is not null").join(F.broadcast(seeds), "seed")
+    # get() is null before the start and after the end, so nothing matches there.
+    same = reduce(lambda a, b: a + b, [F.when(F.get("w", F.col("pos") + k) == F.get("own", F.col("at") + k), 1).otherwise(0) for k in range(1 - reach, reach + 1)])
+    hits = hits.where(same >= 3).select("doc_id", "row", "w", "item", "item_id", "n", "t", (F.col("pos") - F.col("at")).alias("line"), F.posexplode("own").alias("k", "word"))
+    return hits.where(F.get("w", F.col("line") + F.col("k")) == F.col("word")).drop("w", "word")
 
 
-def _seeds(lengths: list[int], item: bool = False) -> Column:
-    """The hashes of a window: one for each mask, and one for each length of short items (of an item, only of its whole)."""
-    of = lambda mask, label: F.when(F.col(f"s.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(label), *[F.col(f"s.w{k}") for k in mask]))
-    whole = lambda n: F.when((F.col("n") == n) & (F.col("pos") == 0), of(tuple(range(n)), 100 + n)) if item else of(tuple(range(n)), 100 + n)
-    return F.array(*[of(m, i) for i, m in enumerate(MASKS)], *[whole(n) for n in lengths])
+def _far(own: DataFrame, items: DataFrame) -> DataFrame:
+    """The matched positions of items on all alignments."""
+    at = items.select("item", "item_id", "n", "t", F.posexplode("own").alias("k", "word"))
+    return own.drop("w").join(at, "word").select("doc_id", "row", "item", "item_id", "n", "t", (F.col("pos") - F.col("k")).alias("line"), "k")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched_words, item_words of contaminated documents. Documents are read once and not shuffled; hits are grouped by alignment."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text].alias("text"))
-    sizes = items.select(F.size(words(F.col("text"))).alias("n")).where(F.col("n").between(SHORTEST, SPAN - 1)).distinct()
-    lengths = sorted(r[0] for r in sizes.collect())  # three values at most
-    items = items.withColumn("n", F.size(words(F.col("text")))).where(F.col("n") >= SHORTEST)
-    at = _windows(items, ["item", "item_id", "n"]).select("item", "item_id", "n", F.col("pos").alias("at"), F.col("s").alias("own"), F.explode(_seeds(lengths, item=True)).alias("seed"))
-    seeds = at.where(F.col("seed").isNotNull())
-    seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-
-    src = docs.select(docs[id_column].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_column].alias("text"))
-    own = _windows(src, ["doc_id", "row"]).select("doc_id", "row", "pos", "s", F.explode(_seeds(lengths)).alias("seed"))
-    hits = own.where(F.col("seed").isNotNull()).join(seeds, "seed")
-    same = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"s.w{k}") == F.col(f"own.w{k}"), F.lit(1 << k)).otherwise(0) for k in range(SPAN)])
-    # The item's matched positions as bits in blocks of 32: a window of 8 reaches into one more block at most.
-    bits = hits.select("doc_id", "row", "item", "item_id", "n", (F.col("pos") - F.col("at")).alias("line"), F.expr("at div 32").alias("block"), F.expr("at % 32").cast("int").alias("bit"), same.cast("long").alias("same"))
-    bits = bits.withColumn("bits", F.expr("shiftleft(same, bit)")).select(
-        "doc_id", "row", "item", "item_id", "n", "line",
-        F.explode(F.array(F.struct("block", F.expr("bits & 4294967295L").alias("bits")), F.struct((F.col("block") + 1).alias("block"), F.expr("shiftright(bits, 32)").alias("bits")))).alias("b"),
-    ).where("b.bits != 0")
-    blocks = bits.groupBy("doc_id", "row", "item", "item_id", "n", "line", F.col("b.block").alias("block")).agg(F.expr("bit_or(b.bits)").alias("bits"))
-    lines = blocks.groupBy("doc_id", "row", "item", "item_id", "n", "line").agg(F.sum(F.bit_count("bits")).cast("long").alias("matched"))
-    lines = lines.where(F.col("matched") >= F.least(F.lit(least), F.ceil(F.col("n") * 0.8)))
+    """doc_id, item_id, matched_words, item_words of contaminated documents. Documents are not shuffled; matches are grouped by alignment."""
+    items = benchmark.select(F.xxhash64(benchmark[item_column].cast("long"), benchmark[item_text]).alias("item"), benchmark[item_column].cast("long").alias("item_id"), words(benchmark[item_text]).alias("own"))
+    items = items.withColumn("n", F.size("own")).where(F.col("n") >= SHORTEST).distinct()
+    items = items.withColumn("t", F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.least(F.lit(least), F.ceil(F.col("n") * 0.8).cast("int"))))
+    sizes = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}
+    reaches = {n: _reach(n, _least(n, least)) for n in sizes}
+    near = [n for n in sizes if reaches[n] is not None]
+
+    src = docs.select(docs[id_column].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(docs[text_column]).alias("w"))
+    own = src.select("doc_id", "row", "w", F.posexplode("w").alias("pos", "word")).where("word != ''")
+    reach = max((reaches[n] for n in near), default=2)
+    passes = max(1, math.ceil(sum(n * sizes[n] for n in near) * (reach // 2) / BROADCAST_SEEDS))
+    parts = [_near(own, items.where(F.col("n").isin(near) & (F.pmod("item", F.lit(passes)) == k)), reach) for k in range(passes)]
+    if len(near) < len(sizes):
+        parts.append(_far(own, items.where(~F.col("n").isin(near))))
+    found = reduce(DataFrame.unionAll, parts)
+    # The item's matched positions as bits in blocks of 64: an alignment that several pairs hit counts once.
+    keys = ["doc_id", "row", "item", "item_id", "n", "t", "line"]
+    blocks = found.groupBy(*keys, F.expr("k div 64").alias("block")).agg(F.expr("bit_or(shiftleft(1L, k % 64))").alias("bits"))
+    lines = blocks.groupBy(*keys).agg(F.sum(F.bit_count("bits")).cast("long").alias("matched")).where("matched >= t")
     return lines.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched_words"), F.max(F.col("n").cast("long")).alias("item_words"))
 
 

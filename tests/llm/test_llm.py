@@ -335,6 +335,41 @@ def test_decontamination(spark, odd):
     assert {r["doc_id"] for r in decontaminate.overlaps(odd, bench).collect()} == set()
 
 
+def plain_overlaps(texts, bench, least=13):
+    """All alignments, word by word."""
+    out = {}
+    cut = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    for (d, text), (i, item) in itertools.product(texts, bench):
+        w, own = cut(text), cut(item)
+        n = len(own)
+        for line in range(-n, len(w)):
+            m = sum(0 <= line + k < len(w) and w[line + k] == own[k] for k in range(n))
+            if n >= 5 and m >= (n if n < 8 else min(least, -(-n * 8 // 10))):
+                out[d, i] = max(out.get((d, i), (0, n)), (m, n))
+    return out
+
+
+def test_decontamination_counts_whole_alignments(spark, monkeypatch):
+    rng = random.Random(11)
+    bench = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate((5, 7, 8, 10, 15, 16, 20, 30, 59, 100, 130))]
+    bench.append((50, " ".join(["the of"] * 12)))
+    texts = [(0, " ".join(["the of and"] * 60)), (1, "of the " * 40)]
+    for i, item in bench:
+        words, n = item.split(), len(item.split())
+        t = n if n < 8 else min(13, -(-n * 8 // 10))
+        for m in (t, t, t, t - 1):
+            kept = set(rng.sample(range(n), m))
+            texts.append((len(texts), " ".join([f"x{rng.random()}"] * rng.randrange(4) + [w if k in kept else f"y{k}" for k, w in enumerate(words)])))
+        texts.append((len(texts), " ".join(w if k % 4 else "z" for k, w in enumerate(words))))
+        texts.append((len(texts), " ".join(["z", *words[1:]])))
+    want = plain_overlaps(texts, bench)
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for seeds in (300_000, 700):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+        got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["item_words"]) for r in decontaminate.overlaps(d, b).collect()}
+        assert got == want and len(want) > 40
+
+
 # 10
 
 
