@@ -14,6 +14,7 @@ each on its own; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -155,7 +156,12 @@ def walk(html: str):
         yield pop()
 
 
-# An expression's item: [label, least, most (1 or 2 for many), items, slot]; a slot: [pages, chars, link chars, text or None].
+# An expression's item: [label, least, most (1 or 2 for many), items, slot]; a slot: [pages, chars, link chars, digest of the one text or None].
+
+
+def _digest(text: str) -> str:
+    """Of a whole text, blanks aside."""
+    return hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def page_expression(html: str) -> list:
@@ -175,7 +181,7 @@ def page_expression(html: str) -> list:
             text = " ".join(value.split())
             if text:
                 items = path[-1][3]
-                slot = [1, len(text), len(text) if more else 0, text[:120]]
+                slot = [1, len(text), len(text) if more else 0, _digest(text)]
                 if items and items[-1][0] == "#":
                     items[-1] = merge_items(items[-1], ["#", 1, 1, [], slot], joined=True)
                 else:
@@ -243,7 +249,7 @@ def _text_chars(item: list, content: bool = False) -> tuple[int, int]:
 
 
 def choose(root: list, pages: int) -> dict:
-    """The rule of a wrapper: paths of the items that hold the article, and paths inside them that do not belong to it."""
+    """The rule of a wrapper: paths of the items that hold the article, paths inside them that do not belong to it, and path and digest of the texts of the template."""
     named: list[tuple[int, list, list]] = []
 
     def seek(item: list, path: list) -> None:
@@ -276,6 +282,7 @@ def choose(root: list, pages: int) -> dict:
             path, item = [*path, best[0]], best
         chosen = [(path, item)]
     drop: list[list] = []
+    template: list[list] = []
 
     def prune(item: list, path: list, repeated: bool) -> None:
         if item[0] != "#" and len(path) and is_boilerplate(item[0], True):
@@ -283,7 +290,7 @@ def choose(root: list, pages: int) -> dict:
             return
         slots = [x for x in item[3] if x[0] == "#"]
         if pages >= TEMPLATE_PAGES and varies and not repeated and item[2] == 1 and item[0].split(".")[0] not in _HEADINGS and slots and slots == item[3] and slots[0][4][0] >= pages and slots[0][4][3] is not None:
-            drop.append(path)
+            template.append([path, slots[0][4][3]])
             return
         for x in item[3]:
             if x[0] != "#":
@@ -294,20 +301,36 @@ def choose(root: list, pages: int) -> dict:
         for x in item[3]:
             if x[0] != "#":
                 prune(x, [*path, x[0]], x[2] > 1)
-    return {"at": [p for p, _ in chosen], "drop": drop}
+    return {"at": [p for p, _ in chosen], "drop": drop, "template": template}
 
 
 def _varies(item: list) -> bool:
     return (item[0] == "#" and item[4][3] is None) or any(_varies(x) for x in item[3])
 
 
+def _only_text(events: list, k: int) -> str | None:
+    """The text of the element opened at k, if it holds one text and no element."""
+    found = None
+    for at in range(k + 1, len(events)):
+        kind, value, _ = events[at]
+        if kind == "close":
+            return found
+        if kind == "open" or kind == "text" and value.strip() and found is not None:
+            return None
+        if kind == "text" and value.strip():
+            found = value
+    return found
+
+
 def extract(html: str, rule: dict) -> str:
-    """The text of a page by a rule."""
-    at, drop = {tuple(p) for p in rule["at"]}, {tuple(p) for p in rule["drop"]}
+    """The text of a page by a rule. A template's text goes only where its path holds just that text."""
+    at, drop, template = {tuple(p) for p in rule["at"]}, {tuple(p) for p in rule["drop"]}, {(tuple(p), d) for p, d in rule["template"]}
+    constant = {p for p, _ in template}
+    events = list(walk(html))
     path: list[str] = []
     inside = ["" in at or () in at]
     blocks: list[list[str]] = [[]]
-    for kind, value, more in walk(html):
+    for k, (kind, value, more) in enumerate(events):
         if kind == "text":
             if inside[-1]:
                 blocks[-1].append(value)
@@ -318,7 +341,8 @@ def extract(html: str, rule: dict) -> str:
                 path.append(value)
                 here = tuple(path)
                 held = inside[-1]
-                inside.append((held or here in at) and here not in drop and not (held and is_boilerplate(value, True)))
+                own = _only_text(events, k) if here in constant else None
+                inside.append((held or here in at) and here not in drop and not (held and is_boilerplate(value, True)) and not (own is not None and (here, _digest(own)) in template))
         elif kind == "close":
             tag = value
             if more:

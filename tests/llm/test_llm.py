@@ -125,6 +125,19 @@ def test_other_templates(spark):
     assert wrappers.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, bodies):
+    rows_ = [(k, "http://h.example/", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return [r["text"] for r in wrappers.main_text(spark.createDataFrame(rows_, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_text_goes_by_its_own_text(spark):
+    bodies = [f"<article><h1>Title {k}</h1><p>Printed on all pages</p><h2>Part {k}</h2><p>body {k} one</p><p>body {k} two</p></article>" for k in range(4)]
+    assert pages_of(spark, bodies) == [f"Title {k} Part {k} body {k} one body {k} two" for k in range(4)]
+    long = "The formula with which each report of this office begins, word for word, in all the years of its life so far: " * 2
+    bodies = [f"<article><h1>Title {k}</h1><div class='lead'>{long}{k}</div><p>body {k}</p></article>" for k in range(4)]
+    assert pages_of(spark, bodies) == [" ".join(f"Title {k} {long}{k} body {k}".split()) for k in range(4)]
+
+
 # 4
 
 
