@@ -58,6 +58,7 @@ BOILER_NAMES = set(
 )
 CONTENT_NAMES = set("article articlebody content main maincontent post postbody postcontent entry entrycontent story storybody body text".split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements below so many others are no items of their own: their text belongs to the item above, unless named as boilerplate.
 _DEEPEST = 60
 #: A text that is the same on so many pages of a host belongs to its template.
 TEMPLATE_PAGES = 3
@@ -73,10 +74,10 @@ def _label(tag: str, attributes: str) -> str:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             words.add(".hidden")
         elif name == "role":
-            words |= {"@" + w for w in value.split()[:2]}
+            words |= {"@" + w for w in value.split()}
         elif name in ("class", "id", "itemprop"):
-            words |= {"." + re.sub(r"\d+", "", w) for w in value.split()[:6]}
-    return tag + "".join(sorted(w[:40] for w in words if len(w) > 1))
+            words |= {"." + re.sub(r"\d+", "", w) for w in value.split()}
+    return tag + "".join(sorted(w for w in words if len(w) > 1))
 
 
 def is_boilerplate(label: str, inside_content: bool = False) -> bool:
@@ -94,7 +95,7 @@ def is_boilerplate(label: str, inside_content: bool = False) -> bool:
 
 
 def walk(html: str):
-    """Yields ('open', label, depth), ('close', None, depth), ('text', string, in link), ('break', None, None)."""
+    """Yields ('open', label, whether it is an item), ('close', tag, whether it is an item), ('text', string, in link), ('break', None, None)."""
     stack: list[tuple[str, bool]] = []  # tag, whether it was announced
     depth = links = 0
     at = 0
@@ -149,7 +150,7 @@ def walk(html: str):
         stack.append((tag, shown))
         depth += shown
         links += tag == "a"
-        yield ("open", _label(tag, attributes) if shown else tag, shown)
+        yield ("open", _label(tag, attributes), shown)
     if at < len(html):
         yield ("text", entities.unescape(html[at:]), links > 0)
     while stack:
@@ -167,19 +168,24 @@ def _digest(text: str) -> str:
 def page_expression(html: str) -> list:
     root = ["html", 1, 1, [], None]
     path = [root]
+    below: list[bool] = []  # of the elements below the deepest items: whether they are boilerplate or inside it
     for kind, value, more in walk(html or ""):
         if kind == "open":
-            if more:
+            if not more:
+                below.append(bool(below) and below[-1] or is_boilerplate(value, True))
+            else:
                 item = [value, 1, 1, [], None]
                 path[-1][3].append(item)
                 path.append(item)
         elif kind == "close":
-            if more and len(path) > 1:
+            if not more:
+                below.pop()
+            elif len(path) > 1:
                 done = path.pop()
                 done[3] = collapse(done[3])
         elif kind == "text":
             text = " ".join(value.split())
-            if text:
+            if text and not (below and below[-1]):
                 items = path[-1][3]
                 slot = [1, len(text), len(text) if more else 0, _digest(text)]
                 if items and items[-1][0] == "#":
@@ -337,7 +343,9 @@ def extract(html: str, rule: dict) -> str:
             continue
         if kind == "open":
             tag = value
-            if more:
+            if not more:
+                inside.append(inside[-1] and not is_boilerplate(value, True))
+            else:
                 path.append(value)
                 here = tuple(path)
                 held = inside[-1]
@@ -345,9 +353,9 @@ def extract(html: str, rule: dict) -> str:
                 inside.append((held or here in at) and here not in drop and not (held and is_boilerplate(value, True)) and not (own is not None and (here, _digest(own)) in template))
         elif kind == "close":
             tag = value
+            inside.pop()
             if more:
                 path.pop()
-                inside.pop()
         else:
             tag = "br"
         if re.split(r"[.@]", tag, maxsplit=1)[0] in BLOCKS:

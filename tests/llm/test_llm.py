@@ -138,6 +138,14 @@ def test_template_text_goes_by_its_own_text(spark):
     assert pages_of(spark, bodies) == [" ".join(f"Title {k} {long}{k} body {k}".split()) for k in range(4)]
 
 
+def test_all_names_are_read(spark):
+    menu = '<div class="flex px-4 py-2 mt-3 text-sm bg-white sidebar">Menu</div>'
+    role = '<div role="none presentation navigation">Roles</div>'
+    assert pages_of(spark, [f'<div class="flex px-4 py-2 mt-3 text-sm bg-white article"><p>body text of the page</p>{menu}{role}</div><div><p>{"other " * 9}</p></div>']) == ["body text of the page"]
+    assert pages_of(spark, [f'<article><div class="{"x" * 40}-sidebar">Menu</div><p>body</p></article>']) == ["body"]
+    assert pages_of(spark, ["<article>" + "<div>" * 70 + "<p>body</p><nav><b>Menu</b></nav><p>more</p>" + "</div>" * 70 + "</article>"]) == ["body more"]
+
+
 # 4
 
 
