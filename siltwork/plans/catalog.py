@@ -107,6 +107,16 @@ def binary_sample(spark, sf_dir):
     return docs.select("doc_id", files.is_binary(F.encode("text", "UTF-8")).alias("is_binary"))
 
 
+_SAMPLE = "CASE WHEN strlen(text) <= 8192 THEN text ELSE coalesce(" + ", ".join(f"TRY(decode(encode(text)[1:{n}]))" for n in (8192, 8191, 8190, 8189)) + ") END"
+
+
+@query(rf"""SELECT doc_id, contains(t, chr(0)) OR 10 * length(regexp_replace(t, '[^\x00-\x07\x0b\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')) > length(t) + len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]')) AS is_binary
+  FROM (SELECT doc_id, {_SAMPLE} AS t FROM documents)""")
+def binary_detection(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", files.is_binary(F.encode("text", "UTF-8")).alias("is_binary"))
+
+
 # -- maintenance --
 
 

@@ -11,6 +11,20 @@ from siltwork.operators import answers, chunks, evaluation, graphs, maintenance,
 from siltwork.sources import files
 
 
+def test_binary_detection_reads_all_documents(spark, tmp_path):
+    import duckdb
+
+    from siltwork.plans import catalog
+
+    cases = {"short": False, "\x01" * 3: True, "x" * 9000: False, "x" * 8191 + "é" * 10: False, "x" * 8190 + "😀" * 9: False, "😀" * 3000: False, "x" * 7000 + "\x01" * 2000: True, "x" * 8192 + "\x01" * 9000: False, "é" * 3500 + "\x02" * 1192 + "x" * 9: True, "": False}
+    rows = list(enumerate(cases))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, catalog.queries()["binary_detection"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(c.sql(catalog.oracle_sql()["binary_detection"]).fetchall()) == {k: cases[t] for k, t in rows}
+
+
 def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first()["x"]
 
