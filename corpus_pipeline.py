@@ -1,4 +1,7 @@
-"""A training corpus from ``documents``: each stage is written as Parquet and read again as the next one's documents."""
+"""A training corpus from ``documents``: each stage is written as Parquet and read again as the next one's documents.
+
+A row is kept or dropped by its own text, whatever its doc_id: null, or shared with other rows.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +16,10 @@ from siltwork.sources.session import shared_folder
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or of which no language has half of the letters."""
-    verdicts = language.predict(docs, language.fit(docs))
+    numbered = docs.withColumn("__row", chosenpath.number(docs["doc_id"].cast("long"), docs["text"]))
+    verdicts = language.predict(numbered, language.fit(docs), id_column="__row")
     rejected = verdicts.where((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("__rejected")), "left_anti")
+    return numbered.join(rejected, F.col("__row") == F.col("__rejected"), "left_anti").drop("__row")
 
 
 def remove_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

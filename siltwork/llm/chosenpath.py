@@ -220,7 +220,7 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     gone = all_rows.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__gone")).checkpoint()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_MEMBERS else gone
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    kept = docs.withColumn("__row", _number(docs[id_column].cast("long"), docs[text_column])).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    kept = docs.withColumn("__row", number(docs[id_column].cast("long"), docs[text_column])).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     again = all_rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("__again")).checkpoint()
     if again.isEmpty():
         return kept.drop("__row")
@@ -230,7 +230,7 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     return kept.join(again, match, "left_anti").drop("__row").unionByName(once)
 
 
-def _number(doc_id, text):
+def number(doc_id, text):
     """A document's number in all readings: a hash of its id and text, so only rows that repeat both share it."""
     return F.xxhash64(doc_id, text)
 
@@ -240,7 +240,7 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
     shared_folder(docs.sparkSession)
     runs = runs_for(recall, similarity)
     floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / TOKENS)
-    src = docs.select(docs[id_column].cast("long").alias("doc_id"), _number(docs[id_column].cast("long"), docs[text_column]).alias("row"), docs[text_column].alias("text"))
+    src = docs.select(docs[id_column].cast("long").alias("doc_id"), number(docs[id_column].cast("long"), docs[text_column]).alias("row"), docs[text_column].alias("text"))
 
     def sketch(batches):
         for part, texts in sliced(batches, "text"):

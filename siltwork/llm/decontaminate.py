@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.llm.chosenpath import number
+
 SHORTEST = 5
 #: Items of at least so many words need not match as a whole.
 SPAN = 8
@@ -93,9 +95,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, of which no row shares its doc_id with a contaminated one."""
-    found = overlaps(docs, benchmark, id_column=id_column, **options).where("doc_id is not null").select(F.col("doc_id").alias("__contaminated")).distinct()
-    return docs.join(found, docs[id_column].cast("long") == F.col("__contaminated"), "left_anti")
+    """The documents, all columns, whose own text is not contaminated."""
+    numbered = docs.withColumn("__row", number(docs[id_column].cast("long"), docs[options.get("text_column", "text")]))
+    found = overlaps(numbered, benchmark, id_column="__row", **options).select(F.col("doc_id").alias("__contaminated")).distinct()
+    return numbered.join(found, F.col("__row") == F.col("__contaminated"), "left_anti").drop("__row")
 
 
 def oracle(least: int = 13) -> str:

@@ -31,6 +31,20 @@ def test_stages_by_themselves(spark, data):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == out["secrets"].keys()
 
 
+def test_rows_are_judged_by_their_own_text(spark, data):
+    docs = registry.table(spark, data, "documents")
+    clean = [r["text"] for r in docs.where("lang = 'en' and n_chars between 300 and 2000").orderBy("doc_id").limit(2).collect()]
+    leak = registry.table(spark, data, "benchmark").orderBy("item_id").first()["text"]
+    texts = [(None, clean[0]), (None, "12 34"), (None, clean[1]), (9001, clean[0]), (9001, "12 34"), (9002, clean[1]), (9002, leak), (None, leak)]
+    extra = spark.createDataFrame([(i, t, None, "own", len(t)) for i, t in texts], docs.schema)
+    docs = docs.unionByName(extra)
+    kept = lambda df: sorted((tuple(r) for r in df.where("source = 'own'").select("doc_id", "text").collect()), key=repr)
+    want = sorted((x for x in texts if x[1] != "12 34"), key=repr)
+    docs = corpus_pipeline.identify_language(spark, docs, data)
+    assert kept(docs) == want
+    assert kept(corpus_pipeline.remove_benchmark(spark, docs, data)) == [x for x in want if x[1] != leak]
+
+
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
 
