@@ -5,7 +5,7 @@ The fixed patterns give the base spans. They are the seeds: the words around the
 no fixed pattern takes (an address written with "(at)", a telephone number without "+", ...) stand in a
 graph with the patterns in which they occur. Scores go to and fro: a pattern's score is the mean score of
 its instances (smoothed), an instance's is one minus the product of what its patterns leave open; seeds
-stay at 1. Instances of a score of at least ``accept`` become spans of the kind ``context``.
+stay at 1. Rounds go on until the scores settle. Instances of a score of at least ``accept`` become spans of the kind ``context``.
 
 A text is read once: its base spans and candidates are a narrow row, which is checkpointed. Positions come
 from splitting at marks put around each match; the mark's own character is first exchanged for another one,
@@ -118,21 +118,36 @@ def candidates(narrow: DataFrame) -> DataFrame:
     return c.where("kind is not null").select("row", "start", "end", "text", "seed", "kind", patterns.alias("patterns"))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, support: int = 3, accept: float = 0.8) -> DataFrame:
-    """kind, text, score of the accepted instances that no base span meets. found: rows of :func:`candidates`."""
+def bootstrap(found: DataFrame, rounds: int = 1000, support: int = 3, accept: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """kind, text, score of the accepted instances that no base span meets. found: rows of :func:`candidates`.
+
+    Rounds go on until no score moves by ``tolerance`` and no pattern joins; more than ``rounds`` are an error. A
+    pattern scores once ``support`` of its instances are seeds or accepted. From 0, scores only rise, so
+    the outcome does not depend on the order. Instances of one pattern alone are solved at once with its score.
+    """
     edges = found.select("kind", "text", F.explode("patterns").alias("pattern"), F.col("seed").isNotNull().alias("is_seed"))
     edges = edges.groupBy("kind", "pattern", "text").agg(F.max("is_seed").alias("is_seed"))
-    # Only patterns with seeds of their own can score, and only those with other instances can find any.
+    # Only patterns with other instances can find any, and fewer instances than the support never score.
     of = edges.groupBy("kind", "pattern").agg(F.sum(F.col("is_seed").cast("long")).alias("seeds"), F.count("*").alias("instances"))
-    of = of.where((F.col("seeds") >= support) & (F.col("instances") > F.col("seeds")))
+    of = of.where((F.col("instances") >= support) & (F.col("instances") > F.col("seeds")))
     edges = edges.where("not is_seed").join(of, ["kind", "pattern"]).select("kind", "pattern", "text", "seeds", "instances").checkpoint()
-    scored = edges.select("kind", "text").distinct().withColumn("score", F.lit(0.0))
+    scored = edges.select("kind", "text").distinct().withColumn("score", F.lit(0.0)).checkpoint()
     for _ in range(rounds):
-        sums = edges.join(scored, ["kind", "text"]).groupBy("kind", "pattern").agg(F.sum("score").alias("sum"), F.max("seeds").alias("seeds"), F.max("instances").alias("instances"))
-        patterns = sums.select("kind", "pattern", ((F.col("seeds") + F.col("sum")) / (F.col("instances") + 2)).alias("p"))
-        scored = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.99)))))).alias("score"))
-        scored = scored.checkpoint()
-    return scored.where(F.col("score") >= accept)
+        now = edges.join(scored, ["kind", "text"])
+        backed = F.max("seeds") + F.sum((F.col("score") >= accept).cast("long"))
+        able = now.groupBy("kind", "pattern").agg(backed.alias("backed")).where(F.col("backed") >= support).drop("backed").checkpoint()
+        now = now.join(able, ["kind", "pattern"], "left_semi")
+        now = now.join(now.groupBy("kind", "text").agg(F.count("*").alias("of")), ["kind", "text"]).checkpoint()
+        others, alone = F.sum(F.when(F.col("of") > 1, F.col("score")).otherwise(0.0)), F.sum((F.col("of") == 1).cast("long"))
+        patterns = now.groupBy("kind", "pattern").agg(((F.max("seeds") + others) / (F.max("instances") + 2 - alone)).alias("p"))
+        new = now.join(patterns, ["kind", "pattern"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.99)))))).alias("new"))
+        moved = scored.join(new, ["kind", "text"], "left").withColumn("new", F.greatest("score", F.coalesce("new", F.lit(0.0))))
+        moved = moved.select("kind", "text", F.col("new").alias("score"), (F.col("new") - F.col("score")).alias("step"), ((F.col("new") >= accept) & (F.col("score") < accept)).alias("joined")).checkpoint()
+        scored = moved.select("kind", "text", "score")
+        step, joined = moved.agg(F.coalesce(F.max("step"), F.lit(0.0)), F.coalesce(F.max("joined"), F.lit(False))).first()
+        if step < tolerance and not joined:
+            return scored.where(F.col("score") >= accept)
+    raise RuntimeError(f"scores of contextual patterns still move after {rounds} rounds")
 
 
 def private_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:

@@ -422,3 +422,21 @@ def test_private_data_by_context(spark):
     texts = [f"a reach me at phone: +1 555 123 45{k:02d} now" for k in range(10)] + ["b reach me at phone: 555 987 6543 now", "the count was 555 987 6543 apples"]
     got = pii.private_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got if r["n_context"]} >= {10} and not any(r["n_context"] for r in got if r["doc_id"] < 10)
+
+
+def test_scores_settle(spark):
+    rows_ = [("phone", f"s{k}", "phone", ["before call me"]) for k in range(20)] + [("phone", f"n{k}", None, ["before call me"]) for k in range(40)]
+    # Accepted instances are the only support of a second pattern, in which others stand.
+    rows_ += [("phone", f"n{k}", None, ["before ring on"]) for k in range(30)] + [("phone", "far", None, ["before ring on"])]
+    rows_ += [("phone", f"t{k}", "phone", ["before few seeds"]) for k in range(2)] + [("phone", "few", None, ["before few seeds"])]
+    found = spark.createDataFrame([(k, 0, 1, text, seed, kind, patterns) for k, (kind, text, seed, patterns) in enumerate(rows_)], "row long, start int, end int, text string, seed string, kind string, patterns array<string>")
+    got = {r["text"]: r["score"] for r in pii.bootstrap(found).collect()}
+    assert got.keys() == {*(f"n{k}" for k in range(40)), "far"}
+    want, p, q = {}, 0.0, 0.0
+    for _ in range(5000):  # one score after another
+        both, one, far = 1 - (1 - min(p, 0.99)) * (1 - min(q, 0.99)), min(p, 0.99), min(q, 0.99)
+        p, q = (20 + 30 * both + 10 * one) / 62, (30 * both + far) / 33 if both >= 0.8 else 0.0
+    want = {**{f"n{k}": both if k < 30 else one for k in range(40)}, "far": far}
+    assert all(abs(got[t] - want[t]) < 1e-4 for t in want)
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(found, rounds=1)
