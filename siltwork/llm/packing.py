@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +33,20 @@ _OPEN = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [c.split()[0] for c in _OPEN.split(", ")]
 #: So many partitions' open windows are merged in one task.
 MERGED = 64
-_CACHE = 600_000
+#: An encoder keeps so many words; beyond, it starts anew.
+_CACHE = 1_000_000
+#: Code points encoded at once.
+_SLICE = 4_000_000
 #: Characters whose lower case, classes and normal form Python and the tokenizer library surely give alike.
-_PLAIN = re.compile("[^\\x00-\\x1b\\x20-ɏ]|[²³¹¼-¾İŉ]|<\\|")
+_ODD = re.compile("[^\\x00-\\x1b\\x20-ɏ]|[²³¹¼-¾İŉ]")
+_PLAIN_BYTES = bytes(c for c in range(256) if not _ODD.match(chr(c)))
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class Merges:
     """The merges of a BPE file with word ends, done on many pieces at once: the pair of the least rank, the leftmost first."""
 
-    LONGEST = 64
+    LONGEST, BITS = 64, 18
     _NONE = np.int32(1 << 30)
 
     def __init__(self, spec: dict) -> None:
@@ -55,21 +60,30 @@ class Merges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.span = np.int64(len(vocab) + 1)
         keys = np.array([vocab[a] * int(self.span) + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int32)
+        #: Pairs by hash, in as many tables as it takes for each to have a slot of its own.
+        self.tables = []
+        left = np.arange(len(keys))
+        while len(left):
+            shift, odd = np.uint64(64 - self.BITS), np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
+            slot = (keys[left].astype(np.uint64) * odd >> shift).astype(np.int64)
+            _, first = np.unique(slot, return_index=True)
+            key, rank = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, self._NONE, np.int32)
+            key[slot[first]], rank[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((odd, shift, key, rank))
+            left = np.delete(left, first)
         self.joined = np.array([vocab[a + b] for a, b in pairs], np.int32)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.span + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], self._NONE)
-
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of piece after piece, how many each has); pieces of 1 to LONGEST bytes."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        count, kept = np.zeros(len(pieces), np.int64), []
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        begins = np.cumsum(sizes) - sizes
+        key = np.where((a >= 0) & (b >= 0), a * self.span + b, -2)
+        out = np.full(key.shape, self._NONE, np.int32)
+        for odd, shift, keys, rank in self.tables:
+            slot = (key.astype(np.uint64) * odd >> shift).astype(np.int64)
+            np.copyto(out, rank[slot], where=keys[slot] == key)
+        return out
+
+    def __call__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of piece after piece, how many each has); pieces of 1 to LONGEST bytes of the data."""
+        count, kept = np.zeros(len(sizes), np.int64), []
         low = 0
         for high in (4, 8, 12, 16, 24, 32, self.LONGEST):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
@@ -138,21 +152,27 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         first = len(self.index)
-        split = [_PIECE.findall(w) for w in new]
-        known = {p: k for k, p in enumerate({p for ps in split for p in ps})}
-        raw = [p.encode() for p in known]
-        long = [k for k, p in enumerate(raw) if len(p) > Merges.LONGEST]
-        ids, count = self.merges([b"a" if len(p) > Merges.LONGEST else p for p in raw])
-        if long:  # such pieces go to the library
+        whole = [w for w in new if w.isalpha()]  # each is one piece
+        split = [_PIECE.findall(w) for w in new if not w.isalpha()]
+        known = dict(zip(whole, range(len(whole)), strict=True))
+        rest = np.fromiter((known.setdefault(p, len(known)) for ps in split for p in ps), np.int64)
+        new = [*whole, *(w for w in new if not w.isalpha())]
+        raw = pa.array(list(known), pa.large_string())
+        _, offsets, data = raw.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(raw) + 1]
+        size = np.diff(offsets)
+        long = np.flatnonzero(size > Merges.LONGEST)  # such pieces go to the library
+        ids, count = self.merges(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], np.where(size > Merges.LONGEST, 1, size))
+        if len(long):
             parts = np.split(ids, np.cumsum(count)[:-1])
-            for k in long:
-                parts[k] = np.array(self.library.encode(raw[k].decode(), add_special_tokens=False).ids, np.uint32)
+            for k in long.tolist():
+                parts[k] = np.array(self.library.encode(raw[k].as_py(), add_special_tokens=False).ids, np.uint32)
             ids, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter((known[p] for ps in split for p in ps), np.int64)
+        at = np.concatenate([np.arange(len(whole)), rest])
         own = count[at]
         ends = np.cumsum(own)
         flat = ids[np.repeat((np.cumsum(count) - count)[at] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        sizes = np.diff(np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, split)])])
+        sizes = np.diff(np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *[1] * len(whole), *map(len, split)])])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) > len(self.begin):
@@ -165,31 +185,56 @@ class Encoder:
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        pieces, owners = [], []
+        lowered, owners = [], []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif not self.cached or _PLAIN.search(t):
+            elif not self.cached or not plain(t):
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
-                pieces.append(t.lower().split())
+                lowered.append(t.lower())
                 owners.append(i)
-        flat = [p for ps in pieces for p in ps]
+        if not owners:
+            return out
         if len(self.index) > _CACHE:
             self.clear()
-        new = list(set(flat).difference(self.index))
+        # Arrow splits and numbers the words; only the different ones of these texts are looked up.
+        split = pc.utf8_split_whitespace(pa.array(lowered, pa.string()))
+        words = split.values.dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = list(set(names).difference(self.index))
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cut = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, pieces)])]
+        cut = np.concatenate([np.zeros(1, np.int64), ends])[split.offsets.to_numpy()]
         for k, i in enumerate(owners):
             out[i] = ids[cut[k] : cut[k + 1]]
         return out
 
 
+def plain(text: str) -> bool:
+    """True if all characters are ones that Python and the tokenizer library surely treat alike, and no special token is spelled."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return _ODD.search(text) is None
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept by a worker from task to task with what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def power_of_two(n: int) -> bool:
     return n & (n - 1) == 0
 
@@ -258,8 +303,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, open_windows: int = 16,
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encode, packer, serial, ready = Encoder(path), Packer(window, open_windows, min_head), 0, []
-        for batch, texts in sliced(batches, "text"):
+        encode, packer, serial, ready = encoder(path), Packer(window, open_windows, min_head), 0, []
+        for batch, texts in sliced(batches, "text", _SLICE):
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 for pieces in packer.add(doc, np.append(ids, np.uint32(end_id))):
                     ready.append(((part << 32) + serial, pieces, False))
