@@ -1,18 +1,19 @@
-"""Benchmark decontamination by pairs of words, in DataFrame functions only.
+"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A document is contaminated by an item if at least min(``least``, 80 % of the item's words) words match on one
-alignment (document position minus item position), wherever on it they stand. Items of 5 to 7 words are sought
-as a whole; shorter ones say nothing and are not sought.
+alignment (document position minus item position), wherever on it they stand. Items of under ``SPAN`` words are
+sought as whole sequences, down to a single word; an item without a word matches nothing.
 
 No alignment is missed: if t of n words match, three neighbours among them lie within (n - 1) / ((t - 1) / 2)
-words (rounded down), and two of these within half of that. So each word of a document gets one hash per
-distance to a later word, up to that half; these are joined with the pairs of the items, and a pair with a third
-match near it has the whole item compared word by word. Items so long for their threshold that the
-distance passes ``REACH`` are joined word by word instead.
-
-Words are maximal runs of letters and digits, in lower case. Defined results: null and empty texts match
-nothing; the best alignment is reported for each doc_id and item, over all rows repeated under a doc_id;
-a null item_id is reported as null; other columns are not read; empty tables give an empty table.
+words (rounded down), and two of these within half of that. So the fixed masks keep two words at each distance up to
+that half and ignore what stands between; their hashes are joined with those of the items, and a hit with a third
+match near it has the whole item compared word by word, substitutions allowed. Items so long or so short for their
+threshold that the distance passes ``REACH`` are joined word by word instead.
+
+Words are maximal runs of letters and digits, in lower case; texts of any length are read whole. Defined results:
+null and empty texts match nothing; the best alignment is reported for each doc_id and item, over all rows
+repeated under a doc_id; a null item_id is reported as null; other columns are not read; empty tables give an empty
+table. :func:`clean` keeps or drops each row by its own text.
 """
 
 from __future__ import annotations
@@ -25,15 +26,14 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.chosenpath import number
 
-SHORTEST = 5
 #: Items of at least so many words need not match as a whole.
 SPAN = 8
-#: The kept words of the spaced seeds in the SQL of :func:`oracle`, which counts in windows of ``SPAN`` words.
-MASKS = [(0, 1, 2, 4, 7), (0, 2, 3, 5, 7), (0, 1, 3, 6, 7), (0, 3, 4, 6, 7)]
 #: The longest distance over which three matches are sought; it holds for items of 102 words at the threshold of 13.
 REACH = 16
 #: So many pairs, each with the words of its item, are broadcast at once; more are sought in several passes.
 BROADCAST_SEEDS = 300_000
+#: So many contaminated rows' numbers are broadcast; more are joined by shuffle.
+BROADCAST_FOUND = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -73,7 +73,7 @@ def _far(own: DataFrame, items: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, matched_words, item_words of contaminated documents. Documents are not shuffled; matches are grouped by alignment."""
     items = benchmark.select(F.xxhash64(benchmark[item_column].cast("long"), benchmark[item_text]).alias("item"), benchmark[item_column].cast("long").alias("item_id"), words(benchmark[item_text]).alias("own"))
-    items = items.withColumn("n", F.size("own")).where(F.col("n") >= SHORTEST).distinct()
+    items = items.withColumn("n", F.size("own")).where(F.get("own", F.lit(0)) != "").distinct()
     items = items.withColumn("t", F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.least(F.lit(least), F.ceil(F.col("n") * 0.8).cast("int"))))
     sizes = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}
     reaches = {n: _reach(n, _least(n, least)) for n in sizes}
@@ -97,24 +97,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_column:
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The documents, all columns, whose own text is not contaminated."""
     numbered = docs.withColumn("__row", number(docs[id_column].cast("long"), docs[options.get("text_column", "text")]))
-    found = overlaps(numbered, benchmark, id_column="__row", **options).select(F.col("doc_id").alias("__contaminated")).distinct()
+    found = overlaps(numbered, benchmark, id_column="__row", **options).select(F.col("doc_id").alias("__contaminated")).distinct().checkpoint()
+    found = F.broadcast(found) if found.count() <= BROADCAST_FOUND else found
     return numbered.join(found, F.col("__row") == F.col("__contaminated"), "left_anti").drop("__row")
 
 
 def oracle(least: int = 13) -> str:
-    """DuckDB SQL for the rows of :func:`overlaps` over ``documents`` and ``benchmark``, with words in place of hashes."""
-    lead = ", ".join(f"lead(w, {k}) OVER (PARTITION BY id ORDER BY pos) AS w{k}" for k in range(1, SPAN))
-    key = lambda mask, label: "'" + label + "' || " + " || ' ' || ".join(f"w{k}" for k in mask)
-    keys = "[" + ", ".join([key(m, f"m{i} ") for i, m in enumerate(MASKS)] + [key(tuple(range(n)), f"s{n} ") for n in range(SHORTEST, SPAN)]) + "]"
+    """DuckDB SQL for the rows of :func:`overlaps` over ``documents`` and ``benchmark``: alignments that share a pair of
+    words (or a word, for items that need it), then all matches on each."""
+    half = REACH // 2
+    lead = ", ".join(f"lead(w, {k}) OVER (PARTITION BY id ORDER BY pos) AS w{k}" for k in range(1, half + 1))
+    pairs = "[w] || [x for x in [" + ", ".join(f"'{k} ' || w || ' ' || w{k}" for k in range(1, half + 1)) + "] if x is not null]"
 
     def side(table: str, column: str) -> str:
-        return rf"""SELECT id, n, pos, w AS w0, {", ".join(f"w{k}" for k in range(1, SPAN))}, unnest({keys}) AS k FROM (SELECT id, n, pos, w, {lead} FROM
-          (SELECT id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT {column} AS id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM {table}) WHERE ws[1] <> ''))"""
+        return rf"""SELECT id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS pos
+          FROM (SELECT {column} AS id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM {table}) WHERE ws[1] <> ''"""
 
-    matched = ", ".join(f"CASE WHEN d.w{k} = b.w{k} THEN b.pos + {k} END" for k in range(SPAN))
     return f"""
-WITH d AS ({side("documents", "doc_id")}), b AS ({side("benchmark", "item_id")}),
-s AS (SELECT * FROM b WHERE k LIKE 'm%' OR (pos = 0 AND k LIKE 's' || n || ' %')),
-h AS (SELECT d.id AS doc_id, b.id AS item_id, b.n AS n, d.pos - b.pos AS line, unnest([{matched}]) AS p FROM d JOIN s b ON d.k = b.k),
-l AS (SELECT doc_id, item_id, n, line, count(DISTINCT p) AS m FROM h GROUP BY ALL)
-SELECT doc_id, item_id, max(m) AS matched_words, max(n) AS item_words FROM l WHERE m >= least({least}, ceil(n * 0.8)) GROUP BY doc_id, item_id"""
+WITH d AS ({side("documents", "doc_id")}), b0 AS ({side("benchmark", "item_id")}),
+b AS (SELECT *, CASE WHEN n < {SPAN} THEN n ELSE least({least}, CAST(ceil(n * 0.8) AS BIGINT)) END AS t FROM b0),
+dk AS (SELECT id, pos, unnest({pairs}) AS k FROM (SELECT *, {lead} FROM d)),
+bk AS (SELECT id, pos, n, t, unnest({pairs}) AS k FROM (SELECT *, {lead} FROM b)),
+s AS (SELECT * FROM bk WHERE (contains(k, ' ') AND t >= 3 AND (n - 1) // ((t - 1) // 2) <= {REACH}) OR (NOT contains(k, ' ') AND (t < 3 OR (n - 1) // greatest((t - 1) // 2, 1) > {REACH}))),
+h AS (SELECT DISTINCT dk.id AS doc_id, s.id AS item_id, dk.pos - s.pos AS line FROM dk JOIN s USING (k)),
+l AS (SELECT h.doc_id, h.item_id, h.line, any_value(b.n) AS n, any_value(b.t) AS t, count(*) AS m
+  FROM h JOIN b ON b.id = h.item_id JOIN d ON d.id = h.doc_id AND d.pos = h.line + b.pos AND d.w = b.w GROUP BY h.doc_id, h.item_id, h.line)
+SELECT doc_id, item_id, max(m) AS matched_words, max(n) AS item_words FROM l WHERE m >= t GROUP BY doc_id, item_id"""

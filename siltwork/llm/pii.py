@@ -9,8 +9,11 @@ stay at 1. Rounds go on until the scores settle. Instances of a score of at leas
 
 A text is read once: its base spans and candidates are a narrow row, which is checkpointed. Positions come
 from splitting at marks put around each match; the mark's own character is first exchanged for another one,
-so positions hold for any text. Defined results: a null text is an empty one; repeated rows keep their own
-spans; spans of different kinds may overlap; other columns are not read.
+so positions hold for any text. The words of a context are whole words, however long; one of over ``LONG_WORD``
+characters stands for itself by its digest.
+
+Defined results: a null or empty text has no span; texts of any length are read whole; repeated rows keep their own
+spans; spans of different kinds may overlap; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from siltwork.sources.session import shared_folder
 #: given back, so that long runs neither recurse nor are tried again from each of their characters.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must have for a pattern to be tried.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Shapes of candidates: addresses with a written-out sign, and groups of digits.
-CANDIDATE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9.-]++|(?<![A-Za-z0-9])[0-9][0-9 ().-]{5,24}[0-9](?![A-Za-z0-9])"
-_CANDIDATE_NEEDS = r"@|[(\[](?:at|AT)[)\]]|[0-9][0-9 ().-]{5}"
+#: Shapes of candidates: addresses with a written-out sign, and groups of digits as long as the identifiers of the base
+#: kinds may be (7 to 19 digits, two neighbours parted by two signs at most).
+CANDIDATE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9.-]++|(?<![A-Za-z0-9])[0-9](?:[ ().-]{0,2}[0-9]){6,18}+(?![A-Za-z0-9])"
+_CANDIDATE_NEEDS = r"@|[(\[](?:at|AT)[)\]]|[0-9](?:[ ().-]{0,2}[0-9]){6}"
+LONG_WORD = 64
 KINDS = [*PATTERNS, "context"]
 
 
@@ -43,19 +48,42 @@ def _parts(text: Column, pattern: str, needs: str) -> Column:
 
 
 _SPAN = "array<struct<start:int,end:int,text:string>>"
+#: Parts are summed up in blocks of so many (an even number), so that a text with very many matches takes no square of them.
+_BLOCK = 512
+
+
+def _ends(lengths: Column) -> Column:
+    """The running sums of an array."""
+
+    def grow(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    inside = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK)), lambda k: F.aggregate(F.slice(lengths, k, F.lit(_BLOCK)), zero, grow))
+    whole = F.aggregate(F.transform(inside, lambda b: b["at"]), zero, grow, lambda acc: acc["ends"])
+    return F.flatten(F.zip_with(inside, whole, lambda b, end: F.transform(b["ends"], lambda e: e + end - b["at"])))
 
 
 def _placed(parts: Column) -> Column:
     """Starts, ends and texts of the matches among parts; ends are exclusive, in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit(None).cast(_SPAN).alias("out"))
+    at = F.struct(parts.alias("parts"), _ends(F.transform(parts, F.char_length)).alias("ends"))
+    spans = F.transform(F.array(at), lambda x: F.transform(F.sequence(F.lit(1), F.size(x["parts"]) - 1, F.lit(2)), lambda i: F.struct(F.get(x["ends"], i - 1).alias("start"), F.get(x["ends"], i).alias("end"), F.get(x["parts"], i).alias("text"))))
+    return F.when(F.size(parts) > 1, F.get(spans, F.lit(0)).cast(_SPAN))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("text")))
-        out = F.when(acc["match"], F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.cast(_SPAN).alias("out"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda acc: acc["out"]))
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """True if one of the spans, which are sorted and apart, meets start..end: by binary search for the last that begins before ``end``."""
+    n = F.size(spans)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        before = F.get(spans, middle)["start"] < end
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda acc: acc["low"] - 1)
+    return F.when(n > 0, F.coalesce(F.get(spans, last)["end"] > start, F.lit(False))).otherwise(False)
 
 
 def _digits(text: Column) -> Column:
@@ -81,23 +109,36 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(kind + ":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
-def _word(text: Column, pattern: str) -> Column:
-    """A word of a context in lower case, digits as 0; null if there is none."""
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(text, pattern, 1)), "[0-9]", "0"), F.lit(""))
+def _context(part: Column, pattern: str, group: int, back: bool) -> Column:
+    """A word next to a match in lower case, digits as 0; null if there is none. What stands before is read backwards, so
+    that the pattern is tried at one place only."""
+    word = F.regexp_extract(F.reverse(part) if back else part, pattern, group)
+    word = F.regexp_replace(F.lower(F.reverse(word) if back else word), "[0-9]", "0")
+    return F.nullif(F.when(F.length(word) > LONG_WORD, F.sha2(F.encode(word, "UTF-8"), 256)).otherwise(word), F.lit(""))
+
+
+_BEFORE, _BEFORE2, _AFTER = r"^[+(]*+\s++(\S++)", r"^[+(]*+\s++\S++\s++(\S++)", r"^\s*+(\S++)"
 
 
 def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row, an array of base spans of each kind, and the candidates with the text around them. One pass, no shuffle."""
+    """doc_id, row, an array of base spans of each kind, and the candidates with the words around them. One pass, no shuffle."""
     text = F.translate(F.coalesce(docs[text_column], F.lit("")), "\x01", "\x02")
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     cut = src.select("doc_id", "row", *[_parts(F.col("text"), p, _NEEDS[k]).alias(k) for k, p in PATTERNS.items()], _parts(F.col("text"), CANDIDATE, _CANDIDATE_NEEDS).alias("parts"))
     placed = cut.select("doc_id", "row", *[_placed(F.col(k)).alias(k) for k in PATTERNS], "parts", _placed(F.col("parts")).alias("found"))
     kept = placed.select("doc_id", "row", *[_held(k).alias(k) for k in PATTERNS], "parts", "found")
+    def seed(s: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for k in reversed(list(PATTERNS)):
+            kind = F.when(_meets(F.col(k), s["start"], s["end"]), k).otherwise(kind)
+        return kind
+
     around = F.transform(
         F.col("found"),
         lambda s, i: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("text"),
-            F.substring(F.get(F.col("parts"), 2 * i), -80, 80).alias("before"), F.substring(F.get(F.col("parts"), 2 * i + 2), 1, 60).alias("after"),
+            _context(F.get(F.col("parts"), 2 * i), _BEFORE, 1, True).alias("l1"), _context(F.get(F.col("parts"), 2 * i), _BEFORE2, 1, True).alias("l2"),
+            _context(F.get(F.col("parts"), 2 * i + 2), _AFTER, 1, False).alias("r"), seed(s).alias("seed"),
         ),
     )
     return kept.select("doc_id", "row", *PATTERNS, F.when(F.col("found").isNotNull(), around).alias("candidates"))
@@ -105,16 +146,11 @@ def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def candidates(narrow: DataFrame) -> DataFrame:
     """A row per candidate: its kind of shape, whether a base span meets it, and its lexical patterns."""
-    c = narrow.select("row", *PATTERNS, F.explode("candidates").alias("c"))
-    meets = lambda k: F.exists(k, lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    kind = F.lit(None).cast("string")
+    c = narrow.select("row", F.explode("candidates").alias("c"))
     n = F.length(_digits(F.col("c.text")))
     shape = F.when(F.col("c.text").rlike(r"@|[(\[]at[)\]]"), "email").when(F.col("c.text").rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(n >= 13, "card").when(n.between(7, 12), "phone")
-    for k in reversed(list(PATTERNS)):
-        kind = F.when(meets(k), k).otherwise(kind)
-    left2, left1, right = _word(F.col("c.before"), r"(\S+\s+\S+)\s+[+(]*$"), _word(F.col("c.before"), r"(\S+)\s+[+(]*$"), _word(F.col("c.after"), r"^\s*(\S+)")
-    c = c.select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("text"), kind.alias("seed"), F.coalesce(kind, shape).alias("kind"), left2.alias("l2"), left1.alias("l1"), right.alias("r"))
-    patterns = F.filter(F.array(F.concat(F.lit("before "), F.regexp_replace("l2", r"\s+", " ")), F.concat(F.lit("around "), F.col("l1"), F.lit(" _ "), F.col("r"))), lambda p: p.isNotNull())
+    c = c.select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("text"), "c.seed", F.coalesce("c.seed", shape).alias("kind"), "c.l1", "c.l2", "c.r")
+    patterns = F.filter(F.array(F.concat(F.lit("before "), "l2", F.lit(" "), "l1"), F.concat(F.lit("around "), "l1", F.lit(" _ "), "r")), lambda p: p.isNotNull())
     return c.where("kind is not null").select("row", "start", "end", "text", "seed", "kind", patterns.alias("patterns"))
 
 

@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -391,6 +392,15 @@ def test_decontamination_counts_whole_alignments(spark, monkeypatch):
         assert got == want and len(want) > 40
 
 
+def test_decontamination_seeks_short_items(spark):
+    texts = [(1, "we met at the Old mill, today"), (2, "the mill is old"), (3, "old"), (4, "mill"), (5, "one, two; three"), (6, "one two four three"), (None, "Old mill"), (7, None), (8, "x " * 40_000 + "old mill")]
+    bench = [(1, "old mill"), (2, "one two three"), (3, "absent"), (4, "..."), (5, None), (6, "today")]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched_words"], r["item_words"]) for r in decontaminate.overlaps(d, b).collect()}
+    assert got == {(1, 1, 2, 2), (None, 1, 2, 2), (5, 2, 3, 3), (1, 6, 1, 1), (8, 1, 2, 2)}
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {2, 3, 4, 6, 7}
+
+
 # 10
 
 
@@ -424,6 +434,33 @@ def test_private_data_by_context(spark):
     assert {r["doc_id"] for r in got if r["n_context"]} >= {10} and not any(r["n_context"] for r in got if r["doc_id"] < 10)
 
 
+def test_bootstrap_reaches_what_only_context_shows(spark):
+    """Planted identifiers without a base form, in sentences of a few kinds; numbers elsewhere must stay alone."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    long = "w" * 100
+    seeds = [f"so call me at +1 555 {digits(3)} {digits(4)} please" for _ in range(30)] + [f"write to {w}@mail.example today" for w in ("ann", "bob", "eve", "joe", "kim")] + [f"{long} line +1 555 {digits(3)} {digits(4)} ok" for _ in range(30)]
+    both = [f"555 {digits(3)} {digits(4)}" for _ in range(8)]
+    hidden = [f"so call me at {x} please" for x in both] + [f"write to {w} (at) mail.example today" for w in ("liz", "max")]
+    # A second sentence, known only by numbers that the first one gave away; and one behind a word of 100 letters.
+    hidden += [f"my desk line: {x} rings" for x in both] + [f"my desk line: 555 {digits(3)} {digits(4)} rings" for _ in range(4)] + [f"{long} line 555 {digits(3)} {digits(4)} ok"]
+    clean = [f"{w} sold 555 {digits(3)} {digits(4)} {v}" for w, v in zip("abcdefghij", "klmnopqrst", strict=True)] + [f"{'w' * 99}x line 555 {digits(3)} {digits(4)} yes", "at 1 2 3 of 4"]
+    texts = [*seeds, *hidden, *clean]
+    got = {r["doc_id"]: r["n_context"] for r in pii.private_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {k for k, n in got.items() if n}
+    want = set(range(len(seeds), len(seeds) + len(hidden)))
+    assert found == want, (sorted(want - found), sorted(found - want))
+
+
+def test_private_data_in_long_runs(spark):
+    n = 100_000
+    texts = ["1" * n, "1." * (n // 2), "1.2.3." * (n // 6), "1 " * (n // 2), "+1" + " " * n, "a" * n + "@", "a@" * (n // 2), "+" * n, "(at)" * (n // 4), "x " * (n // 2) + "1.2.3.4", "w" * n + " 5551234567 " + "v" * n]
+    start = time.time()
+    got = {r["doc_id"]: r for r in pii.private_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert got[9]["n_ip"] == 1 and got[1]["n_ip"] == n // 8 and got[0]["n_ip"] == got[5]["n_email"] == 0
+
+
 def test_scores_settle(spark):
     rows_ = [("phone", f"s{k}", "phone", ["before call me"]) for k in range(20)] + [("phone", f"n{k}", None, ["before call me"]) for k in range(40)]
     # Accepted instances are the only support of a second pattern, in which others stand.
