@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import io
 import itertools
 import random
 import re
@@ -234,15 +235,42 @@ def test_warc(spark, data):
     w = warc.BundleWriter(frame_bytes=100)
     for k in range(9):
         w.add(*warc.record(k, f"http://a/{k}", b"x" * 40 * k, None))
-    r = warc.BundleReader(w.finish())
+    bundle = w.finish()
+    r = warc.BundleReader(io.BytesIO(bundle), len(bundle))
     for k, (f, o) in enumerate(zip(w.frames, w.offsets, strict=True)):
         assert r.record(f, o)[0]["X-Page"] == str(k) and r.record(f, o)[1].endswith(b"x" * 40 * k)
     import zstandard
 
-    whole = zstandard.ZstdDecompressor().stream_reader(r.bundle, read_across_frames=True).read()
+    whole = zstandard.ZstdDecompressor().stream_reader(bundle, read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == 9
 
 
+def test_warc_files(spark, data, tmp_path):
+    import zstandard
+
+    pages = registry.table(spark, data, "pages").select("page_id", "url", "html").orderBy(F.rand()).repartition(3)  # in no fixed order
+    pages = pages.unionByName(pages.where("page_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "n", None), (None, "n", None), (4000, None, "x" * 3_000_000), (4001, "", "x" * 3_000_000)], pages.schema))
+    want = sorted(((r["page_id"], len((r["html"] or "").encode()), base64.b32encode(hashlib.sha1((r["html"] or "").encode()).digest()).decode()) for r in pages.collect()), key=repr)
+    got = warc.archive(pages, str(tmp_path)).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got), key=repr) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["payload_digest"], []).append(r)
+    for rs in by.values():
+        ids = [r["page_id"] for r in rs if r["page_id"] is not None]
+        if ids:
+            assert [r["page_id"] for r in rs if r["record_type"] == "response"] == [min(ids)] and all(r["refers_to"] == min(ids) for r in rs if r["record_type"] == "revisit")
+        else:
+            assert all(r["record_type"] == "response" for r in rs)
+    files = list(tmp_path.glob("warc-*/bundles/*"))
+    assert files and all(f.name.endswith(".warc.zst") for f in files)
+    whole = b"".join(zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read() for f in files)
+    assert whole.count(b"WARC/1.1\r\n") == len(got)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(set(ids)) == len(ids) and set(re.findall(rb"WARC-Refers-To: (\S+)", whole)) <= set(ids)
+    assert warc.archive(pages.limit(0), str(tmp_path)).count() == 0
+
+
 # 7
 
 
