@@ -1,21 +1,27 @@
 """Secret scans: fixed patterns, plus a linear-chain conditional random field over the tokens of the whole text.
 
 Tokens are runs of letters, digits and ``+/_-.``; a token's label is O (outside), B (a secret begins) or
-I (it goes on). Features are the token's shape, the words before and after it, what separates it from
-the word before, and features of the file. The field is trained by gradient steps on the exact
-log-likelihood of windows from the ``sample`` documents with the least hashes (the documented bound of its
-sample), labelled by the fixed patterns; it then tags all tokens of all documents by Viterbi.
-
-Defined results: a null text is an empty one and has no span; repeated rows are scanned each on its own;
-overlapping spans of different kinds are all kept; the field only adds spans that meet no pattern's span;
-other columns are not read.
+I (it goes on). Features are the token's shape, the identities (hashed, lower case) of the two words before and the one
+after it, what separates it from the word before, and features of the file. The field is trained by gradient steps
+on the exact log-likelihood of windows from at most ``sample`` documents, at most ``windows_per_document`` of each
+(the documented bounds of its sample), labelled by the fixed patterns. So that it finds more than these: in variants of
+the texts the secrets have other letters and digits, or a secret is put in, and words are joined to compounds that are none; and
+half of the windows come again with their neighbouring words hidden. The field then tags all tokens of all documents by Viterbi.
+
+Defined results: a null or empty text has no span; texts of any length are read whole; repeated rows are scanned each
+on its own; overlapping spans of different kinds are all kept; the field only adds spans that meet no pattern's span;
+other columns are not read; an empty table gives an empty table, and a field that tags nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ["assign", "access", "hex", "tagged"]
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
-#: Words that often stand before a secret; the field weighs them by what it learns.
-KEYWORDS = ["password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential", "private", "session", "akia"]
 _OUT, _BEGIN, _IN = 0, 1, 2
 
 
@@ -64,7 +68,10 @@ def _alphabet() -> np.ndarray:
 
 _BITS = _alphabet()
 #: The number of values of each feature, in order.
-SIZES = [8, 6, 6, 6, 3, 3, 3, 5, 8, 8, 4, 4]
+WORDS = 1024
+SIZES = [8, 6, 6, 6, 3, 3, 3, 5, 25, 8, 4, 4, WORDS + 1, WORDS + 1, WORDS + 1]
+#: The features that are words; 0 is no word, or a hidden one.
+_WORD_FEATURES = slice(12, 15)
 
 
 @dataclass
@@ -75,11 +82,6 @@ class Tokens:
     features: np.ndarray
 
 
-def _keyword_hashes() -> np.ndarray:
-    at = Points(KEYWORDS)
-    return np.unique(at.hashes(at.starts, at.ends))
-
-
 def tokenize(texts: list) -> Tokens:
     """The tokens of the texts with the values of their features, all in numpy."""
     at = Points(texts)
@@ -105,9 +107,11 @@ def tokenize(texts: list) -> Tokens:
     if len(p):
         kind = np.where(bits & 2 > 0, 1, np.where(bits & 4 > 0, 2, np.where(bits & 8 > 0, 3, 4)))
         changes[1:] = kind[1:] != kind[:-1]
+    sort = np.where(bits & 2 > 0, 1, np.where(bits & 4 > 0, 2, np.where(bits & 8 > 0, 3, np.where(p >= 128, 4, 0))))
+    edges = 5 * sort[starts] + sort[ends - 1] if n else starts
     mixing = np.minimum(within(changes, np.minimum(starts + 1, ends), ends), 8) // 2
     small = Points([t.lower() if t and len(t.lower()) == len(t) else t for t in texts])
-    key = np.isin(small.hashes(starts, ends), _keyword_hashes())
+    word = (small.hashes(starts, ends) % np.uint64(WORDS)).astype(np.int16) + np.int16(1)
     shift = lambda x, k: np.concatenate([np.zeros(min(k, n), x.dtype), x[:-k]]) if k > 0 else np.concatenate([x[-k:], np.zeros(min(-k, n), x.dtype)])
     same = lambda k: shift(owner + 1, k) == owner + 1
     code = np.bincount(np.searchsorted(at.ends, np.flatnonzero(bits & 128 > 0), side="right"), minlength=len(texts))
@@ -116,26 +120,70 @@ def tokenize(texts: list) -> Tokens:
     features = np.stack([
         size, share(digit), share(upper), share(lower), np.where(wide > 0, 2, np.where(hexes == length, 1, 0)),
         np.minimum(gap_assign, 2), np.minimum(gap_quote, 2), mixing,
-        np.where(same(1), shift(key, 1), 0) * 1 + np.where(same(2), shift(key, 2), 0) * 2 + key * 4,
-        np.where(same(-1), shift(size, -1), 0), np.searchsorted([1e-4, 1e-3, 1e-2], code / chars, side="right")[owner],
+        edges, np.where(same(-1), shift(size, -1), 0), np.searchsorted([1e-4, 1e-3, 1e-2], code / chars, side="right")[owner],
         np.searchsorted([1e-4, 1e-3, 1e-2], digits / chars, side="right")[owner],
-    ]).astype(np.int8) if n else np.zeros((len(SIZES), 0), np.int8)
+        np.where(same(1), shift(word, 1), 0), np.where(same(2), shift(word, 2), 0), np.where(same(-1), shift(word, -1), 0),
+    ]).astype(np.int16) if n else np.zeros((len(SIZES), 0), np.int16)
     return Tokens(starts, ends, owner, features)
 
 
-def labels(texts: list, t: Tokens, starts: np.ndarray) -> np.ndarray:
-    """B, I and O by the base spans: the value of an assignment, and the other kinds as they stand. starts: of the texts, in tokens' points."""
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """What the field learns as secrets: the value of an assignment, and the other base kinds as they stand."""
+    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    return sorted(found + [(a, b) for a, kind, b in base_spans(text) if kind])
+
+
+def labels(found: list[list[tuple[int, int]]], t: Tokens, starts: np.ndarray) -> np.ndarray:
+    """B, I and O by the spans of each text. starts: of the texts, in tokens' points."""
     out = np.zeros(len(t.starts), np.int8)
-    for i, text in enumerate(texts):
-        for m in ASSIGN.finditer(text or ""):
-            if len(m[2]) >= 12:
-                _mark(out, t, starts[i] + m.start(2), starts[i] + m.end(2))
-        for a, kind, b in base_spans(text or ""):
-            if kind:
-                _mark(out, t, starts[i] + a, starts[i] + b)
+    for i, spans_ in enumerate(found):
+        for a, b in spans_:
+            _mark(out, t, starts[i] + a, starts[i] + b)
     return out
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def made_secret(rng: random.Random) -> str:
+    signs = rng.choice([_LETTERS, _LETTERS, _LETTERS + "_", _LETTERS + "-", _LETTERS + "+/", "0123456789abcdef", "0123456789"])
+    return "".join(rng.choice(signs) for _ in range(rng.randint(16, 44 if len(signs) > 10 else 19)))
+
+
+def other_secrets(text: str, found: list[tuple[int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """The text with other secrets in place of those found, and where they stand."""
+    out, spans_, at, size = [], [], 0, 0
+    for a, b in found:
+        if a >= at:
+            new = made_secret(rng)
+            out += [text[at:a], new]
+            size += a - at
+            spans_.append((size, size + len(new)))
+            size += len(new)
+            at = b
+    return "".join([*out, text[at:]]), spans_
+
+
+def compounds(text: str, rng: random.Random, most: int = 4) -> tuple[str, list[tuple[int, int]]]:
+    """The text with some neighbouring words joined (with signs, as camel case), and numbers, dates and versions, which are
+    no secrets; and with a secret, whose place comes back."""
+    words = text.split(" ")
+    if len(words) < 20:
+        return text, []
+    for _ in range(most):
+        k, n = rng.randrange(len(words) - 4), rng.randint(2, 4)
+        part, number = words[k : k + n], lambda x: str(rng.randrange(1, x))
+        if all(w.isalpha() for w in part):
+            words[k : k + n] = [rng.choice([
+                lambda: rng.choice("-_/.").join(part), lambda: "".join(w.capitalize() for w in part), lambda: part[0] + number(3000), lambda: "".join(part).upper(),
+                lambda: f"{number(3000)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:00", lambda: f"{part[0]}-{number(9)}.{number(30)}.{number(99)}",
+                lambda: f"{number(99)},{number(999)},{number(999)}.{number(99)}", lambda: f"https://{part[0]}.{part[1]}/{part[-1]}.html",
+            ])()]
+    k, new = rng.randrange(len(words)), made_secret(rng)
+    start = sum(len(w) + 1 for w in words[:k])
+    return " ".join([*words[:k], new, *words[k:]]), [(start, start + len(new))]
+
+
 def _mark(out: np.ndarray, t: Tokens, a: int, b: int) -> None:
     inside = np.arange(np.searchsorted(t.ends, a, side="right"), np.searchsorted(t.starts, b))
     if len(inside) and not out[inside].any():
@@ -202,32 +250,53 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 WINDOW = 17
 
 
-def fit(docs: DataFrame, sample: int = 2500, id_column: str = "doc_id", text_column: str = "text") -> Field:
-    """Trains on windows around the base spans of at most ``sample`` documents, and as many windows from elsewhere as documents."""
+def windows(texts: list, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, tags) of the training windows of some texts and their variants, at most ``most`` of each text."""
+    found = [secret_spans(t or "") for t in texts]
+    variants, more = [], []
+    for t, f in zip(texts, found, strict=True):
+        rng = random.Random(zlib.crc32((t or "").encode("utf-8", "surrogatepass")))
+        new, spans_ = other_secrets(t, f, rng) if f else compounds(t or "", rng)
+        variants.append(new)
+        more.append(spans_)
+    out = []
+    for some, spans_ in ((texts, found), (variants, more)):
+        t = tokenize(some)
+        n = len(t.owner)
+        tags = labels(spans_, t, Points(some).starts)
+        first, count = np.searchsorted(t.owner, np.arange(len(some))), np.bincount(t.owner, minlength=len(some))
+        # Where secrets begin; long tokens that are none, which teach most; the middle of each text.
+        centres = np.concatenate([np.flatnonzero(tags == _BEGIN), np.flatnonzero((tags == _OUT) & (t.ends - t.starts >= 12)), first + count // 2])
+        begin = np.clip(centres - WINDOW // 2, 0, max(n - WINDOW, 0))
+        begin = begin[begin + WINDOW <= n]
+        begin = np.unique(begin[t.owner[begin] == t.owner[begin + WINDOW - 1]])
+        rank = np.arange(len(begin)) - np.searchsorted(t.owner[begin], t.owner[begin])
+        begin = begin[rank < most]
+        at = begin[:, None] + np.arange(WINDOW)
+        out.append((t.features[:, at].transpose(1, 2, 0), tags[at]))
+    return np.concatenate([f for f, _ in out]), np.concatenate([x for _, x in out])
+
+
+def fit(docs: DataFrame, sample: int = 2500, windows_per_document: int = 16, id_column: str = "doc_id", text_column: str = "text") -> Field:
+    """Trains on windows of at most ``sample`` documents, those with the least hashes of their doc_id; rows repeated under one doc_id are one."""
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     ids = sorted({r[0] for r in src.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()})
+    chosen = src.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
 
-    def windows(batches):
+    def run(batches):
         for _, texts in sliced(batches, "text"):
-            t = tokenize(texts)
-            tags = labels(texts, t, Points(texts).starts)
-            first = np.searchsorted(t.owner, np.arange(len(texts)))
-            count = np.bincount(t.owner, minlength=len(texts))
-            centres = np.concatenate([np.flatnonzero(tags == _BEGIN), first + count // 2])
-            begin = np.unique(np.clip(centres - WINDOW // 2, 0, None))
-            begin = begin[begin + WINDOW <= len(t.owner)]
-            begin = begin[t.owner[begin] == t.owner[begin + WINDOW - 1]]
-            if len(begin):
-                at = begin[:, None] + np.arange(WINDOW)
-                yield pa.RecordBatch.from_pydict({
-                    "features": pa.array([f.tobytes() for f in t.features[:, at].transpose(1, 2, 0)], pa.binary()), "tags": pa.array([x.tobytes() for x in tags[at]], pa.binary()),
-                })
-
-    rows = src.where(F.col("doc_id").isin(ids)).select("text").mapInArrow(windows, "features binary, tags binary").distinct().toPandas().sort_values(["features", "tags"])
+            features, tags = windows(texts, windows_per_document)
+            if len(tags):
+                yield pa.RecordBatch.from_pydict({"features": pa.array([np.ascontiguousarray(f).tobytes() for f in features], pa.binary()), "tags": pa.array([x.tobytes() for x in tags], pa.binary())})
+
+    rows = chosen.mapInArrow(run, "features binary, tags binary").distinct().toPandas().sort_values(["features", "tags"])
     if not len(rows):
         return Field(np.zeros((sum(SIZES), 3), np.float32), np.zeros((3, 3), np.float32))
-    features = np.stack([np.frombuffer(b, np.int8).reshape(WINDOW, len(SIZES)) for b in rows["features"]])
-    return train(features, np.stack([np.frombuffer(b, np.int8) for b in rows["tags"]]))
+    features = np.stack([np.frombuffer(b, np.int16).reshape(WINDOW, len(SIZES)) for b in rows["features"]])
+    tags = np.stack([np.frombuffer(b, np.int8) for b in rows["tags"]])
+    hidden = features[::2].copy()
+    hidden[:, :, _WORD_FEATURES] = 0
+    return train(np.concatenate([features, hidden]), np.concatenate([tags, tags[::2]]))
 
 
 def find(texts: list, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -239,14 +308,17 @@ def find(texts: list, field: Field) -> list[list[tuple[int, int, int]]]:
     tags = decode(field.emit(t.features), np.bincount(t.owner, minlength=len(texts))[np.unique(t.owner)], field.moves)
     starts = Points(texts).starts
     heads = np.flatnonzero(tags == _BEGIN)
+    stops = np.append(np.flatnonzero(tags != _IN), len(tags))
+    stops = stops[np.searchsorted(stops, heads, side="right")]
+    stops = np.minimum(stops, np.searchsorted(t.owner, t.owner[heads], side="right"))
     added: dict[int, list] = {}
-    for h in heads:
-        stop = h + 1
-        while stop < len(tags) and tags[stop] == _IN and t.owner[stop] == t.owner[h]:
-            stop += 1
+    known: dict[int, tuple[list[int], list[int]]] = {}
+    for h, stop in zip(heads.tolist(), stops.tolist(), strict=True):
         i = int(t.owner[h])
         a, b = int(t.starts[h] - starts[i]), int(t.ends[stop - 1] - starts[i])
-        if not any(x < b and a < y for x, _, y in found[i]):
+        if i not in known:  # starts of the base spans, and the furthest end up to each
+            known[i] = [x for x, _, _ in found[i]], [0, *accumulate((y for _, _, y in found[i]), max)]
+        if known[i][1][bisect_left(known[i][0], b)] <= a:
             added.setdefault(i, []).append((a, 3, b))
     for i, more in added.items():
         found[i] = sorted(found[i] + more)
@@ -256,7 +328,7 @@ def find(texts: list, field: Field) -> list[list[tuple[int, int, int]]]:
 def labels_agree(field: Field, texts: list) -> float:
     """The share of the base spans' first tokens that the field alone tags as a beginning."""
     t = tokenize(texts)
-    want = labels(texts, t, Points(texts).starts) == _BEGIN
+    want = labels([secret_spans(x or "") for x in texts], t, Points(texts).starts) == _BEGIN
     tags = decode(field.emit(t.features), np.bincount(t.owner, minlength=len(texts))[np.unique(t.owner)], field.moves) if len(t.owner) else want
     return float((tags[want] == _BEGIN).mean()) if want.any() else 1.0
 

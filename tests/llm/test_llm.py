@@ -210,6 +210,35 @@ def test_secrets(spark, data, odd):
     assert secrets.scan(odd.limit(0), field).count() == 0
 
 
+def test_field_finds_what_no_pattern_takes(spark, data):
+    rng = random.Random(6)
+    table = registry.table(spark, data, "documents")
+    field = secrets.fit(table)
+    prose = [w for r in table.where("lang = 'en' and n_chars between 500 and 3000").orderBy("doc_id").collect() for w in r["text"].split() if w.isalpha()]
+    words = lambda n: " ".join(rng.choice(prose) for _ in range(n))
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 40)))
+    planted = [(f"{words(12)} {rng.choice(['Authorization: Bearer', 'the login is', 'use', 'credential'])} ", key()) for _ in range(60)]
+    texts = [a + k + " " + words(12) for a, k in planted]
+    assert not any(secrets.base_spans(t) for t in texts)
+    clean = [f"{words(10)} {x} {words(10)}" for x in ("2024-01-31T10:00:00", "src/main/model/view.py", "state-of-the-art-design", "https://www.example.com/a/page.html", "GetFirstElementOfList", "version-2.10.3", "snake_case_name_of_it", "1,234,567.89", "internationalization", "UPPERCASEHEADING") for _ in range(4)]
+    clean += [words(200) for _ in range(40)]
+    found = secrets.find(texts, field)
+    right = sum(any(k == 3 and a <= len(p) and b >= len(p) + len(s) for a, k, b in f) for f, (p, s) in zip(found, planted, strict=True))
+    wrong = sum(len(f) > 0 for f in secrets.find(clean, field))
+    assert right >= 0.9 * len(planted) and wrong <= 0.05 * len(clean), (right, wrong, [c for c, f in zip(clean, secrets.find(clean, field)) if f])
+
+
+def test_secret_spans_in_long_texts():
+    n = 300_000
+    field = secrets.Field(np.zeros((sum(secrets.SIZES), 3), np.float32), np.zeros((3, 3), np.float32))
+    field.weights[:8, 1] = 5.0  # tags each token
+    start = time.time()
+    for t in ("a " * n, "token=abcdefghijkl1 x " * (n // 20), "deadbeefdeadbeef " * (n // 16), "token" * (n // 5), "A" * n):
+        found = secrets.find([t], field)[0]
+        assert found == sorted(found) and not any(k == 3 and x < b and a < y for a, k, b in found[:50] for x, kk, y in found[:200] if kk != 3)
+    assert time.time() - start < 60
+
+
 # 6
 
 
