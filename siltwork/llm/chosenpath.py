@@ -5,7 +5,7 @@
    a path goes on by each token that a hash of (path, token) samples, so that similar sets share paths.
    The sets that share a path of ``DEPTH`` tokens form a bucket. Small buckets are compared by brute force
    on sketches; large ones are split recursively by more sampled tokens, and what does not split (sets that
-   are nearly the same) is compared in random blocks, which differ from path to path.
+   are nearly the same) becomes one candidate group.
 3. Buckets give candidate links; their connected components are candidate groups, which a chosen bound on
    the sketches keeps loose. Runs repeat until ``recall`` is reached for a pair at the threshold.
 4. Inside each candidate group, all pairs are compared exactly on whole shingle sets, in blocks where the
@@ -16,7 +16,8 @@ No step emits the pairs of a group: buckets and groups give one link per member
 Words are runs of characters other than white space, in lower case. A text of one to four words is one
 shingle. Defined results: a null text or one without words has no links, and is its own class (null
 doc_ids too have the class of what they match, or null); repeated rows count as copies; ties of the
-smallest doc_id are one class; other columns are not read; an empty table gives an empty table.
+smallest doc_id are one class; texts of any length are read whole; other columns are not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ RATE = 0.8
 BUCKET, BLOCK = 512, 1024
 #: Up to so many members of candidate groups, their ids are broadcast to the second reading of the texts; beyond, they are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
+#: Up to so many large buckets, their sizes are broadcast; beyond, paths are joined with them under so many salts.
+BROADCAST_PATHS, SALTS = 500_000, 64
 
 _A = mix(np.arange(1, TOKENS + 1, dtype=np.uint64))
 _B = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -125,6 +128,21 @@ def joined(close: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _counted(paths: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The paths with the size ``n`` of their bucket. Large buckets' sizes are broadcast, or joined by salted paths beyond a bound, so that no task gets a whole large bucket."""
+    sizes = sizes.checkpoint()
+    large = sizes.where(F.col("n") > BUCKET).select("path", F.col("n").alias("n_large"))
+    if large.isEmpty():
+        return paths.join(sizes, "path")
+    if large.count() <= BROADCAST_PATHS:
+        marked = paths.join(F.broadcast(large), "path", "left")
+    else:
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+        marked = paths.withColumn("salt", salt).join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["path", "salt"], "left").drop("salt")
+    few = marked.where("n_large is null").select("path", "row").join(sizes.where(F.col("n") <= BUCKET), "path").select("path", "row", "n")
+    return marked.where("n_large is not null").select("path", "row", F.col("n_large").alias("n")).unionByName(few)
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.uint16) for b in column.to_pylist()])
 
@@ -226,12 +244,12 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
         return kept.drop("__row")
     # Of rows repeated under one doc_id with one text, each task sends one on.
     match = F.col("__row") == F.col("__again")
-    once = kept.join(again, match, "left_semi").groupBy("__row").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    once = kept.join(again, match, "left_semi").groupBy("__row", F.xxhash64(docs[text_column], docs[id_column].cast("long"))).agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
     return kept.join(again, match, "left_anti").drop("__row").unionByName(once)
 
 
 def number(doc_id, text):
-    """A document's number in all readings: a hash of its id and text, so only rows that repeat both share it."""
+    """A document's number in all readings: a hash of its id and text, so rows that repeat both share it."""
     return F.xxhash64(doc_id, text)
 
 
@@ -285,13 +303,15 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
     links, depth = None, DEPTH
     while True:
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        live = paths.join(sizes, "path").join(own, "row").select("path", "row", "sketch", "n").checkpoint()
+        live = _counted(paths, sizes).join(own, "row").select("path", "row", "sketch", "n").checkpoint()
         last = depth >= DEEPEST
-        block = F.when(F.col("n") > BUCKET, F.xxhash64("path", F.pmod(F.xxhash64("path", "row"), F.ceil(F.col("n") / BUCKET)))).otherwise(F.col("path"))
-        small = (live if last else live.where(F.col("n") <= BUCKET)).select(block.alias("path"), "row", "sketch")
+        small = live.where(F.col("n") <= BUCKET).select("path", "row", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: _compare_bucket(b, floor), "a long, b long").distinct()
         links = found if links is None else links.unionByName(found)
         large = live.where(F.col("n") > BUCKET)
+        if last:  # what shares so many sampled tokens is one candidate group
+            least = large.groupBy("path").agg(F.min("row").alias("b"))
+            links = links.unionByName(large.select(F.col("row").alias("a"), "path").join(F.broadcast(least) if least.count() <= BROADCAST_PATHS else least, "path").select("a", "b").distinct())
         if last or large.isEmpty():
             break
         paths = large.select("path", "row", "sketch").mapInArrow(go_on, "path long, row long").checkpoint()

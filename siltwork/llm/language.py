@@ -1,18 +1,20 @@
 """Language identification: script ranges narrow the candidates of each word, Viterbi with a switching penalty labels spans.
 
 A word's score in a language is the log-likelihood of its letter trigrams there. The model is fitted on
-the ``per_language`` labelled documents with the least hashes of each language (a documented bound of the
-classifier's sample); prediction reads every document whole.
+at most ``per_language`` labelled documents of each language, those with the least hashes of their doc_id (a documented
+bound of the classifier's sample; rows that repeat under one doc_id and label are one); prediction reads every document whole.
 
-Defined results: ``und`` with score 0 if the text is null or has no letter, or if no language could be
-learned; documents without a label are not learned from; repeated rows are labelled each on its own;
-of tied languages the one first in alphabetical order is taken; other columns are not read.
+Defined results: ``und`` with score 0 if the text is null, empty or has no letter, or if no language could be
+learned; documents without a label are not learned from; texts of any length are labelled whole; repeated rows are
+labelled each on its own; of tied languages the one first in alphabetical order is taken; other columns are not read;
+an empty table gives an empty table, and a model without languages.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,13 +83,14 @@ def fit(docs: DataFrame, per_language: int = 400, penalty: float = 12.0, id_colu
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"), docs[label_column].cast("string").alias("label"))
     ids = src.select("doc_id", "label").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("label").isNotNull())
     languages = sorted(r[0] for r in ids.groupBy("label").agg(F.count("*")).select("label").collect())
-    chosen = None
+    chosen = []
     for l in languages:  # each a top-k over two narrow columns
-        least = ids.where(F.col("label") == l).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select("doc_id")
-        chosen = least if chosen is None else chosen.union(least)
-    if chosen is None:
+        least = ids.where(F.col("label") == l).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select("doc_id").collect()
+        chosen.append((F.col("label") == l) & F.col("doc_id").isin(sorted({r[0] for r in least})))
+    if not chosen:
         return Model([], np.zeros(1, np.int64), np.zeros((1, 0)), np.zeros(0), np.zeros((len(_NAMES), 0), bool), penalty)
-    chosen = {r[0] for r in chosen.collect()}
+    # One row of each doc_id and label, so no doc_id makes the sample large.
+    sample = src.where(reduce(lambda a, b: a | b, chosen)).groupBy("label", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches):
         for part, texts in sliced(batches, "text"):
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, per_language: int = 400, penalty: float = 12.0, id_colu
                     yield pa.RecordBatch.from_pydict({"label": [l] * len(codes), "code": codes, "n": n})
 
     rows = (
-        src.where(F.col("doc_id").isin(sorted(chosen)) & F.col("label").isNotNull()).select("text", "label")
+        sample.select("text", "label")
         .mapInArrow(counted, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
     )
     languages = sorted(set(rows["label"]))
@@ -137,35 +140,49 @@ class _Labeller:
         return words, sizes, decode(self.table[at], sizes[sizes > 0], self.model.penalty)
 
 
+def verdicts(texts: list, label: _Labeller) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, number of spans) of each text."""
+    languages = label.model.languages
+    k = len(languages)
+    words, sizes, best = label(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    letters = np.fromiter((len(w) for ws in words for w in ws), np.int64, len(owner))
+    score, spans_, lang = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    if k and len(owner):
+        share = np.bincount(owner * k + best, letters, minlength=len(texts) * k).reshape(-1, k)
+        score = share.max(1) / np.maximum(share.sum(1), 1)
+        lang = share.argmax(1)
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (best[1:] != best[:-1])
+        spans_ = np.bincount(owner[new], minlength=len(texts))
+    return [languages[lang[i]] if k and sizes[i] else "und" for i in range(len(texts))], np.where(sizes > 0, score, 0.0) if k else np.zeros(len(texts)), spans_
+
+
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document. score: the share of its letters in spans of ``lang_pred``. One pass, no shuffle."""
 
     def run(batches):
         label = _Labeller(model)
-        k = len(model.languages)
         for part, texts in sliced(batches, "text"):
-            words, sizes, best = label(texts)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            letters = np.fromiter((len(w) for ws in words for w in ws), np.int64, len(owner))
-            lang, score = [], np.zeros(len(texts))
-            spans = np.zeros(len(texts), np.int64)
-            if k and len(owner):
-                share = np.bincount(owner * k + best, letters, minlength=len(texts) * k).reshape(-1, k)
-                score = share.max(1) / np.maximum(share.sum(1), 1)
-                lang = share.argmax(1)
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (best[1:] != best[:-1])
-                spans = np.bincount(owner[new], minlength=len(texts))
-            lang = [model.languages[lang[i]] if k and sizes[i] else "und" for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(lang), pa.array(np.where(sizes > 0, score, 0.0) if k else np.zeros(len(texts))), pa.array(spans.astype(np.int64))],
-                names=["doc_id", "held_out", "lang_pred", "score", "n_spans"],
-            )
+            lang, score, n = verdicts(texts, label)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang), pa.array(score), pa.array(n.astype(np.int64))], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
 
     ids = docs[id_column].cast("long")
     return docs.select(ids.alias("doc_id"), docs[text_column].alias("text"), F.coalesce(held_out(ids), F.lit(False)).alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows, all columns, of which one language has at least ``least`` of the letters; each is judged by its own text. One pass, no shuffle."""
+
+    def run(batches):
+        label = _Labeller(model)
+        for part, texts in sliced(batches, text_column):
+            lang, score, _ = verdicts(texts, label)
+            yield part.filter(pa.array((np.array(lang) != "und") & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The spans of one language in each document, in code points; from the first letter of a span to its last."""
 

@@ -100,6 +100,55 @@ def test_language(spark, data, odd):
     assert {r["lang_pred"] for r in language.predict(odd, none).collect()} == {"und"}
 
 
+def plain_language(text, model):
+    """Word by word: the best path by dynamic programming over the scores of single words."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(map(str.isalpha, words)) or not model.languages:
+        return "und", 0.0
+    counts = {int(c): k for k, c in enumerate(model.codes)}
+    scores = []
+    for w in words:
+        p = f" {w} "
+        s = np.zeros(len(model.languages))
+        for k in range(len(w)):
+            at = counts.get(ord(p[k]) << 42 | ord(p[k + 1]) << 21 | ord(p[k + 2]))
+            s += model.unknown if at is None else model.table[at]
+        script = language._SCRIPT[max(k for k, (first, _) in enumerate(language.SCRIPTS) if first <= ord(w[0]))]
+        allowed = model.uses[script]
+        s = np.where(allowed, s, s.min() - 20) if allowed.any() else s * 0
+        scores.append(s - s.max())
+    best, back = scores[0].copy(), []
+    for s in scores[1:]:
+        jump = best.max() - model.penalty
+        back.append([int(best.argmax()) if jump > b else k for k, b in enumerate(best)])
+        best = np.maximum(best, jump) + s
+    at = int(best.argmax())
+    path = [at]
+    for b in reversed(back):
+        at = b[at]
+        path.append(at)
+    share = np.bincount(path[::-1], [len(w) for w in words], minlength=len(model.languages))
+    return model.languages[int(share.argmax())], share.max() / share.sum()
+
+
+def test_language_matches_plain_version(spark, data, odd):
+    d = docs(spark, data)
+    model = language.fit(d)
+    mixed = [r["text"] for r in d.where("n_chars between 60 and 900").orderBy("doc_id").limit(40).collect()]
+    texts = [*[r["text"] for r in d.orderBy("doc_id").collect()], *(t for t in ODD), *(" ".join(mixed[k : k + 3]) for k in range(0, 36, 3)), "слово και 語 word", "Слово слово", "a" * 20_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(table, model).collect()}
+    for k, t in enumerate(texts):
+        lang, score = plain_language(t, model)
+        assert (got[k]["lang_pred"] == lang and abs(got[k]["score"] - score) < 1e-9) or abs(score - 0.5) < 0.02, (k, got[k], lang, score)
+    kept = language.identified(table.withColumn("lang_pred", F.lit("clash")), model)
+    assert kept.columns == ["doc_id", "text", "lang_pred"] and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    # A doc_id with very many rows gives one row to the sample.
+    hot = spark.createDataFrame([(7, f"wort {k} und", "de", None, None) for k in range(3000)] + [(9, "the word and", "en", None, None)], d.schema)
+    assert sorted(language.fit(hot).languages) == ["de", "en"]
+    assert language.predict(odd.limit(0), model).count() == 0 and language.identified(odd.limit(0), model).count() == 0
+
+
 # 3
 
 
