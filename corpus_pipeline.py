@@ -1,6 +1,8 @@
 """A training corpus from ``documents``: each stage is written as Parquet and read again as the next one's documents.
 
-A row is kept or dropped by its own text, whatever its doc_id: null, or shared with other rows.
+A row is kept or dropped by its own text, whatever its doc_id: null, or shared with other rows. Null texts and texts
+without a letter go in the first stage; of rows that repeat in all columns one stays after the second; an empty table
+gives an empty one in each stage. All stages read whole texts of any length and pass all columns on.
 """
 
 from __future__ import annotations
@@ -16,10 +18,7 @@ from siltwork.sources.session import shared_folder
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or of which no language has half of the letters."""
-    numbered = docs.withColumn("__row", chosenpath.number(docs["doc_id"].cast("long"), docs["text"]))
-    verdicts = language.predict(numbered, language.fit(docs), id_column="__row")
-    rejected = verdicts.where((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("__rejected")).distinct()
-    return numbered.join(rejected, F.col("__row") == F.col("__rejected"), "left_anti").drop("__row")
+    return language.identified(docs, language.fit(docs))
 
 
 def remove_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     docs = registry.table(spark, sf_dir, "documents")
-    place = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"  # the result reads its last table, so it stays
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
