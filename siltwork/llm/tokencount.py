@@ -9,14 +9,16 @@ Two transducers run one after the other, both over chunks of the text at once:
   a vocabulary entry, the last token before that suffix and its count relative to the present one.
   A transition is annotated with the change of the token count, so the sum of the annotations is the
   number of tokens. States are made when they are first reached (the set is finite: suffixes are as
-  long as the longest entry at most). A chunk's map is constant from the first piece border on; what
-  lies before it is run when the previous chunk's last state is known.
+  long as the longest entry at most). A chunk's map is constant from the first piece border on. A chunk
+  that lies inside one long piece has its map made for the state that the chunk before it gives from the
+  first state; a scan over the chunks composes these maps, and where one ends in another state than the
+  next was made for, the next is made for that state too (once for each content and state).
 
 That the last tokens of all prefixes decide the whole encoding holds for merge-ranked BPE: parts of
 an encoding are encodings, and a sequence is one if each pair of neighbours is.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each on its
-own; only the id and text columns are read. No row is dropped, no text truncated.
+own; only the id and text columns are read; texts of any length are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -333,17 +335,46 @@ class Merger:
         exits = np.zeros(len(starts), np.int32)
         final = np.searchsorted(cuts, ends) - 1
         exits[known] = last[final[known]]
-        heads = np.flatnonzero(first > starts)
-        ready = known.copy()
-        while len(heads):  # a second round and more only where a piece is longer than a chunk
-            now = heads[ready[heads - 1]]
-            state = self.walk(data, out, starts[now], first[now], exits[now - 1])
-            through = ~known[now]
-            exits[now[through]] = state[through]
-            ready[now[through]] = True
-            heads = heads[~np.isin(heads, now)]
+        through = np.flatnonzero(~known)
+        if len(through):
+            self._compose(data, out, starts[through], ends[through], through, exits, known)
+        heads = np.flatnonzero((first > starts) & known)
+        self.walk(data, out, starts[heads], first[heads], exits[heads - 1])
         return out
 
+    def _compose(self, data: np.ndarray, out: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: np.ndarray, exits: np.ndarray, known: np.ndarray) -> None:
+        """Sets the last states of the chunks that lie inside one piece, and their changes. A chunk always has one before it."""
+        guess = self.walk(data, np.zeros_like(out), starts, ends, np.zeros(len(chunks), np.int32))
+        after = known[chunks - 1]  # the chunk before has a border, so its last state is known
+        enter = np.where(after, exits[chunks - 1], np.concatenate([np.zeros(1, np.int32), guess[:-1]]))
+        leave = self.walk(data, out, starts, ends, enter)
+        exits[chunks] = leave
+        fits = after.copy()
+        fits[1:] |= leave[:-1] == enter[1:]
+        maps: dict[tuple[bytes, int], tuple[int, np.ndarray]] = {}
+        for k in np.flatnonzero(~fits).tolist():
+            # Goes on from the true state until a chunk was made for the state that it is entered in.
+            while k < len(chunks) and not known[chunks[k] - 1] and exits[chunks[k] - 1] != enter[k]:
+                a, b, state = int(starts[k]), int(ends[k]), int(exits[chunks[k] - 1])
+                key = (data[a:b].tobytes(), state)
+                if key not in maps:
+                    maps[key] = self._run(data[a:b].tolist(), state)
+                enter[k] = state
+                exits[chunks[k]], out[a:b] = maps[key]
+                k += 1
+
+    def _run(self, data: list[int], state: int) -> tuple[int, np.ndarray]:
+        """(last state, changes) of one chunk."""
+        changes = np.empty(len(data), np.int8)
+        for k, byte in enumerate(data):
+            to = int(self.next[state, byte])
+            if to < 0:
+                self.compile(state, byte)
+                to = int(self.next[state, byte])
+            changes[k] = self.change[state, byte]
+            state = to
+        return state, changes
+
 
 _MERGERS: dict[str, Merger] = {}
 

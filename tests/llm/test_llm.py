@@ -439,6 +439,24 @@ def test_token_counts(spark, odd):
         tokencount.Merger(registry.tokenizer("word_bpe_49k.json"))
 
 
+def test_token_counts_of_long_pieces(spark):
+    """Pieces of very many chunks: periodic ones, whose states keep changing, and random ones."""
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    letters = lambda n, some: "".join(rng.choice(some) for _ in range(n))
+    texts = ["a" * 30_000, "x" + "ab" * 15_001, "the" * 10_000, letters(30_000, "abcdefghijklmnopqrstuvwxyz"), letters(30_000, "aeinst"), "é" * 9_000, "=" * 20_001, "-=" * 9_000, "1" * 20_000, "b " + "isthe" * 5_000 + " c", letters(20_000, "ab")]
+    for some in (texts, texts[::-1], ["k " * 100 + texts[3] + " v", texts[4] + "'s"]):
+        assert tokencount.count(some, path)[1].tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in some]
+    start = time.time()
+    size, _ = tokencount.count(["a" * 2_000_000, letters(1_000_000, "abcdefgh")], path)
+    assert size.tolist() == [2_000_000, 1_000_000] and time.time() - start < 60
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert tokencount.token_counts(empty, path).count() == 0
+
+
 # 9
 
 
