@@ -197,6 +197,31 @@ def test_all_names_are_read(spark):
     assert pages_of(spark, ["<article>" + "<div>" * 70 + "<p>body</p><nav><b>Menu</b></nav><p>more</p>" + "</div>" * 70 + "</article>"]) == ["body more"]
 
 
+def test_slots_show_the_article_without_names(spark):
+    """No telling tag or class: only what varies from page to page parts the article from the template."""
+    menu = "<div><a href=/a>Start</a><a href=/b>News of the day</a></div>"
+    about = "<div><p>All about this house and how it came to be, on each page the same.</p></div>"
+    pages_ = [f"<table><tr><td>{menu}</td><td><div><b>{'Hint ' if k % 2 else ''}</b></div><div><h2>Title {k}</h2><p>First text {k} of the page runs on for a while.</p><p>Second {'x' * (k + 1)} text.</p></div></td><td>{about}</td></tr></table><div>Imprint</div>" for k in range(6)]
+    assert pages_of(spark, pages_) == [f"Title {k} First text {k} of the page runs on for a while. Second {'x' * (k + 1)} text." for k in range(6)]
+    # The article's element is named anew on each page.
+    pages_ = [f"{menu}<div id='n{chr(97 + k // 26)}{chr(97 + k % 26)}'><h2>Title {k}</h2><p>Text {k} of the page.</p></div><div><i>Imprint of the house</i></div>" for k in range(150)]
+    w = None
+    for k, p in enumerate(pages_):
+        own = wrappers.page_expression(p)
+        w = wrappers.merge_items(w, own) if w else own
+        assert len(w[3]) <= wrappers.MOST_ITEMS
+    assert pages_of(spark, pages_) == [f"Title {k} Text {k} of the page." for k in range(150)]
+
+
+def test_main_text_of_long_pages():
+    start = time.time()
+    n = 100_000
+    for page in ("<a " * n, "<!x " * n, "<b>" * n + "</i>" * n, "<div>" * n + "</p>" * n, "<p><table><tr><td>" + "<b>" * n + "<div>" * n, "<li>x" * n, "<i class='a' " * n, "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}>t</div>" for k in range(n // 10)), "&amp;" * n, "<p>" + "w " * n):
+        wrappers.page_text(page, None)
+    assert time.time() - start < 90
+    assert wrappers.page_text("<p>" + "w " * n, None) == ("w " * n).strip()
+
+
 # 4
 
 
