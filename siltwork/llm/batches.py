@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Code points handled at once; one longer text is handled alone.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -28,6 +29,15 @@ def sliced(batches, text_column: str, budget: int = SLICE_CHARS) -> Iterator[tup
             chars += n
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system, so that a reused worker holds nothing of this task's batches."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,9 +10,8 @@ labelled each on its own; of tied languages the one first in alphabetical order
 an empty table gives an empty table, and a model without languages.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -174,13 +173,18 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 def identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
     """The rows, all columns, of which one language has at least ``least`` of the letters; each is judged by its own text. One pass, no shuffle."""
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def speaks(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         label = _Labeller(model)
-        for part, texts in sliced(batches, text_column):
-            lang, score, _ = verdicts(texts, label)
-            yield part.filter(pa.array((np.array(lang) != "und") & (score >= least)))
+        for column in columns:
+            yield pa.concat_arrays([_passes(texts, label) for _, texts in sliced([pa.RecordBatch.from_arrays([column], names=["text"])], "text")] or [pa.array([], pa.bool_())])
+
+    def _passes(texts: list, label: _Labeller) -> pa.Array:
+        lang, score, _ = verdicts(texts, label)
+        return pa.array((np.array(lang) != "und") & (score >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the texts go to Python, and a bit of each row comes back.
+    return docs.where(speaks(docs[text_column]))
 
 
 def spans(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

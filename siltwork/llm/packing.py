@@ -34,7 +34,7 @@ _NAMES = [c.split()[0] for c in _OPEN.split(", ")]
 #: So many partitions' open windows are merged in one task.
 MERGED = 64
 #: An encoder keeps so many words; beyond, it starts anew.
-_CACHE = 1_000_000
+_CACHE = 500_000
 #: Code points encoded at once.
 _SLICE = 4_000_000
 #: Characters whose lower case, classes and normal form Python and the tokenizer library surely give alike.
@@ -134,14 +134,28 @@ class Encoder:
     between white space are kept and looked up; texts beyond the plain characters go to the library whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        spec = self.library.to_str()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = f.read()
         #: The cache is only for a tokenizer that lowers case and splits by this pattern.
         self.cached = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in spec and '"Lowercase"' in spec and '"NFC"' in spec
         self.merges = Merges(json.loads(spec)) if self.cached else None
+        self._library = None
+        self.clear()
+
+    @property
+    def library(self):
+        """The tokenizer library's own encoder, loaded when a text needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def rest(self) -> None:
+        """Keeps the tables of merges only, so that no later operator finds a reused worker's memory taken."""
         self.clear()
+        self._library = None
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -229,7 +243,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept by a worker from task to task with what it has learned."""
+    """The encoder of a file, kept by a worker from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -312,6 +326,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, open_windows: int = 16,
             if ready:
                 yield _rows(ready, window)
                 ready = []
+        encode.rest()
         left = [((part << 32) + serial + k, p, True) for k, p in enumerate(packer.pieces.values())]
         if left:
             yield _rows(left, window)
