@@ -29,6 +29,7 @@ def sliced(batches, text_column: str, budget: int = SLICE_CHARS) -> Iterator[tup
             chars += n
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        del batch, texts
     release()
 
 
