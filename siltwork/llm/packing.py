@@ -34,9 +34,9 @@ _NAMES = [c.split()[0] for c in _OPEN.split(", ")]
 #: So many partitions' open windows are merged in one task.
 MERGED = 64
 #: An encoder keeps so many words; beyond, it starts anew.
-_CACHE = 500_000
-#: Code points encoded at once.
-_SLICE = 4_000_000
+_CACHE = 200_000
+#: Bytes of text encoded at once.
+_SLICE = 1_000_000
 #: Characters whose lower case, classes and normal form Python and the tokenizer library surely give alike.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-ɏ]|[²³¹¼-¾İŉ]")
 _PLAIN_BYTES = bytes(c for c in range(256) if not _ODD.match(chr(c)))
