@@ -7,29 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Code points handled at once; one longer text is handled alone.
-SLICE_CHARS = 1_000_000
+#: Bytes of text handled at once; one longer text is handled alone.
+SLICE_BYTES = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def sliced(batches, text_column: str, budget: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """(part of a batch, its texts) with at most ``budget`` code points, or one row. Nulls stay None."""
+def sliced(batches, text_column: str, budget: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(part of a batch, its texts) with at most ``budget`` bytes of text, or one row. Nulls stay None; only one part's texts are Python strings at a time."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
-        start, chars = 0, 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
-            if i > start and chars + n > budget:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, chars = i, 0
-            chars += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-        del batch, texts
+        column = batch.column(batch.schema.get_field_index(text_column))
+        start, total = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            if i > start and total + n > budget:
+                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
+                start, total = i, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start), column.slice(start).to_pylist()
+        del batch, column
     release()
 
 

@@ -43,7 +43,7 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 
 _OUT, _BEGIN, _IN = 0, 1, 2
 
-#: Code points tagged at once: some fifteen arrays of eight bytes each stand beside them.
+#: Bytes of text tagged at once: some fifteen arrays of eight bytes each stand beside them.
 _SLICE = 250_000
 
 
