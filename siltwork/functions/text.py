@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,6 +72,11 @@ def language_of(path: ColumnLike) -> Column:
     return F.coalesce(F.try_element_at(table, extension_of(path)), F.lit("unknown"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is named: expressions with lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalize_path(path: ColumnLike) -> Column:
     """A POSIX path without '.', inner '..' and double slashes."""
     path = _c(path)
@@ -83,8 +89,7 @@ def normalize_path(path: ColumnLike) -> Column:
         return F.when(up, F.slice(acc, 1, F.size(acc) - 1)).when(lost, acc).otherwise(F.concat(acc, F.array(x)))
 
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    joined = F.array_join(kept, "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    return once(F.array_join(kept, "/"), lambda joined: F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined))
 
 
 def directory_of(path: ColumnLike) -> Column:
@@ -98,9 +103,9 @@ def join_path(a: ColumnLike, b: ColumnLike) -> Column:
 
 def canonical_path(path: ColumnLike) -> Column:
     """A repository path with forward slashes, normalised; null if it is absolute, leaves the root or is unsafe."""
-    clean = normalize_path(F.replace(trimmed(path), F.lit("\\"), F.lit("/")))
-    bad = (trimmed(path) == "") | _c(path).contains("\0") | clean.startswith("/") | clean.rlike(r"^\.\.(/|$)|^[A-Za-z]:") | (clean == ".")
-    return F.when(~bad, clean)
+    empty = (trimmed(path) == "") | _c(path).contains("\0")
+    bad = lambda clean: empty | clean.startswith("/") | clean.rlike(r"^\.\.(/|$)|^[A-Za-z]:") | (clean == ".")
+    return once(normalize_path(F.replace(trimmed(path), F.lit("\\"), F.lit("/"))), lambda clean: F.when(~bad(clean), clean))
 
 
 def inside(root: str, path: ColumnLike) -> Column:
@@ -118,7 +123,10 @@ def internal_specifier(s: ColumnLike) -> Column:
 
 def import_candidates(source: ColumnLike, specifier: ColumnLike) -> Column:
     """The paths that an import may mean, in order of preference; empty if it leaves the repository."""
-    base = join_path(directory_of(source), specifier)
+    return once(join_path(directory_of(source), specifier), _candidates)
+
+
+def _candidates(base: Column) -> Column:
     extension = extension_of(base)
     stem = F.left(base, F.length(base) - F.length(extension))
     compiled = F.concat(F.array(base), F.array(*[F.concat(stem, F.lit(e)) for e in COMPILED_FROM]))
