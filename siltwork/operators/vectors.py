@@ -24,36 +24,53 @@ def _limit(k: int) -> int:
     return k
 
 
-def scores(points: DataFrame, held: pd.DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, score of each held query with each point: one matrix product a batch in the tasks that read points."""
+def scores(points: DataFrame, held: pd.DataFrame, key: str = "vec_id", vector: str = "embedding", k: int | None = None, at_least: float | None = None, slack: float = 0.0) -> DataFrame:
+    """query_id, key, score of each held query with each point: one matrix product a batch in the tasks that read points.
+
+    With ``k`` or ``at_least`` only what can still be among the k best, or at the bound, leaves the task: of a batch, the
+    points within ``slack`` of a query's k-th best score (of equal scores the k least keys), and those within it of the bound."""
     ids, q = held["query_id"].to_numpy(), np.array(held["query"].tolist(), float).reshape(len(held), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(held) else q
 
+    def best(s: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rows of one query's scores that may be among its k best."""
+        rows = np.flatnonzero(~(s < np.partition(s, len(s) - k)[len(s) - k] - slack)) if len(s) > k else np.arange(len(s))
+        rows = rows[np.lexsort((keys[rows], -s[rows]))]
+        starts = np.flatnonzero(np.r_[True, np.diff(s[rows]) != 0])
+        return rows[np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < k]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b) and len(ids):
-                p = np.array(b[vector].tolist(), float)
+                p, keys = np.array(b[vector].tolist(), float), b[key].to_numpy()
                 n = np.linalg.norm(p, axis=1)
                 s = (p @ q.T) / np.where(n == 0, 1.0, n)[:, None]
-                yield pd.DataFrame({"query_id": np.tile(ids, len(b)), key: np.repeat(b[key].to_numpy(), len(ids)), "score": s.reshape(-1)})
+                if k is not None:
+                    kept = [best(s[:, j], keys) for j in range(len(ids))]
+                    rows, cols = np.concatenate(kept), np.repeat(np.arange(len(ids)), [len(r) for r in kept])
+                else:
+                    rows, cols = np.nonzero(~(s < (-np.inf if at_least is None else at_least - slack)))
+                yield pd.DataFrame({"query_id": ids[cols], key: keys[rows], "score": s[rows, cols]})
 
     return points.select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int | None = TOP, at_least: float | None = None, key: str = "vec_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """The k best points of each query(query_id, query), ties by key. Queries are taken in blocks of ``QUERY_BLOCK``, each held by
-    every task against all points, so points are not shuffled; of a query, k rows leave each task."""
+    every task against all points, so points are not shuffled; of a query, about k rows leave each batch of points."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     dealt = queries.select("query_id", "query").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [scores(points, dealt.where(F.col("__b") == b).orderBy("query_id").drop("__b").toPandas(), key, vector) for b in range(blocks)]
+    slack = 0.0 if places is None else 10.0**-places  # what rounding may move
+    most = None if k is None else _limit(k)
+    parts = [scores(points, dealt.where(F.col("__b") == b).orderBy("query_id").drop("__b").toPandas(), key, vector, most, at_least, slack) for b in range(blocks)]
     s = parts[0]
     for other in parts[1:]:
         s = s.unionByName(other)
     s = s if places is None else s.withColumn("score", F.round("score", places))
     s = s if at_least is None else s.where(F.col("score") >= at_least)
     ranked = s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)))
-    return ranked if k is None else ranked.where(F.col("rank") <= _limit(k))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 def similarity(a: Column, b: Column) -> Column:
