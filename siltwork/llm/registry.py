@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltwork.llm import chosenpath, decontaminate, language, packing, pii, quality, secrets, tokencount, warc, wrappers
+from siltwork.llm import alignment, audit, chosenpath, decontaminate, forest, language, packing, pii, quality, secrets, tokencount, warc, wrappers
 from siltwork.sources.session import shared_folder
 
 
@@ -63,9 +64,23 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_data(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return audit.audit(docs, table(spark, sf_dir, "labels"), docs["source"])
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.scored(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_language, op3_main_text, op4_packing, op5_secrets, op6_warc, op7_similarity_join, op8_token_counts, op9_decontamination, op10_private_data)}
+    return {f.__name__: f for f in (op1_repetition, op2_language, op3_main_text, op4_packing, op5_secrets, op6_warc, op7_similarity_join, op8_token_counts, op9_decontamination, op10_private_data, op11_nearest, op12_filter_audit, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": quality.oracle(), "op9_decontamination": decontaminate.oracle()}
+    return {"op1_repetition": quality.oracle(), "op9_decontamination": decontaminate.oracle(), "op12_filter_audit": audit.oracle()}
