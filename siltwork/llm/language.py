@@ -13,15 +13,16 @@ an empty table gives an empty table, and a model without languages.
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltwork.llm.batches import sliced
 from siltwork.llm.viterbi import decode
+from siltwork.sources.session import shared_folder
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_spans long"
 SPAN_SCHEMA = "doc_id long, start long, end long, lang string"
@@ -38,6 +39,8 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 150_000
+#: So many ids of the sample are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,18 +81,15 @@ def held_out(id_column) -> F.Column:
 
 
 def fit(docs: DataFrame, per_language: int = 400, penalty: float = 12.0, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
-    """Learns from the text and label of documents that are not held out; at most ``per_language`` documents a language."""
+    """Learns from the text and label of documents that are not held out; at most ``per_language`` documents a language (distinct doc_ids, those with the least hashes)."""
+    shared_folder(docs.sparkSession)
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"), docs[label_column].cast("string").alias("label"))
-    ids = src.select("doc_id", "label").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("label").isNotNull())
-    languages = sorted(r[0] for r in ids.groupBy("label").agg(F.count("*")).select("label").collect())
-    chosen = []
-    for l in languages:  # each a top-k over two narrow columns
-        least = ids.where(F.col("label") == l).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select("doc_id").collect()
-        chosen.append((F.col("label") == l) & F.col("doc_id").isin(sorted({r[0] for r in least})))
-    if not chosen:
-        return Model([], np.zeros(1, np.int64), np.zeros((1, 0)), np.zeros(0), np.zeros((len(_NAMES), 0), bool), penalty)
+    ids = src.select("doc_id", "label").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("label").isNotNull()).distinct()
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id", "label").checkpoint()
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     # One row of each doc_id and label, so no doc_id makes the sample large.
-    sample = src.where(reduce(lambda a, b: a | b, chosen)).groupBy("label", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = src.join(chosen, ["doc_id", "label"]).groupBy("label", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches):
         for part, texts in sliced(batches, "text"):

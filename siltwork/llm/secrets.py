@@ -283,7 +283,7 @@ def windows(texts: list, most: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, sample: int = 2500, windows_per_document: int = 16, id_column: str = "doc_id", text_column: str = "text") -> Field:
     """Trains on windows of at most ``sample`` documents, those with the least hashes of their doc_id; rows repeated under one doc_id are one."""
     src = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    ids = sorted({r[0] for r in src.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()})
+    ids = sorted({r[0] for r in src.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()})
     chosen = src.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
 
     def run(batches):

@@ -71,8 +71,9 @@ CONTAINERS = set("div section td table tbody tr ul ol li dl form fieldset center
 _RUNNING = set("p pre span b i strong em a dt blockquote".split()) | _HEADINGS
 #: A list of more items than this has its rarest ones generalised to one item for each tag.
 MOST_ITEMS = 64
-#: A text that is the same on so many pages of a host belongs to its template.
-TEMPLATE_PAGES = 3
+#: From so many pages of a host on one sees what is the same on all. It helps to find the article, and takes the
+#: template's texts out where no name shows the article's borders; inside an element named as the article nothing goes by it.
+TEMPLATE_PAGES = 2
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -359,13 +360,25 @@ def _varies(item: list) -> bool:
     return (item[0] == "#" and item[4][3] is None) or any(_varies(x) for x in item[3])
 
 
+@lru_cache(1 << 16)
+def content_strength(label: str) -> int:
+    """3: named as an article, 2: as the main part, 1: as content, 0: not at all."""
+    tag, *names = re.split(r"[.@*]", label)
+    if tag == "article" or "articlebody" in names:
+        return 3
+    if tag == "main" or "main" in names:
+        return 2
+    return int(bool({n.replace("-", "").replace("_", "") for n in names} & CONTENT_NAMES))
+
+
 def article(root: list, pages: int) -> list[list[list]]:
     """The chains of items, from below the root, down to those that hold the article."""
+    telling = pages >= TEMPLATE_PAGES and _varies(root)
 
     def mass(item: list) -> int:
-        """Characters outside links in slots that vary; all of them where there are too few pages to tell."""
+        """Characters outside links in slots that vary; all of them where nothing varies, as on a host with one page."""
         if item[0] == "#":
-            return 0 if pages >= TEMPLATE_PAGES and item[4][0] >= TEMPLATE_PAGES and item[4][3] is not None else item[4][1] - item[4][2]
+            return 0 if telling and item[4][0] >= TEMPLATE_PAGES and item[4][3] is not None else item[4][1] - item[4][2]
         return 0 if is_boilerplate(item[0]) else sum(map(mass, item[3]))
 
     by_slots: list[list] = []
@@ -384,8 +397,7 @@ def article(root: list, pages: int) -> list[list[list]]:
         if item[0] == "#" or is_boilerplate(item[0]):
             return
         chain = [*chain, item]
-        tag, *names = re.split(r"[.@*]", item[0])
-        strength = 3 if tag == "article" or "articlebody" in names else 2 if tag == "main" or "main" in names else 1 if {n.replace("-", "").replace("_", "") for n in names} & CONTENT_NAMES else 0
+        strength = content_strength(item[0])
         if strength:
             named.append((strength, chain))
         for x in item[3]:
@@ -436,7 +448,7 @@ def choose(root: list, pages: int) -> list:
     def build(item: list) -> list:
         if id(item) in ends:
             # Lists of links beside the text go where no item holds the article alone.
-            return kept(item, _varies(item), False, tag_of(item[0]) in ("html", "body"))
+            return kept(item, _varies(item) and not content_strength(item[0]), False, tag_of(item[0]) in ("html", "body"))
         return part(item, _PASS, [build(x) for x in item[3] if x[0] != "#"]) if id(item) in above else part(item, _OUT)
 
     return build(root)
