@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import InvalidRows
+from siltwork.operators import intervals
 
 CASE = (
     "id string, question string, expected_files array<string>, expected_symbols array<string>, expected_line_ranges array<struct<file_path:string,start_line:int,end_line:int>>, "
@@ -41,16 +42,51 @@ def overlap(a: Column, b: Column) -> Column:
 
 def overlapping(ranges: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     """Ranges(key..., start_line, end_line) that overlap any of the others with the same key."""
-    o = others.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"))
-    same = [F.col(k) == F.col(f"o_{k}") for k in key]
-    return ranges.join(o, [*same, F.col("start_line") <= F.col("o_end"), F.col("o_start") <= F.col("end_line")], "left_semi")
+    return intervals.marked(ranges, others, key, name="__hit").where("__hit").drop("__hit")
 
 
 def contained(ranges: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     """Ranges that lie inside any of the others with the same key."""
-    o = others.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"))
-    same = [F.col(k) == F.col(f"o_{k}") for k in key]
-    return ranges.join(o, [*same, F.col("start_line") >= F.col("o_start"), F.col("end_line") <= F.col("o_end")], "left_semi")
+    return intervals.marked(ranges, others, key, contained=True, name="__hit").where("__hit").drop("__hit")
+
+
+def citation_metrics(citations: DataFrame, units: DataFrame, sources: DataFrame, case: str = "case_id", file: str = "file_path") -> DataFrame:
+    """case, citation_precision, citation_recall, citation_f1, groundedness of tables of ranges by case and file.
+
+    A citation is relevant if it overlaps a unit, or a unit without lines names its file; a unit is found if a citation is
+    relevant to it; a citation is grounded if it lies inside a source. A file of which a case names lines is no unit
+    as a whole. Cases without citations have zeros; cases with neither units nor citations have no row."""
+    key = [case, file]
+    lined, whole = units.where("start_line IS NOT NULL AND end_line IS NOT NULL"), units.where("start_line IS NULL OR end_line IS NULL")
+    whole = whole.join(lined.select(*key).distinct(), key, "left_anti")
+    files = whole.select(*key).distinct().withColumn("__whole", F.lit(True))
+    cited = intervals.marked(intervals.marked(citations, lined, key, name="relevant"), sources, key, contained=True, name="grounded")
+    cited = cited.join(files, key, "left").groupBy(case).agg(F.count("*").alias("cited"), F.count_if(F.col("relevant") | F.col("__whole").isNotNull()).alias("relevant"), F.count_if("grounded").alias("grounded"))
+    found = intervals.marked(lined, citations, key, name="found").select(case, "found")
+    known = citations.select(*key).distinct().withColumn("found", F.lit(True))
+    found = found.unionByName(whole.join(known, key, "left").select(case, F.coalesce("found", F.lit(False)).alias("found")))
+    found = found.groupBy(case).agg(F.count("*").alias("wanted"), F.count_if("found").alias("found"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = cited.join(found, case, "full_outer").select(case, X.ratio(n("relevant"), n("cited")).alias("citation_precision"), X.ratio(n("found"), n("wanted")).alias("citation_recall"), X.ratio(n("grounded"), n("cited")).alias("groundedness"))
+    return out.select(case, "citation_precision", "citation_recall", X.f1("citation_precision", "citation_recall").alias("citation_f1"), "groundedness")
+
+
+def answer_metrics(replies: DataFrame, terms: DataFrame, groundedness: DataFrame | None = None, case: str = "case_id") -> DataFrame:
+    """case, completeness, forbidden_claim_rate and, with groundedness(case, groundedness, citations), the rates of unsupported citations
+    and of hallucination. terms(case, concept, term): a concept is met if the answer has any of its terms; terms without a
+    concept are forbidden. An answer counts once for each case; without concepts completeness is 1."""
+    said = replies.select(case, X.answer_text(F.coalesce("answer", F.lit(""))).alias("said"))
+    met = terms.join(said, case).select(case, "concept", "term", F.col("said").contains(X.answer_text("term")).alias("holds"))
+    concepts = met.where("concept IS NOT NULL").groupBy(case, "concept").agg(F.max("holds").alias("holds")).groupBy(case).agg(F.count("*").alias("concepts"), F.count_if("holds").alias("met"))
+    banned = met.where("concept IS NULL").groupBy(case).agg(F.count("*").alias("forbidden"), F.count_if("holds").alias("claimed"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = said.select(case).join(concepts, case, "left").join(banned, case, "left")
+    out = out.select(case, X.ratio(n("met"), n("concepts"), 1.0).alias("completeness"), X.ratio(n("claimed"), n("forbidden")).alias("forbidden_claim_rate"))
+    if groundedness is None:
+        return out
+    bad = F.when(n("citations") == 0, 1.0).otherwise(1 - F.col("groundedness"))
+    out = out.join(groundedness, case, "left").select(case, "completeness", "forbidden_claim_rate", bad.alias("unsupported_citation_rate"))
+    return out.withColumn("hallucination_rate", F.greatest("forbidden_claim_rate", "unsupported_citation_rate"))
 
 
 def ranked_metrics(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "item", rank: str = "rank") -> DataFrame:

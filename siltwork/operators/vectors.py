@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import InvalidRows
+from siltwork.sources.session import shared_folder
 
 TOP, MOST = 15, 50
 #: Queries beyond so many are scored in blocks, each against all points.
@@ -108,26 +110,99 @@ def merge(exact: DataFrame, semantic: DataFrame, key: list[str], k: int = TOP) -
 BATCH, TOKENS = 50, 290_000
 
 
+def _borders(sizes: np.ndarray, most: int, budget: int) -> np.ndarray:
+    """For each input the one that begins the next batch if this one begins a batch; the number of inputs where none does."""
+    total = np.cumsum(sizes)
+    full = np.searchsorted(total, total - sizes + budget, side="right")
+    place = np.arange(len(sizes))
+    return np.minimum(np.maximum(np.minimum(full, place + most), place + 1), len(sizes))
+
+
+def _changes(keys: pd.DataFrame, before: pd.DataFrame | None | bool = True) -> np.ndarray:
+    """Where a row's key differs from the row before it. ``before``: the row ahead of the first; True: the first is a change, None: it is none."""
+    if before is None or before is True:
+        out = _changes(keys.iloc[1:], keys.iloc[:1]) if len(keys) > 1 else np.zeros(0, bool)
+        return np.append(np.full(min(1, len(keys)), before is True), out)
+    both = pd.concat([before, keys])
+    last = both.shift()
+    return ((both != last) & ~(both.isna() & last.isna())).any(axis=1).to_numpy()[1:]
+
+
+def _run_summary(sizes: np.ndarray, most: int, budget: int, begins: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The first inputs' sizes, and for a batch that begins with each of the first ``begins`` inputs: how many batches begin up to the run's
+    end, and the inputs and tokens of the last. Borders are followed by pointer doubling, so each round goes twice as far."""
+    n, total = len(sizes), np.cumsum(sizes)
+    after = np.append(_borders(sizes, most, budget), n)
+    count = np.append(np.ones(n, np.int64), 0)
+    last = np.append(np.arange(n), n)
+    while (after < n).any():
+        count += count[after]
+        last = np.where(after < n, last[after], last)
+        after = after[after]
+    at = last[: min(begins, n)]
+    return sizes[:most].tolist(), count[: len(at)].tolist(), (n - at).tolist(), (total[-1] - total[at] + sizes[at]).tolist()
+
+
 def batches(sizes: DataFrame, key: list[str], order: str, tokens: str, most: int = BATCH, budget: int = TOKENS) -> DataFrame:
-    """Adds ``batch``: inputs in order go into one batch until it has ``most`` or would pass the budget. Each key's
-    inputs are packed by themselves (a request queue), so keys are what spreads the work."""
+    """Adds ``batch``: inputs in order go into one batch until it has ``most`` or would pass the budget; each key is a queue of its own.
 
+    Rows are dealt by ranges of (key, order), so one queue spreads over all tasks. A first pass sums up how each partition's first
+    run takes a batch that begins in it (``most`` ways at most) and how its last run ends; the runs of a key are put together from
+    these, a row for each partition; the second pass numbers the batches from the batch that each partition finds open."""
+    shared_folder(sizes.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, total, batch = None, 0, 0, 0
+    kinds = ", ".join(f"`k{n}` {dict(sizes.dtypes)[k]}" for n, k in enumerate(key))
+    slots = [f"k{n}" for n in range(len(key))]
+    laid = sizes.repartitionByRange(*key, order).sortWithinPartitions(*key, order).checkpoint()  # both passes see the same partitions
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, runs = TaskContext.get().partitionId(), []  # (key, sizes by frame) of the first run and of the latest
+        for df in parts:
+            cut, sizes_ = np.flatnonzero(_changes(df[slots])), df["t"].to_numpy(np.int64)
+            for a, b in zip(cut, [*cut[1:], len(df)], strict=True):
+                own = tuple(None if pd.isna(v) else v for v in df[slots].iloc[a])
+                if runs and runs[-1][0] == own:
+                    runs[-1][1].append(sizes_[a:b])
+                else:
+                    runs = [*runs[:1], (own, [sizes_[a:b]])]
+        rows = [(*k, part, len(s := np.concatenate(own)), int(s.sum()), *_run_summary(s, most, budget, 1 if n else most)) for n, (k, own) in enumerate(runs)]
+        yield pd.DataFrame(rows, columns=[*slots, "part", "n", "total", "head", "batches", "open_n", "open_total"])
+
+    def chained(runs: pd.DataFrame) -> pd.DataFrame:
+        n = total = batch = 0  # of the batch that is open: its inputs and tokens, its number
+        out = []
+        for r in runs.sort_values("part").itertuples(index=False):
+            out.append((r.part, n, total, batch))
+            e, room = 0, total
+            while e < r.n and e < len(r.head) and n and n + e < most and room + r.head[e] <= budget:
+                room, e = room + int(r.head[e]), e + 1
+            if e == r.n:  # the open batch takes the whole run
+                n, total = n + e, room
+                continue
+            batch += int(r.batches[e]) - (0 if n else 1)
+            n, total = int(r.open_n[e]), int(r.open_total[e])
+        return pd.DataFrame(out[1:], columns=["part", "n", "total", "batch"])
+
+    slim = laid.select(*[F.col(k).alias(n) for n, k in zip(slots, key, strict=True)], F.col(tokens).cast("long").alias("t"))
+    runs = slim.mapInPandas(summed, f"{kinds}, part int, n long, total long, head array<long>, batches array<long>, open_n array<long>, open_total array<long>")
+    found = runs.groupBy(*slots).applyInPandas(chained, "part int, n long, total long, batch long")
+    carried = {r["part"]: (r["n"], r["total"], r["batch"]) for r in found.collect()}  # one row a partition at most
+
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, (n, total, batch) = None, carried.get(TaskContext.get().partitionId(), (0, 0, 0))
         for df in parts:  # rows of a key stand together in order, so only the open batch's counts are held
             out = []
-            for *k, t in df[[*key, tokens]].itertuples(index=False):
-                if k != now:
-                    now, n, total, batch = k, 0, 0, 0
-                elif n >= most or (n and total + t > budget):
+            for new, t in zip(_changes(df[key], now), df[tokens].tolist(), strict=True):
+                if new:
+                    n, total, batch = 0, 0, 0
+                if n >= most or (n and total + t > budget):
                     batch, n, total = batch + 1, 0, 0
                 n, total = n + 1, total + t
                 out.append(batch)
+            now = df[key].iloc[-1:] if len(df) else now
             yield df.assign(batch=out)
 
-    return sizes.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, f"{fields}, batch long")
+    return laid.mapInPandas(numbered, f"{fields}, batch long")
 
 
 def hashing_embedder(texts: list[str], size: int = 64) -> np.ndarray:

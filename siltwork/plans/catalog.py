@@ -15,6 +15,7 @@ from siltwork.functions import text as X
 from siltwork.operators import answers, chunks, evaluation, graphs, maintenance, report, vectors
 from siltwork.sources import files, session
 from siltwork.streaming import events as streams
+from siltwork.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -101,6 +102,18 @@ def doc_policy(spark, sf_dir):
     return judged.select("doc_id", "path", files.exclusion_reason(F.col("path"), F.col("size"), F.col("ignored"), max_bytes=4000).alias("reason"), X.language_of("path").alias("language"))
 
 
+@query("""WITH d AS (SELECT doc_id, 'r' || doc_id % 3 AS snapshot, CASE doc_id % 8 WHEN 0 THEN 'gen/a' WHEN 1 THEN 'gen/keep' WHEN 2 THEN 'lib/gen/a' WHEN 3 THEN 'lib/old/x' WHEN 4 THEN 'lib/old/new/y' WHEN 5 THEN 'logs/day1' WHEN 6 THEN 'logs/dayx' ELSE 'doc' END || CASE WHEN doc_id % 5 = 0 THEN '.LOG' ELSE '.ts' END AS path FROM documents)
+  SELECT doc_id, snapshot, path, CASE WHEN snapshot = 'r2' THEN false WHEN path LIKE 'gen/keep%' THEN path LIKE '%.LOG' WHEN path LIKE 'gen/%' THEN true WHEN path LIKE 'lib/old/%' THEN snapshot = 'r0' OR path LIKE '%.LOG'
+    WHEN path LIKE 'logs/day1%' THEN true WHEN path LIKE 'lib/%' AND snapshot = 'r1' THEN false ELSE path LIKE '%.LOG' END AS ignored FROM d""")
+def ignore_rules(spark, sf_dir):
+    """Nested and negated rules of three snapshots over the paths of all documents."""
+    names = F.get(F.array(*map(F.lit, ["gen/a", "gen/keep", "lib/gen/a", "lib/old/x", "lib/old/new/y", "logs/day1", "logs/dayx", "doc"])), (F.col("doc_id") % 8).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("snapshot"), F.concat(names, F.when(F.col("doc_id") % 5 == 0, ".LOG").otherwise(".ts")).alias("path"))
+    root = "# all logs\n*.log\n/gen/*\n!gen/keep.ts\nlogs/day[0-9]*\n"
+    rules = spark.createDataFrame([("r0", "", root + "old/\n"), ("r0", "lib/old", "!*\n"), ("r1", "", root), ("r1", "lib", "!gen/*.log\nold/**/*.log\n")], "snapshot string, directory string, rules string")
+    return files.with_ignored(docs, rules, ["snapshot"]).select("doc_id", "snapshot", "path", "ignored")
+
+
 _SAMPLE = "CASE WHEN strlen(text) <= 8192 THEN text ELSE coalesce(" + ", ".join(f"TRY(decode(encode(text)[1:{n}]))" for n in (8192, 8191, 8190, 8189)) + ") END"
 
 
@@ -244,6 +257,15 @@ def batch_packing(spark, sf_dir):
     return vectors.batches(docs, ["queue"], "doc_id", "n_chars", budget=29_000).select("doc_id", "queue", "batch")
 
 
+@query("""WITH RECURSIVE n AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents), r AS (SELECT doc_id, i, n_chars AS total, 1 AS n, 0 AS batch FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN n.n_chars ELSE r.total + n.n_chars END, CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN 1 ELSE r.n + 1 END,
+  CASE WHEN r.n >= 50 OR r.total + n.n_chars > 29000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN n ON n.i = r.i + 1) SELECT doc_id, CAST(batch AS BIGINT) AS batch FROM r""")
+def batch_borders(spark, sf_dir):
+    """All documents as one request queue."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("all").alias("queue"), "n_chars")
+    return vectors.batches(docs, ["queue"], "doc_id", "n_chars", budget=29_000).select("doc_id", "batch")
+
+
 # -- answers --
 
 
@@ -443,27 +465,64 @@ def risk_report(spark, sf_dir):
 
 # -- evaluation --
 
-_RANGE = "SELECT doc_id % 97 AS file, 1 + doc_id % 40 AS start_line, 1 + doc_id % 40 + n_chars % 9 AS end_line, doc_id FROM documents"
+def _spans(size: int, step: int) -> str:
+    """Windows of lines of all documents, as chunks.windows cuts them."""
+    return f"""(SELECT doc_id, k AS chunk_index, 1 + {step} * k AS start_line, least({step} * k + {size}, len(ls)) AS end_line
+  FROM (SELECT doc_id, ls, unnest(range(CASE WHEN len(ls) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(ls) - {size}) / {step}.0) AS BIGINT) END)) AS k FROM ({_LINES})))"""
+
+
+#: Sources are chunk windows, citations are shorter windows, and what is wanted are longer ones: each a part of all windows of their size.
+_SOURCES, _CITED, _WANTED = f"{_spans(8, 6)} s WHERE chunk_index % 2 = 0", f"{_spans(3, 2)} c WHERE chunk_index % 3 = 1", f"{_spans(12, 12)} w WHERE chunk_index % 4 <> 2"
 
 
 def _ranges(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    r = d.select((F.col("doc_id") % 97).alias("file"), (1 + F.col("doc_id") % 40).alias("start_line"), (1 + F.col("doc_id") % 40 + F.col("n_chars") % 9).alias("end_line"), "doc_id")
-    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 97).alias("file"), (1 + F.col("item_id") % 30).alias("start_line"), (6 + F.col("item_id") % 30).alias("end_line"))
-    return r, b
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    cut = lambda size, overlap: chunks.windows(docs, size=size, overlap=overlap).select("doc_id", "chunk_index", "start_line", "end_line")
+    return cut(8, 2).where("chunk_index % 2 = 0"), cut(3, 1).where("chunk_index % 3 = 1"), cut(12, 0).where("chunk_index % 4 <> 2")
 
 
-_WANTED = "SELECT item_id % 97 AS file, 1 + item_id % 30 AS s, 6 + item_id % 30 AS e FROM benchmark"
+_WINDOW_COLUMNS = "CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line"
 
 
-@query(f"SELECT doc_id FROM ({_RANGE}) r WHERE EXISTS (SELECT 1 FROM ({_WANTED}) w WHERE w.file = r.file AND r.start_line <= w.e AND w.s <= r.end_line)")
+@query(f"SELECT doc_id, {_WINDOW_COLUMNS} FROM (SELECT * FROM {_SOURCES}) r WHERE EXISTS (SELECT 1 FROM (SELECT * FROM {_WANTED}) w WHERE w.doc_id = r.doc_id AND r.start_line <= w.end_line AND w.start_line <= r.end_line)")
 def range_overlap(spark, sf_dir):
-    return evaluation.overlapping(*_ranges(spark, sf_dir), ["file"]).select("doc_id")
+    sources, _, wanted = _ranges(spark, sf_dir)
+    return evaluation.overlapping(sources, wanted, ["doc_id"]).select("doc_id", "start_line", "end_line")
 
 
-@query(f"SELECT doc_id FROM ({_RANGE}) r WHERE EXISTS (SELECT 1 FROM ({_WANTED}) w WHERE w.file = r.file AND r.start_line >= w.s AND r.end_line <= w.e)")
+@query(f"SELECT doc_id, {_WINDOW_COLUMNS} FROM (SELECT * FROM {_CITED}) r WHERE EXISTS (SELECT 1 FROM (SELECT * FROM {_SOURCES}) w WHERE w.doc_id = r.doc_id AND r.start_line >= w.start_line AND r.end_line <= w.end_line)")
 def containment(spark, sf_dir):
-    return evaluation.contained(*_ranges(spark, sf_dir), ["file"]).select("doc_id")
+    sources, cited, _ = _ranges(spark, sf_dir)
+    return evaluation.contained(cited, sources, ["doc_id"]).select("doc_id", "start_line", "end_line")
+
+
+@query(f"""WITH s AS (SELECT * FROM {_SOURCES}), c AS (SELECT * FROM {_CITED}), w AS (SELECT * FROM {_WANTED}),
+  p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM w WHERE w.doc_id = c.doc_id AND w.start_line <= c.end_line AND c.start_line <= w.end_line)) AS hit,
+    count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.doc_id = c.doc_id AND c.start_line >= s.start_line AND c.end_line <= s.end_line)) AS grounded FROM c GROUP BY doc_id),
+  r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM c WHERE w.doc_id = c.doc_id AND w.start_line <= c.end_line AND c.start_line <= w.end_line)) AS hit FROM w GROUP BY doc_id),
+  m AS (SELECT doc_id, coalesce(p.hit::DOUBLE / p.n, 0) AS a, coalesce(r.hit::DOUBLE / r.n, 0) AS b, coalesce(p.grounded::DOUBLE / p.n, 0) AS g FROM p FULL JOIN r USING (doc_id))
+  SELECT doc_id, round(a, 6) AS citation_precision, round(b, 6) AS citation_recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS citation_f1, round(g, 6) AS groundedness FROM m""")
+def citation_metrics(spark, sf_dir):
+    sources, cited, wanted = (df.withColumn("file_path", F.lit("text")) for df in _ranges(spark, sf_dir))
+    m = evaluation.citation_metrics(cited, wanted, sources, case="doc_id")
+    return m.select("doc_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "doc_id"])
+
+
+@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS said FROM conversations),
+  q AS (SELECT DISTINCT conv_id, turn + 1 AS turn, w FROM (SELECT conv_id, turn, unnest(string_split(said, ' ')) AS w FROM t)),
+  f AS (SELECT DISTINCT conv_id, turn - 1 AS turn, w FROM (SELECT conv_id, turn, unnest(string_split(said, ' ')) AS w FROM t) WHERE length(w) = 4),
+  a AS (SELECT t.conv_id, t.turn, count(q.w) AS n, count(*) FILTER (contains(t.said, q.w)) AS hit FROM t LEFT JOIN q ON q.conv_id = t.conv_id AND q.turn = t.turn AND length(q.w) > 4 GROUP BY t.conv_id, t.turn),
+  b AS (SELECT t.conv_id, t.turn, count(f.w) AS n, count(*) FILTER (contains(t.said, f.w)) AS hit FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.turn = t.turn GROUP BY t.conv_id, t.turn)
+  SELECT a.conv_id, a.turn, round(CASE WHEN a.n = 0 THEN 1 ELSE a.hit::DOUBLE / a.n END, 6) AS completeness, round(CASE WHEN b.n = 0 THEN 0 ELSE b.hit::DOUBLE / b.n END, 6) AS forbidden_claim_rate FROM a JOIN b USING (conv_id, turn)""")
+def answer_metrics(spark, sf_dir):
+    """Each turn as an answer to the one before it: its words of five letters or more are the concepts, the next turn's words of four are forbidden."""
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("case_id"), F.col("text").alias("answer"))
+    words = c.select("case_id", F.explode(F.array_distinct(F.split(X.answer_text("answer"), " "))).alias("term"))
+    beside = lambda k: F.struct(F.col("case_id.conv_id").alias("conv_id"), (F.col("case_id.turn") + k).alias("turn")).alias("case_id")
+    asked = words.where(F.length("term") > 4).select(beside(1), F.col("term").alias("concept"), "term")
+    banned = words.where(F.length("term") == 4).select(beside(-1), F.lit(None).cast("string").alias("concept"), "term")
+    m = evaluation.answer_metrics(c, asked.unionByName(banned))
+    return m.select("case_id.*", F.round("completeness", 6).alias("completeness"), F.round("forbidden_claim_rate", 6).alias("forbidden_claim_rate"))
 
 
 @query(f"""WITH t AS (SELECT query_id, vec_id, rank FROM ({_TOP}) WHERE rank <= 15), w AS (SELECT q.vec_id AS query_id, p.vec_id FROM embeddings q JOIN embeddings p ON p.label = q.label AND q.vec_id % 50 = 0),
@@ -565,6 +624,41 @@ def push_coalesce(spark, sf_dir):
     return streams.coalesce_pushes(e, key="user_id").select("event_id", "outcome")
 
 
+@query("""WITH RECURSIVE l AS (SELECT user_id, event_id, ts, event_type = 'error' AS bad, CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR) AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS digest, CAST(NULL AS TIMESTAMP) AS since, false AS failed, CAST(NULL AS VARCHAR) AS outcome FROM events
+  UNION ALL SELECT l.user_id, l.event_id, l.i, CASE WHEN r.since + INTERVAL 10 DAY > l.ts THEN r.digest WHEN NOT l.bad THEN l.d END, CASE WHEN r.since + INTERVAL 10 DAY > l.ts THEN r.since WHEN NOT l.bad THEN l.ts END,
+    CASE WHEN r.since + INTERVAL 10 DAY > l.ts THEN (l.bad OR (r.failed AND r.digest <> l.d)) ELSE false END,
+    CASE WHEN r.since IS NULL OR r.since + INTERVAL 10 DAY <= l.ts THEN CASE WHEN l.bad THEN 'unknown' ELSE 'accepted' END WHEN l.bad THEN 'failed' WHEN r.digest <> l.d THEN 'conflict' WHEN r.failed THEN 'retried' ELSE 'duplicate' END
+  FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1) SELECT event_id, outcome FROM r WHERE i > 0""")
+def delivery_log(spark, sf_dir):
+    """Users as delivery ids, errors as failures of their jobs; an id is forgotten after ten days."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", "failed").otherwise("delivery").alias("kind"), (F.floor("value") % 2).cast("string").alias("value"))
+    return jobs.replay(e, jobs.Deliveries(10 * 24 * 3600), "user_id").select("event_id", "outcome")
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'push' END AS kind, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS live, CAST(NULL AS VARCHAR) AS indexed, CAST(NULL AS VARCHAR) AS pending, 1 AS attempt, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS started, CAST(NULL AS TIMESTAMP) AS due FROM events
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN outcome = 'queued' THEN c WHEN outcome IN ('done', 'failed') THEN next ELSE live END, CASE WHEN outcome = 'done' THEN live ELSE indexed END,
+    CASE WHEN outcome = 'pending' THEN c WHEN outcome IN ('done', 'failed') THEN NULL ELSE pending END, CASE WHEN outcome = 'retrying' THEN attempt + 1 WHEN outcome IN ('queued', 'done', 'failed') THEN 1 ELSE attempt END, outcome,
+    CASE WHEN outcome = 'queued' THEN c WHEN outcome IN ('done', 'failed') THEN next WHEN outcome = 'retrying' THEN live END, CASE WHEN outcome = 'retrying' THEN ts + to_seconds(CAST(5 * power(2, attempt - 1) AS BIGINT)) END
+  FROM (SELECT l.*, r.live, r.indexed, r.pending, r.attempt, CASE WHEN r.pending <> r.live THEN r.pending END AS next,
+    CASE WHEN l.kind = 'push' THEN CASE WHEN r.live IS NOT NULL THEN 'pending' WHEN r.indexed = l.c THEN 'dropped' ELSE 'queued' END WHEN r.live IS NULL THEN 'idle' WHEN l.kind = 'done' THEN 'done' WHEN r.attempt < 3 THEN 'retrying' ELSE 'failed' END AS outcome
+    FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)) SELECT event_id, outcome, started, due FROM r WHERE i > 0""")
+def job_log(spark, sf_dir):
+    """Users as repositories: purchases complete a job, errors fail an attempt, all else pushes a commit."""
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("push")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("kind"), (F.floor("value") % 5).cast("string").alias("value"))
+    return jobs.replay(e, jobs.Jobs(attempts=3), "user_id").select("event_id", "outcome", "started", "due")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), j AS (SELECT event_id AS job, user_id, ts FROM events WHERE event_type = 'signup')
+  SELECT p.event_id, CAST(j.job AS VARCHAR) AS job_id, CASE WHEN j.job IS NULL THEN 'queued' ELSE 'pending' END AS outcome FROM p LEFT JOIN j ON j.user_id = p.user_id AND j.ts <= p.ts AND j.ts > p.ts - INTERVAL 6 HOUR""")
+def pushes_with_jobs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "repository_id")
+    started = e.where("event_type = 'signup'").select("repository_id", F.col("event_id").cast("string").alias("job_id"), F.col("ts").alias("started_at"))
+    return jobs.pushes_with_jobs(e.where("event_type = 'click'").select("event_id", "repository_id", "ts"), started, lease="6 hours").select("event_id", "job_id", "outcome")
+
+
 # -- deliveries, jobs, citations --
 
 _BODY = """SELECT event_id, CASE event_id % 6 WHEN 4 THEN 'installation' WHEN 5 THEN 'star' ELSE 'push' END AS event, user_id, event_id % 6 AS m FROM events"""

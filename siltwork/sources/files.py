@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import BoundExceeded, at_most, total_at_most
+from siltwork.sources.session import shared_folder
 
 # The inclusion policy.
 EXTENSIONS = [".js", ".jsx", ".ts", ".tsx", ".json", ".md", ".css", ".scss", ".html"]
@@ -113,9 +114,8 @@ def source_text(content: Column) -> Column:
 # -- ignore rules --
 
 
-@lru_cache(maxsize=1024)
-def _rules(text: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
-    """(pattern, negated, directories only) of the lines of an ignore file."""
+def patterns(text: str) -> list[tuple[str, bool, bool]]:
+    """(regular expression of a whole path below the file's directory, negated, directories only) of the lines of an ignore file."""
     out = []
     for line in text.splitlines():
         line = re.sub(r"(?<!\\)((?:\\\\)*)\s+$", r"\1", line)
@@ -146,7 +146,7 @@ def _rules(text: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
                 i += 1
             elif c == "[" and "]" in line[i + 2 :]:
                 end = line.index("]", i + 2)
-                body = line[i + 1 : end].replace("\\", "\\\\")
+                body = re.sub(r"[\\\[&~]", r"\\\g<0>", line[i + 1 : end])
                 parts.append("[" + ("^" + body[1:] if body[0] in "!^" else body) + "]")
                 i = end + 1
             else:
@@ -155,8 +155,13 @@ def _rules(text: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
                     c = line[i]
                 parts.append(re.escape(c))
                 i += 1
-        out.append((re.compile(("" if anchored else "(?:.*/)?") + "".join(parts) + r"\Z", re.I), negated, only_directories))
-    return tuple(out)
+        out.append((("" if anchored else "(?:.*/)?") + "".join(parts), negated, only_directories))
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _rules(text: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
+    return tuple((re.compile(p + r"\Z", re.I), negated, only) for p, negated, only in patterns(text))
 
 
 def _verdict(rules, path: str, directory: bool) -> bool | None:
@@ -183,19 +188,46 @@ def ignored(path: str, rule_files: dict[str, str]) -> bool:
     return False
 
 
+#: So many lines of ignore files are broadcast; more are joined by shuffle.
+BROADCAST_RULES = 200_000
+
+
+def rule_table(rules: DataFrame, key: list[str]) -> DataFrame:
+    """key..., directory, nth, pattern, negated, only_directories: a row for each line of rules(key..., directory, rules)."""
+    kinds = dict(rules.dtypes)
+
+    def compiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(*r[:-1], n, f"(?iu)^{line}\\z", negated, only) for r in p.itertuples(index=False, name=None) for n, (line, negated, only) in enumerate(patterns(r[-1] or ""))]
+            yield pd.DataFrame(rows, columns=[*key, "directory", "nth", "pattern", "negated", "only_directories"])
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, "directory"])
+    return rules.select(*key, "directory", "rules").mapInPandas(compiled, f"{fields}, nth int, pattern string, negated boolean, only_directories boolean")
+
+
 def with_ignored(files: DataFrame, rules: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """files(key..., path) with ``ignored`` by rules(key..., directory, rules): the ignore files of each snapshot, joined as one map."""
-    key = key or ["__snapshot"]
-    if key == ["__snapshot"]:
-        files, rules = files.withColumn("__snapshot", F.lit(0)), rules.withColumn("__snapshot", F.lit(0))
-    held = rules.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("directory", "rules"))).alias("__rules"))
-
-    @F.pandas_udf(T.BooleanType())
-    def test(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for paths, maps in batches:
-            yield pd.Series([bool(m) and ignored(p, dict(m)) for p, m in zip(paths, maps, strict=True)])
-
-    return files.join(held, key, "left").withColumn("ignored", test("path", "__rules")).drop("__rules", "__snapshot")
+    """files(key..., path) with ``ignored`` by rules(key..., directory, rules), the texts of ignore files.
+
+    A path is ignored if it or a directory above it is. Each distinct path and directory is joined with the lines of the ignore
+    files in the directories above it; the last line that matches, of the deepest file, decides. Directories are judged once,
+    however many files they hold. Null paths are not ignored."""
+    shared_folder(files.sparkSession)
+    key = key or []
+    lines = rule_table(rules, key).checkpoint()
+    lines = F.broadcast(lines) if lines.count() <= BROADCAST_RULES else lines
+    parts = F.split("path", "/")
+    # a, a/b and a/b/c.ts of a/b/c.ts
+    prefix = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    paths = files.select(*key, "path").where("path IS NOT NULL").distinct().withColumn("n", F.size(parts))
+    at = paths.select(*key, "path", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct(prefix(k).alias("part"), (k < F.col("n")).alias("is_directory")))).alias("p")).select(*key, "path", "p.*")
+    judged = at.select(*key, "part", "is_directory").distinct()
+    own = F.split("part", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(own, 1, k), "/").alias("directory"), F.array_join(F.slice(own, k + 1, F.size(own)), "/").alias("inner")))
+    rows = judged.select(*key, "part", "is_directory", F.explode(above).alias("a")).select(*key, "part", "is_directory", "a.*").join(lines, [*key, "directory"])
+    rows = rows.where((F.col("is_directory") | ~F.col("only_directories")) & F.rlike("inner", F.col("pattern")))
+    gone = rows.groupBy(*key, "part", "is_directory").agg(F.max_by("negated", F.struct("depth", "nth")).alias("negated")).where("NOT negated").drop("negated")
+    out = at.join(gone, [*key, "part", "is_directory"], "left_semi").select(*key, "path").distinct().withColumn("__ignored", F.lit(True))
+    return files.join(out, [*key, "path"], "left").withColumn("ignored", F.coalesce("__ignored", F.lit(False))).drop("__ignored")
 
 
 def snapshot(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
