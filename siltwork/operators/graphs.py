@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
-from siltwork.functions.checks import InvalidRows, at_most, unique
+from siltwork.functions.checks import InvalidRows, Limits, at_most, unique
 from siltwork.sources.session import shared_folder
 
 # Limits of graphs, and kinds of symbols that a route can call.
@@ -84,9 +84,13 @@ def _spread(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> Dat
 def import_graph(files: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges, unresolved, cycles and stats of files(path, language, imports) of one snapshot."""
     shared_folder(files.sparkSession)
-    files = at_most(files, MAX_FILES, "files").withColumn("path", X.canonical_path("path"))
+    limits = Limits()
+    files = limits.on(files.select("path", "language", "imports"), files=(F.lit(1), MAX_FILES), imports=(F.greatest(F.coalesce(F.size("imports"), F.lit(0)), F.lit(0)), MAX_IMPORTS)).checkpoint()
+    limits.check()
+    files = files.withColumn("path", X.canonical_path("path"))
     edges, unresolved = resolve_imports(files)
-    edges = edges.checkpoint()
+    edges = limits.on(edges, edges=(F.lit(1), MAX_EDGES)).checkpoint()
+    limits.check()
     cycles = strongly_connected(edges)
     cyclic = cycles.select(F.col("node").alias("path"), F.lit(True).alias("in_cycle"))
     nodes = degrees(files.select("path", "language"), edges, "path").join(cyclic, "path", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
@@ -114,19 +118,26 @@ def reference_edges(symbols: DataFrame) -> DataFrame:
 
 def symbol_graph(files: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges and stats of symbols(id, file_id, name, type, start_line, end_line, references)."""
-    own = _checked(at_most(symbols, MAX_SYMBOLS, "symbols"), files)
-    edges = reference_edges(own)
+    shared_folder(symbols.sparkSession)
+    limits = Limits()
+    refs = F.greatest(F.coalesce(F.size("references"), F.lit(0)), F.lit(0))
+    symbols = limits.on(symbols, symbols=(F.lit(1), MAX_SYMBOLS), references=(refs, MAX_REFERENCES)).checkpoint()
+    limits.check()
+    own = _checked(symbols, files)
+    edges = limits.on(reference_edges(own), edges=(F.lit(1), MAX_EDGES)).checkpoint()
+    limits.check()
     nodes = degrees(own.drop("references"), edges)
     stats = edges.agg(F.count("*").alias("resolved_references"), F.count_distinct(F.when(F.col("ambiguous"), F.struct("source", "reference"))).alias("ambiguous_references"))
     return {"nodes": nodes, "edges": edges, "stats": stats}
 
 
 def where_used(symbols: DataFrame, name: str, most: int = 1_000) -> dict[str, DataFrame]:
-    """definitions of a name and the symbols that refer to it; no definition is an error."""
+    """definitions of a name, the symbols that refer to it and the files of these, each once; no definition is an error."""
     definitions = symbols.where(F.col("name") == name)
     if definitions.isEmpty():
         raise LookupError(name)
-    return {"definitions": definitions, "references": at_most(symbols.where(F.array_contains("references", name)), most, "references")}
+    references = at_most(symbols.where(F.array_contains("references", name)), most, "references")
+    return {"definitions": definitions, "references": references, "files": references.select("file_id").distinct().orderBy("file_id")}
 
 
 def flow_graph(files: DataFrame, symbols: DataFrame, route: str | None = None) -> dict[str, DataFrame]:
@@ -173,36 +184,56 @@ def truncated(df: DataFrame, n: int, *order: str | Column) -> tuple[DataFrame, b
     return df.orderBy(*order).limit(n), more
 
 
-def traverse(edges: DataFrame, origin: str, direction: str = "both", depth: int = 2, max_nodes: int | None = 250) -> DataFrame:
-    """path, distance, relation (origin, dependency, dependent, both) of what is within ``depth`` steps.
+def traverse_many(edges: DataFrame, origins: DataFrame, direction: str = "both", depth: int = 2, max_nodes: int | None = 250, max_edges: int | None = None) -> dict[str, DataFrame]:
+    """nodes(origin, path, distance, relation), edges(origin, source, target) and stats(origin, nodes, edges, truncated) of what is
+    within ``depth`` steps of each of the origins(origin). relation: origin, dependency, dependent, both.
 
-    Each level is one join with the frontier. New nodes get the merge of the relations that reach them; nodes seen
-    before merge too but are not gone through again. The cap takes nodes in the order of (frontier path, path)."""
+    A level is one join of the edges with the frontiers of all origins. New nodes get the merge of the relations that reach
+    them; nodes seen before merge too but are not gone through again. An origin's cap takes nodes in the order of (frontier
+    path, path), and edges in order; ``truncated`` says that either was passed."""
     if direction not in ("imports", "imported-by", "both") or not 1 <= depth <= 4:
         raise ValueError("direction or depth")
-    spark = edges.sparkSession
-    shared_folder(spark)
+    shared_folder(edges.sparkSession)
     out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("dependency").alias("how"))
     back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit("dependent").alias("how"))
     step = out if direction == "imports" else back if direction == "imported-by" else out.unionByName(back)
-    seen = spark.createDataFrame([(origin, 0, "origin")], "path string, distance int, relation string")
-    frontier = seen.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("own"))
+    at = ["origin", "path"]
+    seen = origins.select("origin").where("origin IS NOT NULL").distinct().select("origin", F.col("origin").alias("path"), F.lit(0).alias("distance"), F.lit("origin").alias("relation")).checkpoint()
+    cut = seen.select("origin").limit(0)
+    frontier = seen.select("origin", F.col("path").alias("a"), F.lit(None).cast("string").alias("own"))
     merge = F.when(F.count_distinct("relation") > 1, "both").otherwise(F.max("relation"))
     for k in range(1, depth + 1):
-        hits = step.join(frontier, "a").select(F.col("b").alias("path"), F.coalesce("own", "how").alias("relation"), "a")
-        fresh = hits.join(seen.select("path"), "path", "left_anti")
+        hits = step.join(frontier, "a").select("origin", F.col("b").alias("path"), F.coalesce("own", "how").alias("relation"), "a").checkpoint()
+        fresh = hits.join(seen.select(*at), at, "left_anti")
         if max_nodes is not None:
-            room = max_nodes - seen.count()
-            firsts = fresh.groupBy("path").agg(F.min("a").alias("a")).orderBy("a", "path").limit(max(room, 0)).select("path")
-            fresh = fresh.join(firsts, "path", "left_semi")
-        new = fresh.groupBy("path").agg(merge.alias("relation")).withColumn("distance", F.lit(k))
-        again = hits.join(seen.where(F.col("relation") != "origin").select("path"), "path", "left_semi").select("path", "relation")
-        old = seen.where("relation != 'origin'").select("path", "relation").unionByName(again).groupBy("path").agg(merge.alias("relation"))
-        seen = seen.join(old.withColumnRenamed("relation", "now"), "path", "left").select("path", "distance", F.coalesce("now", "relation").alias("relation")).unionByName(new.select("path", "distance", "relation")).checkpoint()
-        frontier = seen.where(F.col("distance") == k).select(F.col("path").alias("a"), F.col("relation").alias("own"))
+            order = W.partitionBy("origin").orderBy("a", "path")
+            firsts = fresh.groupBy(*at).agg(F.min("a").alias("a")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_nodes)
+            held = seen.groupBy("origin").agg(F.count("*").alias("held"))
+            firsts = firsts.join(held, "origin").withColumn("fits", F.col("nth") + F.col("held") <= max_nodes).checkpoint()
+            cut = cut.union(firsts.where("NOT fits").select("origin"))
+            fresh = fresh.join(firsts.where("fits").select(*at), at, "left_semi")
+        new = fresh.groupBy(*at).agg(merge.alias("relation")).withColumn("distance", F.lit(k))
+        again = hits.join(seen.where(F.col("relation") != "origin").select(*at), at, "left_semi").select(*at, "relation")
+        old = seen.where("relation != 'origin'").select(*at, "relation").unionByName(again).groupBy(*at).agg(merge.alias("relation"))
+        seen = seen.join(old.withColumnRenamed("relation", "now"), at, "left").select(*at, "distance", F.coalesce("now", "relation").alias("relation")).unionByName(new.select(*at, "distance", "relation")).checkpoint()
+        frontier = seen.where(F.col("distance") == k).select("origin", F.col("path").alias("a"), F.col("relation").alias("own"))
         if frontier.isEmpty():
             break
-    return seen
+    ends = lambda name: seen.select("origin", F.col("path").alias(name))
+    inside = edges.select("source", "target").distinct().join(ends("source"), "source").join(ends("target"), ["origin", "target"]).select("origin", "source", "target")
+    if max_edges is not None:
+        inside = inside.withColumn("nth", F.row_number().over(W.partitionBy("origin").orderBy("source", "target"))).where(F.col("nth") <= max_edges + 1).checkpoint()
+        cut = cut.union(inside.where(F.col("nth") > max_edges).select("origin"))
+        inside = inside.where(F.col("nth") <= max_edges).drop("nth")
+    nodes = seen.groupBy("origin").agg(F.count("*").alias("nodes"))
+    stats = nodes.join(inside.groupBy("origin").agg(F.count("*").alias("edges")), "origin", "left").join(cut.distinct().withColumn("truncated", F.lit(True)), "origin", "left")
+    return {"nodes": seen, "edges": inside, "stats": stats.select("origin", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("truncated", F.lit(False)).alias("truncated"))}
+
+
+def traverse(edges: DataFrame, origin: str, direction: str = "both", depth: int = 2, max_nodes: int | None = 250) -> DataFrame:
+    """path, distance, relation of what is within ``depth`` steps of one origin, as :func:`traverse_many`."""
+    origins = edges.sparkSession.createDataFrame([(origin,)], "origin string")
+    return traverse_many(edges, origins, direction, depth, max_nodes)["nodes"].drop("origin")
 
 
 def induced(edges: DataFrame, nodes: DataFrame, key: str = "path") -> DataFrame:
@@ -219,7 +250,7 @@ REASONS = {
 
 
 def related(origins: DataFrame, imports: DataFrame, symbol_edges: DataFrame | None = None, flow_edges: DataFrame | None = None, flow_members: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
-    """origin, path, score, reasons, rank for each of the origins(origin). imports, symbol_edges, flow_edges: (source, target) as
+    """origin, path, score, reasons, rank, truncated (there were more) for each of the origins(origin). imports, symbol_edges, flow_edges: (source, target) as
     paths; flow_members: (flow, path). Each reason is a join from the origins; scores are sums over distinct reasons."""
     e = imports.select("source", "target").distinct()
     o = origins.select("origin").distinct()
@@ -243,4 +274,7 @@ def related(origins: DataFrame, imports: DataFrame, symbol_edges: DataFrame | No
     out = out.select("origin", "path", "score", F.transform("r", lambda x: x["code"]).alias("reasons"))
     order = W.partitionBy("origin").orderBy(F.desc("score"), F.desc(F.size("reasons")), "path")
     out = out.withColumn("rank", F.row_number().over(order))
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    if limit is None:
+        return out.withColumn("truncated", F.lit(False))
+    out = out.where(F.col("rank") <= limit + 1).withColumn("truncated", F.max("rank").over(W.partitionBy("origin")) > limit)
+    return out.where(F.col("rank") <= limit)

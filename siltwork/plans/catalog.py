@@ -6,14 +6,15 @@ and parts for symbols and references, regions to orders for layers, events for d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
-from siltwork.operators import answers, chunks, evaluation, graphs, maintenance, report, vectors
-from siltwork.sources import files, session
+from siltwork.operators import answers, chunks, evaluation, graphs, ivf, maintenance, report, vectors
+from siltwork.sources import files, manifest, session
 from siltwork.streaming import events as streams
 from siltwork.streaming import jobs
 
@@ -189,6 +190,31 @@ def promote(spark, sf_dir):
     return maintenance.promote(kept, "new", F.col("source") == "src0").select("id", "source", "commit_sha")
 
 
+@query("""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS content_hash, '2' AS commit_sha, CASE WHEN d.doc_id % 7 = 0 THEN 1 ELSE coalesce(n, 0) END AS symbols
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 6 GROUP BY doc_id) s ON s.doc_id = d.doc_id WHERE d.doc_id % 11 <> 0""")
+def atomic_commit(spark, sf_dir):
+    """Documents as files and their long words as symbols, committed together, then changed together; both are read at the last version."""
+    store = manifest.Store(spark, f"{session.shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("name")).where(F.length("name") > 6)
+    store.begin("first")
+    t = store.transaction("first")
+    t.replace("files", docs.select("doc_id", X.sha256("text").alias("content_hash"), F.lit("1").alias("commit_sha")))
+    t.replace("symbols", words)
+    t.commit()
+    store.begin("second")
+    t = store.transaction("second")
+    changed = docs.where("doc_id % 7 = 0 AND doc_id % 11 <> 0")
+    plan = docs.select("doc_id", F.when(F.col("doc_id") % 11 == 0, "removed").when(F.col("doc_id") % 7 == 0, "changed").otherwise("retained").alias("status"))
+    new = changed.select("doc_id", X.sha256(F.concat("text", F.lit("!"))).alias("content_hash"), F.lit("2").alias("commit_sha"))
+    kept, symbols = maintenance.commit_files(t.read("files"), t.read("symbols"), plan, new, changed.select("doc_id", F.lit("changed").alias("name")), "2", key="doc_id")
+    t.replace("files", kept)
+    t.replace("symbols", symbols)
+    tables = store.tables(t.commit())
+    n = tables["symbols"].groupBy("doc_id").agg(F.count("*").alias("symbols"))
+    return tables["files"].join(n, "doc_id", "left").select("doc_id", "content_hash", "commit_sha", F.coalesce("symbols", F.lit(0)).alias("symbols"))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_job(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
@@ -244,6 +270,24 @@ def hybrid_merge(spark, sf_dir):
     return vectors.merge(exact, vectors.top_k(e, _query_set(e), places=6), ["query_id", "vec_id"])
 
 
+_UNITS = "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM embeddings"
+_NEAR = f"""SELECT source, target, score FROM (SELECT a.vec_id AS source, b.vec_id AS target, list_dot_product(a.u, b.u) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u, b.u) DESC, b.vec_id) AS k
+  FROM ({_UNITS}) a JOIN ({_UNITS}) b ON a.vec_id <> b.vec_id) WHERE k <= 3"""
+
+
+@query(f"SELECT source, target, round(score, 6) AS score FROM ({_NEAR})")
+def neighbour_graph(spark, sf_dir):
+    """The three nearest of every vector."""
+    return ivf.neighbour_graph(table(spark, sf_dir, "embeddings")).select("source", "target", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT source, target FROM ({_NEAR})), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target),
+  c AS (SELECT a.source AS node, a.target AS mate FROM r a JOIN r b ON b.source = a.target AND b.target = a.source) SELECT min(mate) AS component, node FROM c GROUP BY node""")
+def neighbour_components(spark, sf_dir):
+    """Strongly connected components of the digraph of nearest neighbours."""
+    return graphs.strongly_connected(ivf.neighbour_graph(table(spark, sf_dir, "embeddings")))
+
+
 @query("SELECT vec_id, len(embedding) = 64 AS valid, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS length FROM embeddings")
 def vector_checks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", X.finite_vector("embedding", 64).alias("valid"), F.round(X.norm("embedding"), 6).alias("length"))
@@ -426,6 +470,15 @@ def bfs_depth(spark, sf_dir):
     return graphs.traverse(_follows(spark, sf_dir, 2), "p1", "imports", 4)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM ({_FOLLOWS} 2)), o AS (SELECT DISTINCT source AS origin FROM e WHERE CAST(source[2:] AS BIGINT) % 50 = 0),
+  r AS (SELECT origin, origin AS path, 0 AS d FROM o UNION SELECT r.origin, e.target, r.d + 1 FROM r JOIN e ON e.source = r.path WHERE r.d < 3) SELECT origin, path, min(d) AS distance, CASE WHEN min(d) = 0 THEN 'origin' ELSE 'dependency' END AS relation FROM r GROUP BY origin, path""")
+def traverse_all(spark, sf_dir):
+    """What is within three steps of each part whose number is divisible by 50."""
+    e = _follows(spark, sf_dir, 2)
+    origins = e.where("CAST(substring(source, 2) AS BIGINT) % 50 = 0").select(F.col("source").alias("origin"))
+    return graphs.traverse_many(e, origins, "imports", 3, max_nodes=None)["nodes"]
+
+
 @query("""WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem), o AS (SELECT DISTINCT source AS origin FROM e WHERE CAST(source[2:] AS BIGINT) % 50 = 0),
   d AS (SELECT origin, target AS path, 100 AS w FROM o JOIN e ON source = origin), s AS (SELECT DISTINCT origin, source AS path, 30 AS w FROM d JOIN e ON target = d.path WHERE source <> origin),
   r AS (SELECT origin, path, sum(w) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY ALL) SELECT origin, path, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY score DESC, path) AS k FROM r) WHERE k <= 10""")
