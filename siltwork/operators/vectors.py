@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as X
-from siltwork.functions.checks import InvalidRows
+from siltwork.functions.checks import InvalidRows, holds
 from siltwork.sources.session import shared_folder
 
 TOP, MOST = 15, 50
+_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 #: Queries beyond so many are scored in blocks, each against all points.
 QUERY_BLOCK = 256
 
@@ -245,6 +246,79 @@ def place(vectors: DataFrame, responses: DataFrame, expected: int) -> DataFrame:
 
 def valid_points(points: DataFrame, size: int) -> DataFrame:
     """Adds ``error``: the first rule of stored points that a row breaks, or null."""
-    uuid = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-    rules = [("id", F.col("id").rlike(uuid)), ("content", X.trimmed("content") != ""), ("lines", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))), ("hash", F.col("content_hash").rlike("^[0-9a-f]{64}$")), ("vector", X.finite_vector("embedding", size))]
+    rules = [("id", F.col("id").rlike(_UUID)), ("content", X.trimmed("content") != ""), ("lines", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))), ("hash", F.col("content_hash").rlike("^[0-9a-f]{64}$")), ("vector", X.finite_vector("embedding", size))]
     return points.withColumn("error", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules]))
+
+
+def valid_results(results: DataFrame, **scope: str) -> DataFrame:
+    """Adds ``error``: the first rule of search results that a row breaks, or null: uuid, finite score, the scope asked for, lines, hash."""
+    score = F.col("score")
+    rules = [("id", F.col("id").rlike(_UUID)), ("score", ~F.isnan(score) & (F.abs(score) != float("inf")))]
+    rules += [(name, F.col(name) == value) for name, value in scope.items()]
+    rules += [("lines", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))), ("hash", F.col("content_hash").rlike("^[0-9a-f]{64}$"))]
+    return results.withColumn("error", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules]))
+
+
+def checked_results(results: DataFrame, **scope: str) -> DataFrame:
+    """The results, if all are valid: one that is not fails the query rather than being left out."""
+    return holds(valid_results(results, **scope), F.col("error").isNull(), "an invalid search result").drop("error")
+
+
+# -- requests to a provider --
+
+
+def token_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Counts of tokens by a tokenizer file, loaded where it is first used."""
+    held: list = []
+
+    def count(texts: list[str]) -> list[int]:
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+            held[0].no_truncation()
+            held[0].no_padding()
+            held[0].encode_special_tokens = True
+        return [len(e.ids) for e in held[0].encode_batch_fast(texts, add_special_tokens=False)]
+
+    return count
+
+
+def embed_requests(inputs: DataFrame, provider: Callable[[list[str]], dict], counter: Callable[[list[str]], list[int]], size: int, most: int = BATCH, budget: int = TOKENS, id_column: str = "id", text_column: str = "text") -> dict[str, DataFrame]:
+    """points(id, input_hash, embedding), usage(batch, inputs, tokens, model) and totals(requests, inputs, tokens, model).
+
+    Each different text is sent once, in requests of at most ``most`` texts and ``budget`` tokens by ``counter``. provider(texts) gives
+    {"vectors", "model", "tokens"}. Blank texts, texts with a NUL or over the budget, other vectors than asked for, and more
+    than one model fail the run before any point is returned."""
+    shared_folder(inputs.sparkSession)
+    keyed = inputs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("input_hash", X.sha256("text"))
+    sound = (X.trimmed("text") != "") & ~F.col("text").contains("\0")
+    texts = holds(keyed, sound, "a blank text, or one with a NUL").groupBy("input_hash").agg(F.min("text").alias("text"))
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            n = counter(p["text"].tolist())
+            if any(t > budget for t in n):
+                raise InvalidRows("a text over the token budget")
+            yield p.assign(tokens=np.array(n, np.int64))
+
+    sized = texts.mapInPandas(counted, "input_hash string, text string, tokens long").withColumn("queue", F.lit("all"))
+    dealt = batches(sized, ["queue"], "input_hash", "tokens", most, budget)
+
+    def sent(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("input_hash")
+        answer = provider(group["text"].tolist())
+        v = np.asarray(answer["vectors"], np.float32)
+        if v.shape != (len(group), size) or not np.isfinite(v).all():
+            raise InvalidRows("the provider returned other vectors than asked for")
+        used = np.zeros(len(group), np.int64)
+        used[0] = int(answer["tokens"])
+        return pd.DataFrame({"batch": group["batch"].to_numpy(), "input_hash": group["input_hash"].to_numpy(), "embedding": list(v), "model": answer["model"], "used": used})
+
+    answers = dealt.groupBy("batch").applyInPandas(sent, "batch long, input_hash string, embedding array<float>, model string, used long").checkpoint()  # a provider is not asked twice
+    usage = answers.groupBy("batch").agg(F.count("*").alias("inputs"), F.sum("used").alias("tokens"), F.max("model").alias("model"))
+    totals = answers.agg(F.count_distinct("batch").alias("requests"), F.count("*").alias("inputs"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.count_distinct("model").alias("models"), F.max("model").alias("model"))
+    if totals.first()["models"] > 1:
+        raise InvalidRows("the provider used more than one model")
+    points = keyed.select("id", "input_hash").join(answers.select("input_hash", "embedding"), "input_hash").select("id", "input_hash", "embedding")
+    return {"points": points, "usage": usage, "totals": totals.drop("models")}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import BoundExceeded, at_most, total_at_most
+from siltwork.sources import listing
 from siltwork.sources.session import shared_folder
 
 # The inclusion policy.
@@ -39,26 +39,11 @@ def scan(spark: SparkSession, root: str, enter: Column | None = None, include: C
 
 
 def _dot_files(spark: SparkSession, root: str) -> DataFrame:
-    """The files that Spark's own listing passes over: with names, or in directories, that begin with '.' or '_'. At most MAX_ENTRIES are listed."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    walk, rows, seen = fs.listFiles(top, True), [], 0
-    base = fs.makeQualified(top).toString().rstrip("/")
-    while walk.hasNext():
-        status, seen = walk.next(), seen + 1
-        if seen > MAX_ENTRIES:
-            raise BoundExceeded(f"directory entries: more than {MAX_ENTRIES}")
-        path = status.getPath().toString()
-        inner = path[len(base) + 1 :].split("/")
-        if any(p.startswith((".", "_")) for p in inner) and not any(p.lower() in IGNORED_DIRECTORIES for p in inner[:-1]):
-            content = b""
-            if status.getLen() <= MAX_FILE_BYTES:
-                with_stream = fs.open(status.getPath())
-                content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(with_stream))
-                with_stream.close()
-            rows.append((path, datetime.datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen(), content))
-    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+    """The files that Spark's own listing passes over: with names, or in directories, that begin with '.' or '_'. Tasks walk the tree."""
+    found = listing.tree(spark, root, max_entries=MAX_ENTRIES, max_depth=MAX_DEPTH, max_bytes=MAX_FILE_BYTES, prune="/".join(IGNORED_DIRECTORIES))
+    hidden = found.where(F.exists(F.split("path", "/"), lambda n: n.rlike("^[._]")))
+    top = re.sub(r"^file:/*", "/", root).rstrip("/")
+    return hidden.select(F.concat(F.lit(f"file:{top}/"), F.col("path")).alias("path"), F.col("modified").alias("modificationTime"), F.col("size").alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def _any(conditions: list[Column]) -> Column:
