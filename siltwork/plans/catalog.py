@@ -190,6 +190,18 @@ def promote(spark, sf_dir):
     return maintenance.promote(kept, "new", F.col("source") == "src0").select("id", "source", "commit_sha")
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN 'new' ELSE source END AS source FROM documents WHERE doc_id % 4 <> 3 OR doc_id % 9 = 0""")
+def bucket_upsert(spark, sf_dir):
+    """Documents in buckets of their id; every ninth is put anew, and only the buckets that hold such a one are rewritten."""
+    store = manifest.Store(spark, f"{session.shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    for part in (docs.where("id % 4 <> 3"), docs.where("id % 9 = 0").withColumn("source", F.lit("new"))):
+        t = store.transaction()
+        t.upsert("documents", part, "id", buckets=16, keywords=("source",))
+        t.commit()
+    return store.read("documents")
+
+
 @query("""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS content_hash, '2' AS commit_sha, CASE WHEN d.doc_id % 7 = 0 THEN 1 ELSE coalesce(n, 0) END AS symbols
   FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 6 GROUP BY doc_id) s ON s.doc_id = d.doc_id WHERE d.doc_id % 11 <> 0""")
 def atomic_commit(spark, sf_dir):
