@@ -38,6 +38,9 @@ _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "
 CANDIDATE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9.-]++|(?<![A-Za-z0-9])[0-9](?:[ ().-]{0,2}[0-9]){6,18}+(?![A-Za-z0-9])"
 _CANDIDATE_NEEDS = r"@|[(\[](?:at|AT)[)\]]|[0-9](?:[ ().-]{0,2}[0-9]){6}"
 LONG_WORD = 64
+#: So many patterns are broadcast to their instances. More are joined by shuffle, from checkpoints, so that Spark can split a
+#: pattern that holds a large part of all instances.
+BROADCAST_PATTERNS = 200_000
 KINDS = [*PATTERNS, "context"]
 
 
@@ -166,17 +169,19 @@ def bootstrap(found: DataFrame, rounds: int = 1000, support: int = 3, accept: fl
     # Only patterns with other instances can find any, and fewer instances than the support never score.
     of = edges.groupBy("kind", "pattern").agg(F.sum(F.col("is_seed").cast("long")).alias("seeds"), F.count("*").alias("instances"))
     of = of.where((F.col("instances") >= support) & (F.col("instances") > F.col("seeds")))
-    edges = edges.where("not is_seed").join(of, ["kind", "pattern"]).select("kind", "pattern", "text", "seeds", "instances").checkpoint()
+    of = of.checkpoint()
+    edges = edges.where("not is_seed").join(F.broadcast(of) if of.count() <= BROADCAST_PATTERNS else of, ["kind", "pattern"]).select("kind", "pattern", "text", "seeds", "instances").checkpoint()
     scored = edges.select("kind", "text").distinct().withColumn("score", F.lit(0.0)).checkpoint()
     for _ in range(rounds):
         now = edges.join(scored, ["kind", "text"])
         backed = F.max("seeds") + F.sum((F.col("score") >= accept).cast("long"))
         able = now.groupBy("kind", "pattern").agg(backed.alias("backed")).where(F.col("backed") >= support).drop("backed").checkpoint()
-        now = now.join(able, ["kind", "pattern"], "left_semi")
+        few = able.count() <= BROADCAST_PATTERNS
+        now = now.join(F.broadcast(able) if few else able, ["kind", "pattern"], "left_semi")
         now = now.join(now.groupBy("kind", "text").agg(F.count("*").alias("of")), ["kind", "text"]).checkpoint()
         others, alone = F.sum(F.when(F.col("of") > 1, F.col("score")).otherwise(0.0)), F.sum((F.col("of") == 1).cast("long"))
         patterns = now.groupBy("kind", "pattern").agg(((F.max("seeds") + others) / (F.max("instances") + 2 - alone)).alias("p"))
-        new = now.join(patterns, ["kind", "pattern"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.99)))))).alias("new"))
+        new = now.join(F.broadcast(patterns) if few else patterns.checkpoint(), ["kind", "pattern"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.99)))))).alias("new"))
         moved = scored.join(new, ["kind", "text"], "left").withColumn("new", F.greatest("score", F.coalesce("new", F.lit(0.0))))
         moved = moved.select("kind", "text", F.col("new").alias("score"), (F.col("new") - F.col("score")).alias("step"), ((F.col("new") >= accept) & (F.col("score") < accept)).alias("joined")).checkpoint()
         scored = moved.select("kind", "text", "score")

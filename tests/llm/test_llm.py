@@ -665,6 +665,18 @@ def test_bootstrap_reaches_what_only_context_shows(spark):
     assert found == want, (sorted(want - found), sorted(found - want))
 
 
+def test_a_frequent_pattern_is_split_or_broadcast(spark, monkeypatch):
+    """One context with most of the instances: the same spans whether patterns are broadcast or joined by shuffle."""
+    seeds = [(i, f"please write to me{i}@mail.org today") for i in range(40)]
+    unseen = [(100 + i, f"please write to you{i} (at) mail.org today") for i in range(20)]
+    d = spark.createDataFrame(seeds + unseen, "doc_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["spans"]) for r in pii.private_data(d).where("n_context > 0").collect())
+    want = found()
+    assert {i for i, _ in want} == {i for i, _ in unseen}
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    assert found() == want
+
+
 def test_private_data_in_long_runs(spark):
     n = 100_000
     texts = ["1" * n, "1." * (n // 2), "1.2.3." * (n // 6), "1 " * (n // 2), "+1" + " " * n, "a" * n + "@", "a@" * (n // 2), "+" * n, "(at)" * (n // 4), "x " * (n // 2) + "1.2.3.4", "w" * n + " 5551234567 " + "v" * n]
