@@ -136,7 +136,7 @@ def _candidates(base: Column) -> Column:
 
 
 # Fixed patterns: a path's layer, in order.
-_PATH_LAYERS = [
+PATH_LAYERS = [
     ("controller", r"(?:^|/)controllers?(?:/|$)|(?:^|[.-])controller(?:[.-]|$)"),
     ("service", r"(?:^|/)services?(?:/|$)|(?:^|[.-])service(?:[.-]|$)"),
     ("model", r"(?:^|/)models?(?:/|$)|(?:^|[.-])(?:model|schema)(?:[.-]|$)"),
@@ -145,7 +145,7 @@ _PATH_LAYERS = [
 
 def path_layer(path: ColumnLike) -> Column:
     clean = F.lower(F.replace(_c(path), F.lit("\\"), F.lit("/")))
-    return F.coalesce(*[F.when(clean.rlike(p), layer) for layer, p in _PATH_LAYERS])
+    return F.coalesce(*[F.when(clean.rlike(p), layer) for layer, p in PATH_LAYERS])
 
 
 def symbol_layer(kind: ColumnLike, path: ColumnLike) -> Column:

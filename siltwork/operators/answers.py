@@ -114,8 +114,11 @@ def ask(questions: DataFrame, points: DataFrame, embed: Callable = V.hashing_emb
     vectors = V.embed(asked.select(F.col("question_id").alias("id"), F.col("question").alias("text")), embed, size)
     semantic = V.top_k(points, vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), k, key="point_id").select(F.col("query_id").alias("question_id"), "point_id", "score", "rank")
     named = asked.where("category = 'exact_symbol'").select("question_id", "symbol")
-    defined = points.join(F.broadcast(named), points["symbol_name"] == named["symbol"]).select("question_id", "point_id", F.lit(0).alias("part"), "file_path", "start_line", "chunk_index")
-    used = points.join(named, F.array_contains("references", F.col("symbol"))).select("question_id", "point_id", F.lit(1).alias("part"), "file_path", "start_line", "chunk_index") if "references" in points.columns else defined.limit(0)
+    defined = points.join(named, points["symbol_name"] == named["symbol"]).select("question_id", "point_id", F.lit(0).alias("part"), "file_path", "start_line", "chunk_index")
+    used = defined.limit(0)
+    if "references" in points.columns:
+        refers = points.select("point_id", "file_path", "start_line", "chunk_index", F.explode(F.array_distinct("references")).alias("symbol"))
+        used = refers.join(named, "symbol").select("question_id", "point_id", F.lit(1).alias("part"), "file_path", "start_line", "chunk_index")
     both = defined.unionByName(used).groupBy("question_id", "point_id", "file_path", "start_line", "chunk_index").agg(F.min("part").alias("part"))
     exact = both.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("part", "file_path", "start_line", "chunk_index"))).where(F.col("rank") <= k)
     found = V.merge(exact.select("question_id", "point_id", "rank"), semantic, ["question_id", "point_id"], k)

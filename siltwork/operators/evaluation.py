@@ -204,21 +204,33 @@ def replay(recording: DataFrame) -> DataFrame:
     return recording.select(F.explode("observations").alias("case_id", "o")).select("case_id", "o.*")
 
 
-def run_live(cases: DataFrame, target: Callable[[str, str], dict], workers: int = 16) -> DataFrame:
-    """case_id, observation (JSON), error of each case: failures become rows, so one bad case does not end the run."""
+def run_live(cases: DataFrame, target: Callable[[str, str], dict], workers: int = 16, timeout: float | None = None, order: str | None = None) -> DataFrame:
+    """case_id, observation (JSON), error of each case: failures become rows, so one bad case does not end the run. A case of over
+    ``timeout`` seconds has the error TimeoutError. ``order``: a column of the cases by which the rows are put in the dataset's order."""
     import json
+    from concurrent.futures import ThreadPoolExecutor
+
+    if not 1 <= workers <= 16:
+        raise ValueError("workers must be between 1 and 16")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for case, question in zip(p["id"], p["question"], strict=True):
+                pool = ThreadPoolExecutor(1)  # one a case: what has timed out may still be running
                 try:
-                    rows.append((case, json.dumps(target(case, question)), None))
+                    rows.append((case, json.dumps(pool.submit(target, case, question).result(timeout)), None))
                 except Exception as e:  # noqa: BLE001  the contract: any failure of the target is a row
                     rows.append((case, None, type(e).__name__))
+                finally:
+                    pool.shutdown(wait=False, cancel_futures=True)
             yield pd.DataFrame(rows, columns=["case_id", "observation", "error"])
 
-    return cases.select("id", "question").repartition(workers).mapInPandas(run, "case_id string, observation string, error string")
+    out = cases.select("id", "question").repartition(workers).mapInPandas(run, "case_id string, observation string, error string")
+    if order is None:
+        return out
+    at = cases.groupBy(F.col("id").alias("case_id")).agg(F.min(order).alias("__at"))
+    return out.join(at, "case_id").orderBy("__at", "case_id").drop("__at")
 
 
 def problems(cases: DataFrame) -> DataFrame:
@@ -233,6 +245,42 @@ def problems(cases: DataFrame) -> DataFrame:
     return each.unionByName(cases.groupBy(F.col("id").alias("case")).count().where("count > 1").select("case", F.lit("repeated id").alias("problem")))
 
 
+#: The most sources and citations of an observation, and characters of an answer (fixed values).
+MAX_SOURCES, MAX_ANSWER = 10_000, 1_000_000
+PRICES = ["embedding", "input", "output"]
+
+
+def _path_ok(f: Column) -> Column:
+    return f.isNotNull() & (X.trimmed(f) != "") & ~f.rlike(r"^/|\\|\x00|(^|/)\.{0,2}(/|$)")
+
+
+def observation_problems(observations: DataFrame) -> DataFrame:
+    """case, problem of the rules that observations break; null arrays are empty, null usage and its parts are absent."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    lines = lambda s: (s["start_line"] >= 1) & (s["end_line"] >= s["start_line"]) & _path_ok(s["file_path"])
+    each = lambda c, rule: F.coalesce(F.forall(c, lambda x: F.coalesce(rule(x), F.lit(False))), F.lit(True))
+    time = lambda c: finite(F.col(f"timings.{c}")) & (F.col(f"timings.{c}") >= 0)
+    needed = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "id": needed(X.trimmed("case_id") != ""), "answer": needed((X.trimmed("answer") != "") & (X.utf16_length(F.col("answer")) <= MAX_ANSWER)),
+        "sources": F.coalesce(F.size("retrieved_sources") <= MAX_SOURCES, F.lit(True)), "citations": F.coalesce(F.size("citations") <= MAX_SOURCES, F.lit(True)),
+        "source": each("retrieved_sources", lambda s: lines(s) & F.coalesce(finite(s["score"]), F.lit(True))), "citation": each("citations", lines),
+        "timings": needed(time("retrieval_ms")) & needed(time("generation_ms")) & F.coalesce(time("indexing_ms"), F.lit(True)),
+        "usage": F.coalesce(F.least(*[F.coalesce(F.col(f"usage.{t}"), F.lit(0)) for t in ("embedding_tokens", "input_tokens", "output_tokens")]) >= 0, F.lit(True)),
+    }
+    found = observations.select(F.col("case_id").alias("case"), F.explode(F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules.items()]))).alias("problem"))
+    return found.unionByName(observations.groupBy(F.col("case_id").alias("case")).count().where("count > 1").select("case", F.lit("repeated id").alias("problem")))
+
+
+def setting_problems(thresholds: dict | None = None, prices: dict | None = None) -> list[str]:
+    """The names in thresholds and prices that are unknown or have a value out of bounds: rates lie between 0 and 1, all others are finite and not negative."""
+    known = {key: metric for key, metric, _ in GATES}
+    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool) and 0 <= v < float("inf")
+    free = {"retrieval_p95_ms", "generation_p95_ms", "indexing_p95_ms", "total_usd"}
+    wrong = [k for k, v in (thresholds or {}).items() if k not in known or not number(v) or (known[k] not in free and v > 1)]
+    return wrong + [k for k, v in (prices or {}).items() if k not in PRICES or not number(v)]
+
+
 def main(argv: list[str] | None = None) -> int:
     """Scores a dataset against a recording: 0 passed, 1 a gate or case failed, 2 the input is wrong."""
     import argparse
@@ -256,9 +304,10 @@ def main(argv: list[str] | None = None) -> int:
         cases = spark.read.schema(CASE).option("multiLine", True).option("mode", "FAILFAST").json(a.cases)
         recording = spark.read.schema(f"observations map<string, struct<{OBSERVATION.replace('case_id string, ', '').replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct').replace(' map', ':map')}>>").option("multiLine", True).json(a.recording)
         thresholds = json.loads("".join(r[0] for r in spark.read.text(a.thresholds).collect())) if a.thresholds else {}
-        if not problems(cases).isEmpty():
+        held = replay(recording)
+        if setting_problems(thresholds) or not problems(cases).isEmpty() or not observation_problems(held).isEmpty():
             return 2
-        row = report(a.cases, score(cases, replay(recording)), thresholds, started, datetime.datetime.now(datetime.UTC))
+        row = report(a.cases, score(cases, held), thresholds, started, datetime.datetime.now(datetime.UTC))
         if a.output:
             row.write.mode("overwrite").json(a.output)
         return 0 if row.first()["passed"] else 1

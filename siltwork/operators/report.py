@@ -94,8 +94,7 @@ def flow_diagram(nodes: DataFrame, edges: DataFrame, max_nodes: int = DIAGRAM_NO
 def architecture(files: DataFrame, symbols: DataFrame) -> dict:
     """The whole report of one snapshot: files(id, path, language, imports), symbols(id, file_id, ...)."""
     imports, used, flow = G.import_graph(files.drop("id")), G.symbol_graph(files, symbols), G.flow_graph(files, symbols)
-    kept = flow["flows"].limit(G.MAX_FLOWS + 1).cache()
-    flows, complete = kept.count(), kept.where("complete").count()
+    flows, complete = flow["flows"].limit(G.MAX_FLOWS + 1).agg(F.count("*"), F.count_if("complete")).first()
     imports_diagram, flow_picture = import_diagram(imports["nodes"], imports["edges"]), flow_diagram(flow["nodes"], flow["edges"])
     by_layer = {r["layer"]: r["n"] for r in flow["nodes"].groupBy("layer").agg(F.count("*").alias("n")).collect()}
     f, s = imports["stats"].first(), used["stats"].first()
@@ -106,6 +105,7 @@ def architecture(files: DataFrame, symbols: DataFrame) -> dict:
         ", ".join(f"{code} long" for code, _, _ in RISKS),
     )
     n_symbols = symbols.count()
+    # Fixed wording.
     overview = (
         f"This indexed commit contains {f['files']} files and {n_symbols} symbols across {len(by_language)} languages. "
         f"It exposes {by_layer.get('route', 0)} route entry points, with {complete} complete route-to-model flows."

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.functions import text as X
 from siltwork.operators import chunks as K
 
 # Route methods, and the names of what they are called on.
@@ -54,8 +55,8 @@ def role(kind: str, name: str, path: str) -> str:
     low = path.replace("\\", "/").lower()
     if kind in ("function", "variable_function") and name[:1].isupper() and low.endswith((".tsx", ".jsx")):
         return "react_component"
-    for layer, pattern in (("controller", r"(?:^|/)controllers?(?:/|$)|(?:^|[.-])controller(?:[.-]|$)"), ("service", r"(?:^|/)services?(?:/|$)|(?:^|[.-])service(?:[.-]|$)"), ("model", r"(?:^|/)models?(?:/|$)|(?:^|[.-])(?:model|schema)(?:[.-]|$)|schema\.[jt]s$")):
-        if kind not in ("interface", "type", "enum") and re.search(pattern, low):
+    for layer, pattern in X.PATH_LAYERS:
+        if kind not in ("interface", "type", "enum") and (re.search(pattern, low) or layer == "model" and re.search(r"schema\.[jt]s$", low)):
             return layer
     for layer in ("Controller", "Service", "Model"):
         if name.endswith(layer):

@@ -244,10 +244,16 @@ def place(vectors: DataFrame, responses: DataFrame, expected: int) -> DataFrame:
     return vectors.join(responses, "index")
 
 
-def valid_points(points: DataFrame, size: int) -> DataFrame:
-    """Adds ``error``: the first rule of stored points that a row breaks, or null."""
-    rules = [("id", F.col("id").rlike(_UUID)), ("content", X.trimmed("content") != ""), ("lines", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))), ("hash", F.col("content_hash").rlike("^[0-9a-f]{64}$")), ("vector", X.finite_vector("embedding", size))]
-    return points.withColumn("error", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules]))
+def valid_points(points: DataFrame, size: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``error``: the first rule of stored points that a row breaks, or null. ``scope``: columns that are trimmed, not blank and without NUL;
+    with them, ids that several points of the batch share are an error too."""
+    safe = lambda c: (F.col(c) != "") & (X.trimmed(c) == F.col(c)) & ~F.col(c).contains("\0")
+    rules = [("id", F.col("id").rlike(_UUID)), *[(c, safe(c)) for c in scope], ("content", X.trimmed("content") != ""), ("lines", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))), ("hash", F.col("content_hash").rlike("^[0-9a-f]{64}$")), ("vector", X.finite_vector("embedding", size))]
+    out = points.withColumn("error", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules]))
+    if not scope:
+        return out
+    shared = points.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("__shared"))
+    return out.join(shared, "id", "left").withColumn("error", F.coalesce("error", "__shared")).drop("__shared")
 
 
 def valid_results(results: DataFrame, **scope: str) -> DataFrame:

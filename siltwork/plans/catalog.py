@@ -701,14 +701,17 @@ def delivery_log(spark, sf_dir):
     return jobs.replay(e, jobs.Deliveries(10 * 24 * 3600), "user_id").select("event_id", "outcome")
 
 
-@query("""WITH RECURSIVE l AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'push' END AS kind, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_JOB_LOG = """WITH RECURSIVE l AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'push' END AS kind, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
   r AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS live, CAST(NULL AS VARCHAR) AS indexed, CAST(NULL AS VARCHAR) AS pending, 1 AS attempt, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS started, CAST(NULL AS TIMESTAMP) AS due FROM events
   UNION ALL SELECT user_id, event_id, i, CASE WHEN outcome = 'queued' THEN c WHEN outcome IN ('done', 'failed') THEN next ELSE live END, CASE WHEN outcome = 'done' THEN live ELSE indexed END,
     CASE WHEN outcome = 'pending' THEN c WHEN outcome IN ('done', 'failed') THEN NULL ELSE pending END, CASE WHEN outcome = 'retrying' THEN attempt + 1 WHEN outcome IN ('queued', 'done', 'failed') THEN 1 ELSE attempt END, outcome,
     CASE WHEN outcome = 'queued' THEN c WHEN outcome IN ('done', 'failed') THEN next WHEN outcome = 'retrying' THEN live END, CASE WHEN outcome = 'retrying' THEN ts + to_seconds(CAST(5 * power(2, attempt - 1) AS BIGINT)) END
   FROM (SELECT l.*, r.live, r.indexed, r.pending, r.attempt, CASE WHEN r.pending <> r.live THEN r.pending END AS next,
     CASE WHEN l.kind = 'push' THEN CASE WHEN r.live IS NOT NULL THEN 'pending' WHEN r.indexed = l.c THEN 'dropped' ELSE 'queued' END WHEN r.live IS NULL THEN 'idle' WHEN l.kind = 'done' THEN 'done' WHEN r.attempt < 3 THEN 'retrying' ELSE 'failed' END AS outcome
-    FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)) SELECT event_id, outcome, started, due FROM r WHERE i > 0""")
+    FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)) SELECT event_id, outcome, started, due FROM r WHERE i > 0"""
+
+
+@query(_JOB_LOG)
 def job_log(spark, sf_dir):
     """Users as repositories: purchases complete a job, errors fail an attempt, all else pushes a commit."""
     kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("push")
@@ -716,6 +719,12 @@ def job_log(spark, sf_dir):
     return jobs.replay(e, jobs.Jobs(attempts=3), "user_id").select("event_id", "outcome", "started", "due")
 
 
+@query(f"SELECT outcome, started IS NOT NULL AS starts, count(*) AS n FROM ({_JOB_LOG}) GROUP BY ALL")
+def job_outcomes(spark, sf_dir):
+    log = job_log(spark, sf_dir).withColumn("starts", F.col("started").isNotNull())
+    return streams.outcome_counts(log, ["starts"])
+
+
 @query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), j AS (SELECT event_id AS job, user_id, ts FROM events WHERE event_type = 'signup')
   SELECT p.event_id, CAST(j.job AS VARCHAR) AS job_id, CASE WHEN j.job IS NULL THEN 'queued' ELSE 'pending' END AS outcome FROM p LEFT JOIN j ON j.user_id = p.user_id AND j.ts <= p.ts AND j.ts > p.ts - INTERVAL 6 HOUR""")
 def pushes_with_jobs(spark, sf_dir):

@@ -176,6 +176,11 @@ def revoke(repositories: DataFrame, events: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(gone, "failed").otherwise(F.col("status"))).withColumn("revoked", gone).drop("w", "s", "g")
 
 
+def outcome_counts(outcomes: DataFrame, by: list[str] | None = None, outcome: str = "outcome") -> DataFrame:
+    """Rows by outcome (and by other columns): of pushes, deliveries, or repositories that lost their access."""
+    return outcomes.groupBy(*(by or []), outcome).agg(F.count("*").alias("n"))
+
+
 # -- monitoring --
 
 
