@@ -8,6 +8,7 @@ gives an empty one in each stage. All stages read whole texts of any length and
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,30 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, registry.tokenizer("word_bpe_49k.json")).drop("padded_to")
 
 
+#: Rows of documents that go to a Python worker at once. Spark's own number is for narrow rows: 10,000 documents are held as one
+#: batch by each task in the JVM (in buffers that double as they grow) and again in its worker.
+BATCH_ROWS = 1_000
+
+
+def _held_small(stage):
+    """The stage with smaller batches, unless the session names a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(name) == "10000":
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", identify_language),
-    ("duplicates", remove_duplicates),
-    ("decontamination", remove_benchmark),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
+    ("language", _held_small(identify_language)),
+    ("duplicates", _held_small(remove_duplicates)),
+    ("decontamination", _held_small(remove_benchmark)),
+    ("secrets", _held_small(mask_secrets)),
+    ("packing", _held_small(pack_sequences)),
 ]
 
 #: Language models, a random field and a tokenizer are beyond SQL; tests hold the stages against plain versions.
