@@ -3,8 +3,10 @@
 Centres are fitted on a bounded sample; every point lies in the list of its nearest centre. A query first visits the lists
 of its ``probes`` nearest centres. What it has found then bounds the rest: a list whose centre is further off than the k-th
 neighbour by more than the list's radius holds no better one; all others are visited too. So the result is that of
-comparing every pair, while well-parted lists are left out. Queries and points meet by list, long lists in several
-parts; of a query and a part at most k rows come out, and nothing passes through the driver but centres and radii.
+comparing every pair, while well-parted lists are left out. Points and queries are packed into blocks of bounded size, list
+by list, one row a block; a product of the blocks' partitions brings each block of queries to the blocks that hold a list
+that it wants. No vector is sent once for each list: what is shuffled grows with the rows, a task holds a few blocks
+whatever the input, and nothing passes through the driver but centres and radii.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from siltwork.sources.session import shared_folder
 
 #: Points from which the centres are fitted, and how many there are at most.
 SAMPLE, CENTRES = 20_000, 4096
-#: Points of a list that one task holds.
-PART = 20_000
+#: Rows and bytes of a block at most; blocks of a partition of queries, which are streamed, and of points, which a task holds.
+PART, PART_BYTES = 1024, 1 << 20
+QUERY_SIDE, POINT_SIDE = 2, 32
 _ROUNDS = 8
 _SLACK = 1e-7  # of angles, for what rounding may move
+_NEAR = 1e-12  # of cosines, likewise: a product's last digits depend on a row's place in its block
 
 
 def _units(vectors) -> np.ndarray:
@@ -54,77 +58,139 @@ def fit(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -> np
     return centres
 
 
-def _matched(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one part of a list the k nearest of each query, ties by key; a query's own key is none of them."""
-    rows: list[tuple] = []
-    if len(queries) and len(points):
-        keys, x = points["key"].to_numpy(), _units(points["vector"])
-        order = np.argsort(keys, kind="stable")
-        keys, x = keys[order], x[order]
-        for begin in range(0, len(queries), 512):
-            block = queries.iloc[begin : begin + 512]
-            score = _units(block["vector"]) @ x.T
-            ids = block["query_id"].to_numpy()
-            score[ids[:, None] == keys[None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            for q, own, s in zip(ids, best, np.take_along_axis(score, best, 1), strict=True):
-                rows += [(q, keys[j], v) for j, v in zip(own, s, strict=True) if v > -np.inf]
-    return pd.DataFrame(rows, columns=["query_id", "key", "score"])
+def _ranked(row: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, ties by key; sorted by row."""
+    order = np.lexsort((key, -score, row))
+    row, key, score = row[order], key[order], score[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, int)
+    kept = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)])) < k
+    return row[kept], key[kept], score[kept]
+
+
+def _candidates(x: np.ndarray, ids: np.ndarray, p: np.ndarray, keys: np.ndarray, visited: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and score of the points of one block that may be among the k nearest of each query; a query's own key is none of them."""
+    rows, cols = np.flatnonzero(visited.any(1)), np.flatnonzero(visited.any(0))
+    s = x[rows] @ p[cols].T
+    s[~visited[np.ix_(rows, cols)] | (ids[rows, None] == keys[None, cols])] = -np.inf
+    low = least[rows] - _NEAR
+    hit = s >= low[:, None]
+    many = np.flatnonzero(hit.sum(1) > k)
+    if len(many):
+        kth = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        hit[many] = s[many] >= np.maximum(kth - _NEAR, low[many])[:, None]
+    r, c = np.nonzero(hit & (s > -np.inf))
+    r, c = rows[r], cols[c]
+    # Row by row, so that equal vectors have equal scores wherever they stand.
+    score = [np.einsum("ij,ij->i", x[r[i : i + 65536]], p[c[i : i + 65536]]) for i in range(0, len(r), 65536)]
+    return r, keys[c], np.concatenate(score) if score else np.zeros(0)
+
+
+def _compared(k: int, width: int):
+    """Pairs of a block of queries and one of points to the k nearest of each query in all blocks of points that follow each other here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, best = None, np.zeros(0, int), None
+        out = lambda: pd.DataFrame({"query_id": ids[best[0]], "key": best[1], "score": best[2]})
+        for b in batches:
+            for at in b.itertuples(index=False):
+                if at.block != block:
+                    if best is not None:
+                        yield out()
+                    block, ids, x = at.block, np.frombuffer(at.ids, np.int64), np.frombuffer(at.x, float).reshape(-1, width)
+                    least, mask = np.frombuffer(at.least, float).copy(), np.frombuffer(at.mask, np.uint8).reshape(len(ids), -1)
+                    best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+                lists = np.frombuffer(at.lists, np.int32)
+                wants = (mask[:, lists >> 3] >> (7 - (lists & 7)).astype(np.uint8) & 1).astype(bool)
+                more = _candidates(x, ids, np.frombuffer(at.points, float).reshape(-1, width), np.frombuffer(at.keys, np.int64), wants, least, k)
+                if len(more[0]):
+                    best = _ranked(*(np.concatenate(both) for both in zip(best, more, strict=True)), k)
+                    full = np.flatnonzero(np.bincount(best[0], minlength=len(ids)) == k)
+                    kth = np.full(len(ids), np.inf)
+                    np.minimum.at(kth, best[0], best[2])
+                    least[full] = np.maximum(least[full], kth[full])
+        if best is not None:
+            yield out()
+
+    return run
+
+
+def _few_copies(keys: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that k + 1 equal vectors of smaller keys precede: no query has them among its k nearest."""
+    order = np.argsort(keys, kind="stable")
+    if len(np.unique(keys)) < len(keys):
+        return order
+    same = np.unique(x[order] + 0.0, axis=0, return_inverse=True)[1].ravel()
+    return order[np.sort(_ranked(same, np.arange(len(same)), np.zeros(len(same)), k + 1)[1])]
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", probes: int | None = None, centres: np.ndarray | None = None) -> DataFrame:
     """query_id, key, score, rank: the k points with the largest cosine for each query(query_id, query), without the one of its own
     id; ties by key. The zero vector has cosine 0 with all. Ids and vectors are not null."""
-    shared_folder(points.sparkSession)
+    spark = points.sparkSession
+    shared_folder(spark)
     held = fit(points, key, vector) if centres is None else centres
     if not len(held):
-        return points.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+        return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
     probes = max(1, math.ceil(len(held) / 10)) if probes is None else probes
+    width = held.shape[1]
+    part = max(1, min(PART, PART_BYTES // (8 * width)))
 
     def assigned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
                 angle = _angles(_units(p["vector"]), held)
                 own = angle.argmin(1)
-                yield p.assign(list=own.astype(np.int32), angle=angle[np.arange(len(p)), own])
-
-    lists = points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).mapInPandas(assigned, "key long, vector array<double>, list int, angle double").checkpoint()
-    spans = lists.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas()  # one row a centre
-    radius, many = np.full(len(held), -1.0), np.zeros(len(held), np.int64)
-    radius[spans["list"]], many[spans["list"]] = spans["radius"], -(-spans["n"] // PART)
-    parts_of = F.array(*[F.lit(int(m)) for m in many])
-    dealt = lists.select("key", "vector", "list", F.pmod(F.xxhash64("key"), F.get(parts_of, F.col("list"))).cast("int").alias("part"))
-
-    def visits(first: bool):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                if not len(p):
-                    continue
-                angle = _angles(_units(p["vector"]), held)
-                rank = angle.argsort(1, kind="stable").argsort(1)
-                if first:
-                    chosen = rank < probes
-                else:  # the angle to anything in the list is at least the one to its centre less the radius
-                    reach = np.where(p["found"].to_numpy() < k, np.pi, np.arccos(np.clip(p["least"].fillna(-1).to_numpy(), -1, 1)))
-                    chosen = (rank >= probes) & (angle - radius[None, :] <= reach[:, None] + _SLACK)
-                q, c = np.nonzero(chosen & (many > 0)[None, :])
-                times = many[c]
-                at = np.repeat(np.arange(len(q)), times)
-                part = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                yield pd.DataFrame({"query_id": p["query_id"].to_numpy()[q[at]], "vector": p["vector"].to_numpy()[q[at]], "list": c[at].astype(np.int32), "part": part.astype(np.int32)})
+                probed = np.zeros(angle.shape, bool)
+                np.put_along_axis(probed, angle.argsort(1, kind="stable")[:, :probes], True, 1)
+                yield p.assign(list=own.astype(np.int32), angle=angle[np.arange(len(p)), own], probed=[row.tobytes() for row in np.packbits(probed, axis=1)])
+
+    def in_lists(df: DataFrame) -> tuple[DataFrame, pd.DataFrame, int]:
+        """The rows with their list and block, for each list where its rows begin, how many there are and its radius, and the number of blocks."""
+        rows = df.mapInPandas(assigned, "key long, vector array<double>, list int, angle double, probed binary").checkpoint()
+        found = rows.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas().set_index("list")  # one row a centre
+        spans = found.reindex(range(len(held))).fillna({"radius": -1.0, "n": 0}).astype({"n": "int64"})
+        spans["start"] = spans["n"].cumsum() - spans["n"]
+        known = spark.createDataFrame([(int(c), int(r.start), int(r.n)) for c, r in zip(spans.index, spans.itertuples(), strict=True)], "list int, start long, n long")
+        place = F.col("start") + F.pmod(F.xxhash64("key"), F.col("n"))
+        return rows.join(F.broadcast(known), "list").withColumn("block", F.floor(place / part).cast("int")), spans, max(1, math.ceil(spans["n"].sum() / part))
+
+    def pack_points(g: pd.DataFrame) -> pd.DataFrame:
+        x, keys = _units(g["vector"]), g["key"].to_numpy()
+        kept = _few_copies(keys, x, k)
+        return pd.DataFrame({"at": g["block"].iloc[:1].to_numpy(), "keys": [keys[kept].tobytes()], "points": [x[kept].tobytes()], "lists": [g["list"].to_numpy(np.int32)[kept].tobytes()]})
+
+    def pack_queries(first: bool):
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            x, short = _units(g["vector"]), g["found"].to_numpy() < k
+            least = np.where(short, -np.inf, g["least"].to_numpy(float))
+            visited = np.unpackbits(np.frombuffer(b"".join(g["probed"]), np.uint8).reshape(len(g), -1), axis=1)[:, : len(held)].astype(bool)
+            if not first:  # the angle to anything in the list is at least the one to its centre less the radius
+                reach = np.where(short, np.pi, np.arccos(np.clip(least, -1, 1)))
+                visited = ~visited & (_angles(x, held) - radius[None, :] <= reach[:, None] + _SLACK)
+            visited &= many > 0
+            lists = np.flatnonzero(visited.any(0))
+            wanted = sorted({int(b) for c in lists for b in range(start[c] // part, (start[c] + many[c] - 1) // part + 1)})
+            return pd.DataFrame({"block": g["block"].iloc[:1].to_numpy(), "ids": [g["key"].to_numpy().tobytes()], "x": [x.tobytes()], "least": [least.tobytes()], "mask": [np.packbits(visited, axis=1).tobytes()], "wanted": [wanted]})
 
         return run
 
-    def matched(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInPandas(visits(first), "query_id long, vector array<double>, list int, part int")
-        return sent.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(lambda a, b: _matched(a, b, k), "query_id long, key long, score double")
+    stored, spans, n_points = in_lists(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")))
+    radius, many, start = (spans[c].to_numpy() for c in ("radius", "n", "start"))
+    sides = math.ceil(n_points / POINT_SIDE)
+    blocks = stored.groupBy("block").applyInPandas(pack_points, "at int, keys binary, points binary, lists binary").repartitionById(sides, F.col("at") % sides)
+    asked, _, n_queries = in_lists(queries.select(F.col("query_id").cast("long").alias("key"), F.col("query").cast("array<double>").alias("vector")))
+    rows = math.ceil(n_queries / QUERY_SIDE)
+
+    def matched(bounded: DataFrame, first: bool) -> DataFrame:
+        sent = bounded.groupBy("block").applyInPandas(pack_queries(first), "block int, ids binary, x binary, least binary, mask binary, wanted array<int>").repartitionById(rows, F.col("block") % rows)
+        pairs = sent.hint("shuffle_replicate_nl").join(blocks, F.array_contains("wanted", F.col("at"))).drop("wanted", "at")
+        return pairs.mapInPandas(_compared(k, width), "query_id long, key long, score double")
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("vector"))
     near = best(matched(asked.withColumns({"found": F.lit(0).cast("long"), "least": F.lit(0.0)}), True)).drop("rank").checkpoint()
-    bound = near.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least"))
-    rest = asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce("found", F.lit(0)).alias("found"), "least")
+    bound = near.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("found"), F.min("score").alias("least"))
+    rest = asked.join(bound, "key", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return best(near.unionByName(matched(rest, False))).withColumnRenamed("key", key)
 
 

@@ -41,3 +41,21 @@ def test_few_points_ties_and_zeros(spark):
     got = found(ivf.nearest(df, q, 5))
     assert got[2] == [1, 3, 4] and got[9] == [1, 2, 3, 4] and got[4] == [1, 2, 3]
     assert ivf.nearest(df.limit(0), q, 2).count() == 0 and ivf.nearest(df, q.limit(0), 2).count() == 0
+
+
+def test_copies_tie_by_key_and_no_vector_is_sent_for_each_list(spark, monkeypatch):
+    """Most of the rows are copies of three vectors, in blocks of 16; the widest shuffle holds each row once."""
+    monkeypatch.setattr(ivf, "PART", 16)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 7))
+    x[60:] = x[rng.integers(0, 3, 240)]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, POINTS).repartition(3)
+    got = ivf.nearest(df, df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)
+    assert found(got) == exact(rows, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroupsInPandas" not in plan
+    for batch in (ivf._units(x), ivf._units(x)[::-1]):  # of one block, all copies but the first k + 1
+        keys = np.arange(len(batch))
+        kept = ivf._few_copies(keys, batch, 3)
+        assert len(kept) < 80 and all(np.sum((batch == batch[i]).all(1) & (keys < i)) <= 3 for i in kept)
