@@ -89,15 +89,22 @@ def answer_metrics(replies: DataFrame, terms: DataFrame, groundedness: DataFrame
     return out.withColumn("hallucination_rate", F.greatest("forbidden_claim_rate", "unsupported_citation_rate"))
 
 
-def ranked_metrics(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "item", rank: str = "rank") -> DataFrame:
+def ranked_metrics(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "item", rank: str = "rank", groups: DataFrame | None = None, group: str = "group") -> DataFrame:
     """Recall and precision at 5 and 10, reciprocal rank and hit rate of ranked results(query, item, rank) against relevant(query, item).
-    Items count at their first rank; all is aggregated by query, so large result sets spread over the cluster."""
+    Items count at their first rank; all is aggregated by query, so large result sets spread over the cluster.
+
+    Where many queries share what is relevant, groups(query, group) names each query's one group and relevant is (group, item):
+    items are counted once a group, and no pair of a query and an item is made but those of the results."""
     from pyspark.sql import Window
 
     first = results.groupBy(query, item).agg(F.min(rank).alias("r")).withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy("r", item)))
-    wanted = relevant.select(query, item).distinct()
-    total = wanted.groupBy(query).agg(F.count("*").alias("expected"))
-    hits = first.join(wanted, [query, item]).groupBy(query).agg(F.count_if(F.col("r") <= 5).alias("h5"), F.count_if(F.col("r") <= 10).alias("h10"), F.count("*").alias("h"), F.min("r").alias("best"))
+    by = query if groups is None else group
+    wanted = relevant.select(by, item).distinct()
+    total = wanted.groupBy(by).agg(F.count("*").alias("expected"))
+    if groups is not None:
+        asked = groups.select(query, group).distinct()
+        first, total = first.join(asked, query), asked.join(total, group).drop(group)
+    hits = first.join(wanted, [by, item]).groupBy(query).agg(F.count_if(F.col("r") <= 5).alias("h5"), F.count_if(F.col("r") <= 10).alias("h10"), F.count("*").alias("h"), F.min("r").alias("best"))
     out = total.join(hits, query, "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(

@@ -278,7 +278,8 @@ def hybrid_merge(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    exact = q.join(e.select("vec_id", "label"), "label").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where("rank <= 5")
+    first = e.select("vec_id", "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rank <= 5")
+    exact = q.join(first, "label")
     return vectors.merge(exact, vectors.top_k(e, _query_set(e), places=6), ["query_id", "vec_id"])
 
 
@@ -597,8 +598,7 @@ def ir_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     top = vectors.top_k(e, _query_set(e), places=6).withColumnRenamed("vec_id", "item")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = q.join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query_id", "item")
-    m = evaluation.ranked_metrics(top, relevant)
+    m = evaluation.ranked_metrics(top, e.select("label", F.col("vec_id").alias("item")), groups=q, group="label")
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "query_id"])
 
 

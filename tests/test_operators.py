@@ -272,3 +272,14 @@ def test_jobs_and_metrics(spark):
     assert [r["line"] for r in lines] == ["# TYPE http_requests_total counter", 'http_requests_total{route="a\\"b"} 3']
     assert one(spark, indexing.failure_class(F.lit(429)))["retryable"] and not one(spark, indexing.failure_class(F.lit(400)))["retryable"]
     assert one(spark, indexing.retry_delay(F.lit(3))) == 20.0
+
+
+def test_ranked_metrics_of_groups_make_no_pairs(spark):
+    """40 queries of 2 groups with 300 items each: the rows of an aggregation follow the items, and the metrics are those of the expanded pairs."""
+    results = spark.createDataFrame([(q, (q * 7 + r * r) % 640, r) for q in range(40) for r in range(1, 16)], "query_id long, item long, rank int")
+    groups = spark.createDataFrame([(q, q % 3) for q in range(40)], "query_id long, label int")
+    items = spark.createDataFrame([(i % 2, i) for i in range(600)], "label int, item long")
+    got = evaluation.ranked_metrics(results, items.unionByName(items), groups=groups, group="label")
+    want = evaluation.ranked_metrics(results, groups.join(items, "label"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 27
+    assert evaluation.ranked_metrics(results.limit(0), items, groups=groups, group="label").where("recall_at_10 = 0").count() == 27
