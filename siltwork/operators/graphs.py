@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,46 +39,59 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str = "id", source: str = "
 def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """component, node of the components with more than one node or a self loop; component: the least node.
 
-    Rounds of colouring: labels of the least node that reaches a node, and that a node reaches, spread along the
-    edges; nodes with equal labels both ways form a component and leave. Edges that lead out of what is left are
-    pruned, so chains leave in as many rounds as they are long at most. Every round is distributed and checkpointed."""
+    Rounds of colouring: labels of the least node that reaches a node, and of the least that it reaches, spread along the
+    edges, both ways in one job a step. Nodes with equal labels both ways form a component and leave; of the other edges
+    those stay whose ends have the same two labels, as the nodes of one component have. Edges that lead out of what is left
+    are pruned as long as many do. Every step is distributed and checkpointed; its joins are sorted and not broadcast, and
+    it counts what it changed, so that the driver gets numbers alone."""
     shared_folder(edges.sparkSession)
     edges = edges.select("source", "target").distinct().checkpoint()
     loops = edges.where("source = target").select(F.col("source").alias("component"), F.col("source").alias("node"))
-    live = edges.where("source != target")
-    done = None
+    live, n = _counted(edges.where("source != target"), F.lit(True))
+    done = []
     for _ in range(most_rounds):
-        # A node on a cycle has an edge in and an edge out.
-        while True:
-            both = live.select(F.col("source").alias("node")).intersect(live.select(F.col("target").alias("node")))
-            kept = live.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target").checkpoint()
-            if kept.count() == live.count():
+        while n:
+            # A node on a cycle has an edge in and an edge out.
+            ends = live.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(live.select(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+            both = ends.groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 AND i = 1").select("node").hint("merge")
+            before = n
+            live, n = _counted(live.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"), F.lit(True))
+            if n > 0.9 * before:
                 break
-            live = kept
-        live = kept
-        if live.isEmpty():
+        if not n:
             break
-        nodes = live.select(F.col("source").alias("node")).distinct()
-        ahead, back = _spread(nodes, live, "source", "target"), _spread(nodes, live, "target", "source")
-        found = ahead.join(back, ["node", "label"]).select(F.col("label").alias("component"), "node").checkpoint()
-        done = found if done is None else done.unionByName(found)
-        live = live.join(found.select(F.col("node").alias("source")), "source", "left_anti").join(found.select(F.col("node").alias("target")), "target", "left_anti").checkpoint()
+        labels = _spread(live)
+        done.append(labels.where("ahead = back").select(F.col("ahead").alias("component"), "node"))
+        left = labels.where("ahead != back").select("node", F.struct("ahead", "back").alias("own"))
+        end = lambda c: left.select(F.col("node").alias(c), F.col("own").alias(f"{c}_own")).hint("merge")
+        live, n = _counted(live.join(end("source"), "source").join(end("target"), "target").where("source_own = target_own").select("source", "target"), F.lit(True))
     else:
         raise RuntimeError("components did not settle")
-    out = loops if done is None else done.unionByName(loops.join(done, "node", "left_anti").select("component", "node"))
-    size = out.groupBy("component").agg(F.count("*").alias("n"))
-    looped = loops.select("component").distinct().withColumn("looped", F.lit(True))
+    found = reduce(DataFrame.unionByName, done) if done else loops.limit(0)
+    out = found.unionByName(loops.join(found.select("node").hint("merge"), "node", "left_anti").select("component", "node"))
+    size = out.groupBy("component").agg(F.count("*").alias("n")).hint("merge")
+    looped = loops.select("component").distinct().withColumn("looped", F.lit(True)).hint("merge")
     return out.join(size, "component").join(looped, "component", "left").where("n > 1 or looped").select("component", "node").distinct()
 
 
-def _spread(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        moved = edges.join(labels.withColumnRenamed("node", source), source).select(F.col(target).alias("node"), "label").unionByName(labels)
-        new = moved.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
-            return new
-        labels = new
+def _counted(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    """The checkpointed rows, and for how many of them ``what`` holds; counted by the job that writes them."""
+    seen = Observation()
+    out = df.observe(seen, F.count_if(what).alias("n")).checkpoint()
+    return out, seen.get["n"]
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """node, ahead, back: the least node that reaches each node, and the least that it reaches. Only labels that changed are sent on."""
+    step = edges.select(F.lit(True).alias("ahead"), F.col("source").alias("at"), F.col("target").alias("node")).unionByName(edges.select(F.lit(False).alias("ahead"), F.col("target").alias("at"), F.col("source").alias("node")))
+    labels = step.select("ahead", "node", F.col("node").alias("label"), F.lit(True).alias("moved")).distinct()
+    more = 1
+    while more:
+        sent = labels.where("moved").select("ahead", F.col("node").alias("at"), "label").hint("merge")
+        told = step.join(sent, ["ahead", "at"]).select("ahead", "node", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("own"))
+        least = told.unionByName(labels.select("ahead", "node", "label", F.col("label").alias("own"))).groupBy("ahead", "node").agg(F.min("label").alias("label"), F.min("own").alias("own"))
+        labels, more = _counted(least.select("ahead", "node", "label", (F.col("label") < F.col("own")).alias("moved")), F.col("moved"))
+    return labels.groupBy("node").agg(F.min(F.when(F.col("ahead"), F.col("label"))).alias("ahead"), F.min(F.when(~F.col("ahead"), F.col("label"))).alias("back")).checkpoint()
 
 
 def import_graph(files: DataFrame) -> dict[str, DataFrame]:

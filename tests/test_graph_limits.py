@@ -94,3 +94,32 @@ def test_related_says_whether_there_were_more(spark):
     e = spark.createDataFrame([("a", f"t{i}") for i in range(12)] + [("b", "t1")], "source string, target string")
     got = graphs.related(spark.createDataFrame([("a",), ("b",)], "origin string"), e, limit=10).collect()
     assert {(r["origin"], r["truncated"]) for r in got} == {("a", True), ("b", False)} and sum(r["origin"] == "a" for r in got) == 10
+
+
+def test_components_send_counts_alone_to_the_driver(spark, monkeypatch):
+    """Random digraphs against a plain search; no step broadcasts a side of its joins, and a chain of cycles is cut in few rounds."""
+    rng = random.Random(3)
+    nodes = 160
+    pairs = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(190)} | {(7, 7)}
+    pairs |= {(1000 + i, 1000 + i + 1) for i in range(40)} | {(1000 + i + 1, 1000 + i) for i in range(0, 40, 4)}  # two nodes, then a chain on
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    far = {a: reach(a) for a in {x for p in pairs for x in p}}
+    want = {(min(b for b in far[a] if a in far[b]), a) for a in far if a in far[a]}
+    plans, frame = [], type(spark.range(1))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "checkpoint", lambda self, f=frame.checkpoint: (plans.append(self._jdf.queryExecution().executedPlan().toString()), f(self))[1])
+        got = {tuple(r) for r in graphs.strongly_connected(spark.createDataFrame(sorted(pairs), "source long, target long"), most_rounds=4).collect()}
+    assert got == want and len({c for c, _ in want}) > 10
+    assert not any("Broadcast" in p for p in plans)
