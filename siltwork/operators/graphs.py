@@ -15,6 +15,8 @@ from siltwork.sources.session import shared_folder
 # Limits of graphs, and kinds of symbols that a route can call.
 MAX_FILES, MAX_IMPORTS, MAX_SYMBOLS, MAX_REFERENCES, MAX_EDGES, MAX_FLOWS = 5_000, 50_000, 10_000, 100_000, 50_000, 1_000
 CALLABLE = ["function", "arrow_function", "method", "controller"]
+#: Steps that labels spread between two checkpoints.
+STEPS = 6
 
 
 def resolve_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,10 +42,10 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """component, node of the components with more than one node or a self loop; component: the least node.
 
     Rounds of colouring: labels of the least node that reaches a node, and of the least that it reaches, spread along the
-    edges, both ways in one job a step. Nodes with equal labels both ways form a component and leave; of the other edges
+    edges, both ways at once and ``STEPS`` steps between checkpoints. Nodes with equal labels both ways form a component and leave; of the other edges
     those stay whose ends have the same two labels, as the nodes of one component have. Edges that lead out of what is left
-    are pruned as long as many do. Every step is distributed and checkpointed; its joins are sorted and not broadcast, and
-    it counts what it changed, so that the driver gets numbers alone."""
+    are pruned as long as many do. Every step is distributed; its joins are sorted and not broadcast, and what changed is
+    counted by the job that changes it, so that the driver gets numbers alone."""
     shared_folder(edges.sparkSession)
     edges = edges.select("source", "target").distinct().checkpoint()
     loops = edges.where("source = target").select(F.col("source").alias("component"), F.col("source").alias("node"))
@@ -82,15 +84,21 @@ def _counted(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
 
 
 def _spread(edges: DataFrame) -> DataFrame:
-    """node, ahead, back: the least node that reaches each node, and the least that it reaches. Only labels that changed are sent on."""
-    step = edges.select(F.lit(True).alias("ahead"), F.col("source").alias("at"), F.col("target").alias("node")).unionByName(edges.select(F.lit(False).alias("ahead"), F.col("target").alias("at"), F.col("source").alias("node")))
-    labels = step.select("ahead", "node", F.col("node").alias("label"), F.lit(True).alias("moved")).distinct()
+    """node, ahead, back: the least node that reaches each node, and the least that it reaches.
+
+    Every node also tells itself, so a step is one join and one aggregation by the node, and the next step's join finds its
+    labels where they are; the edges are dealt once for all steps up to a checkpoint."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    ways = [(True, "source", "target"), (False, "target", "source")]
+    step = reduce(DataFrame.unionByName, [edges.select(F.lit(way).alias("ahead"), F.col(a).alias("at"), F.col(b).alias("node")) for way, a, b in ways] + [ends.select(F.lit(way).alias("ahead"), F.col("node").alias("at"), "node") for way, _, _ in ways]).checkpoint()
+    labels = step.where("at = node").select("ahead", "node", F.col("node").alias("label"))
     more = 1
     while more:
-        sent = labels.where("moved").select("ahead", F.col("node").alias("at"), "label").hint("merge")
-        told = step.join(sent, ["ahead", "at"]).select("ahead", "node", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("own"))
-        least = told.unionByName(labels.select("ahead", "node", "label", F.col("label").alias("own"))).groupBy("ahead", "node").agg(F.min("label").alias("label"), F.min("own").alias("own"))
-        labels, more = _counted(least.select("ahead", "node", "label", (F.col("label") < F.col("own")).alias("moved")), F.col("moved"))
+        for _ in range(STEPS):
+            told = step.join(labels.select("ahead", F.col("node").alias("at"), "label").hint("merge"), ["ahead", "at"])
+            least = told.groupBy("ahead", "node").agg(F.min("label").alias("label"), F.min(F.when(F.col("at") == F.col("node"), F.col("label"))).alias("own"))
+            labels = least.select("ahead", "node", "label", (F.col("label") < F.col("own")).alias("moved"))
+        labels, more = _counted(labels, F.col("moved"))
     return labels.groupBy("node").agg(F.min(F.when(F.col("ahead"), F.col("label"))).alias("ahead"), F.min(F.when(~F.col("ahead"), F.col("label"))).alias("back")).checkpoint()
 
 

@@ -6,7 +6,9 @@ neighbour by more than the list's radius holds no better one; all others are vis
 comparing every pair, while well-parted lists are left out. Points and queries are packed into blocks of bounded size, list
 by list, one row a block; a product of the blocks' partitions brings each block of queries to the blocks that hold a list
 that it wants. No vector is sent once for each list: what is shuffled grows with the rows, a task holds a few blocks
-whatever the input, and nothing passes through the driver but centres and radii.
+whatever the input, and nothing passes through the driver but centres and radii. Blocks hold the vectors as they are stored
+(single precision stays four bytes a component) and are scaled to length one, in double precision, where they are compared;
+angles to the centres are taken for ``PART`` rows at a time, so that a task's memory does not grow with the number of centres.
 """
 
 from __future__ import annotations
@@ -43,6 +45,20 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
+def _lists(x: np.ndarray, centres: np.ndarray, probes: int = 0) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each row the list, the angle to its centre, and as bits the lists of the ``probes`` nearest centres."""
+    own, least, bits = [np.zeros(0, np.int32)], [np.zeros(0)], []
+    for i in range(0, len(x), PART):
+        angle = _angles(x[i : i + PART], centres)
+        own.append(angle.argmin(1).astype(np.int32))
+        least.append(angle[np.arange(len(angle)), own[-1]])
+        if probes:
+            probed = np.zeros(angle.shape, bool)
+            np.put_along_axis(probed, angle.argsort(1, kind="stable")[:, :probes], True, 1)
+            bits += [row.tobytes() for row in np.packbits(probed, axis=1)]
+    return np.concatenate(own), np.concatenate(least), bits
+
+
 def fit(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -> np.ndarray:
     """Unit centres, about as many as the square root of the points, by k-means on at most ``SAMPLE`` of them (by hash order)."""
     n = points.count()
@@ -50,7 +66,7 @@ def fit(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -> np
     many = max(1, min(math.ceil(math.sqrt(n)), CENTRES, math.ceil(len(sample) / 4)))
     centres = sample[:: max(1, len(sample) // many)][:many].copy()
     for _ in range(_ROUNDS):
-        nearest = _angles(sample, centres).argmin(1) if len(sample) else np.zeros(0, int)
+        nearest = _lists(sample, centres)[0]
         for c in np.unique(nearest):
             mean = sample[nearest == c].sum(0)
             if np.linalg.norm(mean) > 1e-12:
@@ -85,8 +101,10 @@ def _candidates(x: np.ndarray, ids: np.ndarray, p: np.ndarray, keys: np.ndarray,
     return r, keys[c], np.concatenate(score) if score else np.zeros(0)
 
 
-def _compared(k: int, width: int):
-    """Pairs of a block of queries and one of points to the k nearest of each query in all blocks of points that follow each other here."""
+def _compared(k: int, width: int, kinds: tuple[str, str]):
+    """Pairs of a block of queries and one of points, whose components are of these kinds, to the k nearest of each query in all
+    blocks of points that follow each other here."""
+    unpacked = lambda raw, kind: _units(np.frombuffer(raw, kind).reshape(-1, width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, ids, best = None, np.zeros(0, int), None
@@ -96,12 +114,12 @@ def _compared(k: int, width: int):
                 if at.block != block:
                     if best is not None:
                         yield out()
-                    block, ids, x = at.block, np.frombuffer(at.ids, np.int64), np.frombuffer(at.x, float).reshape(-1, width)
+                    block, ids, x = at.block, np.frombuffer(at.ids, np.int64), unpacked(at.x, kinds[0])
                     least, mask = np.frombuffer(at.least, float).copy(), np.frombuffer(at.mask, np.uint8).reshape(len(ids), -1)
                     best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
                 lists = np.frombuffer(at.lists, np.int32)
                 wants = (mask[:, lists >> 3] >> (7 - (lists & 7)).astype(np.uint8) & 1).astype(bool)
-                more = _candidates(x, ids, np.frombuffer(at.points, float).reshape(-1, width), np.frombuffer(at.keys, np.int64), wants, least, k)
+                more = _candidates(x, ids, unpacked(at.points, kinds[1]), np.frombuffer(at.keys, np.int64), wants, least, k)
                 if len(more[0]):
                     best = _ranked(*(np.concatenate(both) for both in zip(best, more, strict=True)), k)
                     full = np.flatnonzero(np.bincount(best[0], minlength=len(ids)) == k)
@@ -138,15 +156,12 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     def assigned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                angle = _angles(_units(p["vector"]), held)
-                own = angle.argmin(1)
-                probed = np.zeros(angle.shape, bool)
-                np.put_along_axis(probed, angle.argsort(1, kind="stable")[:, :probes], True, 1)
-                yield p.assign(list=own.astype(np.int32), angle=angle[np.arange(len(p)), own], probed=[row.tobytes() for row in np.packbits(probed, axis=1)])
+                own, angle, probed = _lists(_units(p["vector"]), held, probes)
+                yield p.assign(list=own, angle=angle, probed=probed)
 
     def in_lists(df: DataFrame) -> tuple[DataFrame, pd.DataFrame, int]:
         """The rows with their list and block, for each list where its rows begin, how many there are and its radius, and the number of blocks."""
-        rows = df.mapInPandas(assigned, "key long, vector array<double>, list int, angle double, probed binary").checkpoint()
+        rows = df.mapInPandas(assigned, f"key long, vector {df.schema['vector'].dataType.simpleString()}, list int, angle double, probed binary").checkpoint()
         found = rows.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas().set_index("list")  # one row a centre
         spans = found.reindex(range(len(held))).fillna({"radius": -1.0, "n": 0}).astype({"n": "int64"})
         spans["start"] = spans["n"].cumsum() - spans["n"]
@@ -155,18 +170,18 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         return rows.join(F.broadcast(known), "list").withColumn("block", F.floor(place / part).cast("int")), spans, max(1, math.ceil(spans["n"].sum() / part))
 
     def pack_points(g: pd.DataFrame) -> pd.DataFrame:
-        x, keys = _units(g["vector"]), g["key"].to_numpy()
-        kept = _few_copies(keys, x, k)
+        x, keys = np.array(list(g["vector"]), kinds[1]), g["key"].to_numpy()
+        kept = _few_copies(keys, _units(x), k)
         return pd.DataFrame({"at": g["block"].iloc[:1].to_numpy(), "keys": [keys[kept].tobytes()], "points": [x[kept].tobytes()], "lists": [g["list"].to_numpy(np.int32)[kept].tobytes()]})
 
     def pack_queries(first: bool):
         def run(g: pd.DataFrame) -> pd.DataFrame:
-            x, short = _units(g["vector"]), g["found"].to_numpy() < k
+            x, short = np.array(list(g["vector"]), kinds[0]), g["found"].to_numpy() < k
             least = np.where(short, -np.inf, g["least"].to_numpy(float))
             visited = np.unpackbits(np.frombuffer(b"".join(g["probed"]), np.uint8).reshape(len(g), -1), axis=1)[:, : len(held)].astype(bool)
             if not first:  # the angle to anything in the list is at least the one to its centre less the radius
                 reach = np.where(short, np.pi, np.arccos(np.clip(least, -1, 1)))
-                visited = ~visited & (_angles(x, held) - radius[None, :] <= reach[:, None] + _SLACK)
+                visited = ~visited & (_angles(_units(x), held) - radius[None, :] <= reach[:, None] + _SLACK)
             visited &= many > 0
             lists = np.flatnonzero(visited.any(0))
             wanted = sorted({int(b) for c in lists for b in range(start[c] // part, (start[c] + many[c] - 1) // part + 1)})
@@ -174,17 +189,19 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
         return run
 
-    stored, spans, n_points = in_lists(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")))
+    asked, points = (df.select(F.col(i).cast("long").alias("key"), F.col(v).cast("array<float>" if df.schema[v].dataType.simpleString() == "array<float>" else "array<double>").alias("vector")) for df, i, v in ((queries, "query_id", "query"), (points, key, vector)))
+    kinds = tuple("f4" if "float" in df.schema["vector"].dataType.simpleString() else "f8" for df in (asked, points))
+    stored, spans, n_points = in_lists(points)
     radius, many, start = (spans[c].to_numpy() for c in ("radius", "n", "start"))
     sides = math.ceil(n_points / POINT_SIDE)
     blocks = stored.groupBy("block").applyInPandas(pack_points, "at int, keys binary, points binary, lists binary").repartitionById(sides, F.col("at") % sides)
-    asked, _, n_queries = in_lists(queries.select(F.col("query_id").cast("long").alias("key"), F.col("query").cast("array<double>").alias("vector")))
+    asked, _, n_queries = in_lists(asked)
     rows = math.ceil(n_queries / QUERY_SIDE)
 
     def matched(bounded: DataFrame, first: bool) -> DataFrame:
         sent = bounded.groupBy("block").applyInPandas(pack_queries(first), "block int, ids binary, x binary, least binary, mask binary, wanted array<int>").repartitionById(rows, F.col("block") % rows)
         pairs = sent.hint("shuffle_replicate_nl").join(blocks, F.array_contains("wanted", F.col("at"))).drop("wanted", "at")
-        return pairs.mapInPandas(_compared(k, width), "query_id long, key long, score double")
+        return pairs.mapInPandas(_compared(k, width, kinds), "query_id long, key long, score double")
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -123,3 +123,16 @@ def test_components_send_counts_alone_to_the_driver(spark, monkeypatch):
         got = {tuple(r) for r in graphs.strongly_connected(spark.createDataFrame(sorted(pairs), "source long, target long"), most_rounds=4).collect()}
     assert got == want and len({c for c, _ in want}) > 10
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_components_take_several_steps_between_checkpoints(spark, monkeypatch):
+    """A ring of 40 nodes, whose least label goes round it, and a chain that leads out of it; labels are dealt once a step."""
+    pairs = [(i, (i + 1) % 40) for i in range(40)] + [(100 + i, 101 + i) for i in range(3)] + [(3, 100), (200, 201), (201, 200), (39, 200)]
+    plans, frame = [], type(spark.range(1))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "checkpoint", lambda self, f=frame.checkpoint: (plans.append(self._jdf.queryExecution().executedPlan().toString()), f(self))[1])
+        got = {tuple(r) for r in graphs.strongly_connected(spark.createDataFrame(pairs, "source long, target long")).collect()}
+    assert got == {(0, i) for i in range(40)} | {(200, 200), (200, 201)}
+    assert len(plans) < 40
+    most = max(plans, key=lambda p: p.count("SortMergeJoin"))
+    assert most.count("Exchange") <= 2 * most.count("SortMergeJoin") + 1

@@ -59,3 +59,22 @@ def test_copies_tie_by_key_and_no_vector_is_sent_for_each_list(spark, monkeypatc
         keys = np.arange(len(batch))
         kept = ivf._few_copies(keys, batch, 3)
         assert len(kept) < 80 and all(np.sum((batch == batch[i]).all(1) & (keys < i)) <= 3 for i in kept)
+
+
+def test_memory_does_not_grow_with_centres_or_precision(spark, monkeypatch):
+    """Angles to the centres are taken for a bounded number of rows; single-precision vectors stay so until they are compared."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.standard_normal((700, 6)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    seen, kept, angles, frame = [], [], ivf._angles, type(df)
+    with monkeypatch.context() as m:
+        m.setattr(ivf, "PART", 100)
+        m.setattr(ivf, "_angles", lambda x, c: (seen.append(len(x)), angles(x, c))[1])
+        centres = ivf.fit(df)
+    assert max(seen) <= 100 and len(centres) == 27
+    double = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "checkpoint", lambda self, f=frame.checkpoint: (kept.append(self.schema["vector"].dataType.simpleString() if "vector" in self.columns else ""), f(self))[1])
+        got = [found(ivf.nearest(df, q, 4, probes=2, centres=centres)) for q in (double, double.withColumn("query", F.col("query").cast("array<float>")))]
+    assert got == [exact(rows, 4)] * 2
+    assert [x for x in kept if x] == ["array<float>", "array<double>", "array<float>", "array<float>"]
