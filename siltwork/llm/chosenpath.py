@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltwork.llm.batches import Points, mix, ngrams, sliced
@@ -44,6 +44,8 @@ BUCKET, BLOCK = 512, 1024
 BROADCAST_MEMBERS = 1_000_000
 #: Up to so many large buckets, their sizes are broadcast; beyond, paths are joined with them under so many salts.
 BROADCAST_PATHS, SALTS = 500_000, 64
+#: Narrow rows are read in tasks of so many, or one for each core: steps are many, and the driver holds figures of each task.
+ROWS_A_TASK = 50_000
 
 _A = mix(np.arange(1, TOKENS + 1, dtype=np.uint64))
 _B = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -128,19 +130,32 @@ def joined(close: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _counted(paths: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The paths with the size ``n`` of their bucket. Large buckets' sizes are broadcast, or joined by salted paths beyond a bound, so that no task gets a whole large bucket."""
-    sizes = sizes.checkpoint()
+def _written(df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+    """The checkpointed rows, and what the job that writes them counts on the way."""
+    seen = Observation()
+    out = df.observe(seen, *[column.alias(name) for name, column in what.items()]).checkpoint()
+    return out, seen.get
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in no more tasks than so many rows need, without a shuffle."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK)))
+
+
+def _counted(paths: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """The paths with the size ``n`` of their bucket, and the number of large buckets. Large buckets' sizes are broadcast, or joined by salted paths beyond a bound, so that no task gets a whole large bucket."""
+    sizes, seen = _written(sizes, n=F.count("*"), n_large=F.count_if(F.col("n") > BUCKET))
+    sizes, n_large = _few(sizes, seen["n"]), seen["n_large"]
     large = sizes.where(F.col("n") > BUCKET).select("path", F.col("n").alias("n_large"))
-    if large.isEmpty():
-        return paths.join(sizes, "path")
-    if large.count() <= BROADCAST_PATHS:
+    if not n_large:
+        return paths.join(sizes, "path"), 0
+    if n_large <= BROADCAST_PATHS:
         marked = paths.join(F.broadcast(large), "path", "left")
     else:
         salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
         marked = paths.withColumn("salt", salt).join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["path", "salt"], "left").drop("salt")
     few = marked.where("n_large is null").select("path", "row").join(sizes.where(F.col("n") <= BUCKET), "path").select("path", "row", "n")
-    return marked.where("n_large is not null").select("path", "row", F.col("n_large").alias("n")).unionByName(few)
+    return marked.where("n_large is not null").select("path", "row", F.col("n_large").alias("n")).unionByName(few), n_large
 
 
 def _matrix(column) -> np.ndarray:
@@ -171,16 +186,18 @@ def _compare_bucket(batches, floor: float):
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, root: the least node of each connected component of the links (a, b); alternating large and small stars."""
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()  # what makes the links runs once
+    tally = {"n": F.count("*"), "hash": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    edges, now = _written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), **tally)  # what makes the links runs once
     last = None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n = 2 * now["n"]  # no step has more rows
+        both = _few(edges, n).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _few(_few(large, n).distinct(), n)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = small.where("a != b").distinct().checkpoint()
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        edges, now = _written(_few(_few(small.where("a != b"), n).distinct(), n), **tally)
         if now == last:
             break
         last = now
@@ -233,14 +250,15 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, with one row of each class: the one of the least doc_id. Rows without words stay."""
-    all_rows = classes(docs, **options).where("root is not null").select("row", "doc_id", "root").checkpoint()
+    all_rows, seen = _written(classes(docs, **options).where("root is not null").select("row", "doc_id", "root"), n=F.count("*"))
+    all_rows = _few(all_rows, seen["n"])
     first = all_rows.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
-    gone = all_rows.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__gone")).checkpoint()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_MEMBERS else gone
+    gone, seen = _written(all_rows.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__gone")), n=F.count("*"))
+    gone = F.broadcast(_few(gone, seen["n"])) if seen["n"] <= BROADCAST_MEMBERS else gone
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
     kept = docs.withColumn("__row", number(docs[id_column].cast("long"), docs[text_column])).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-    again = all_rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("__again")).checkpoint()
-    if again.isEmpty():
+    again, seen = _written(all_rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("__again")), n=F.count("*"))
+    if not seen["n"]:
         return kept.drop("__row")
     # Of rows repeated under one doc_id with one text, each task sends one on.
     match = F.col("__row") == F.col("__again")
@@ -280,7 +298,10 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
     nodes = src.mapInArrow(sketch, "doc_id long, row long, size long, low long, high long, sketch binary").checkpoint()
     key = ["size", "low", "high"]
     full = nodes.where("size > 0")
-    sets = full.groupBy(*key).agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).checkpoint()
+    sets = full.groupBy(*key).agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    sets, seen = _written(sets, n=F.count("*"))
+    n_sets = seen["n"]
+    sets = _few(sets, n_sets)
     own = sets.select("row").join(full.select("row", "sketch"), "row").dropDuplicates(["row"]).checkpoint()
 
     def start(batches):
@@ -303,7 +324,9 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
     links, depth = None, DEPTH
     while True:
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        live = _counted(paths, sizes).join(own, "row").select("path", "row", "sketch", "n").checkpoint()
+        live, n_large = _counted(paths, sizes)
+        live, seen = _written(live.join(_few(own, n_sets), "row").select("path", "row", "sketch", "n"), n=F.count("*"))
+        live = _few(live, seen["n"])
         last = depth >= DEEPEST
         small = live.where(F.col("n") <= BUCKET).select("path", "row", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: _compare_bucket(b, floor), "a long, b long").distinct()
@@ -311,15 +334,16 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
         large = live.where(F.col("n") > BUCKET)
         if last:  # what shares so many sampled tokens is one candidate group
             least = large.groupBy("path").agg(F.min("row").alias("b"))
-            links = links.unionByName(large.select(F.col("row").alias("a"), "path").join(F.broadcast(least) if least.count() <= BROADCAST_PATHS else least, "path").select("a", "b").distinct())
-        if last or large.isEmpty():
+            links = links.unionByName(large.select(F.col("row").alias("a"), "path").join(F.broadcast(least) if n_large <= BROADCAST_PATHS else least, "path").select("a", "b").distinct())
+        if last or not n_large:
             break
-        paths = large.select("path", "row", "sketch").mapInArrow(go_on, "path long, row long").checkpoint()
+        paths, seen = _written(large.select("path", "row", "sketch").mapInArrow(go_on, "path long, row long"), n=F.count("*"))
+        paths = _few(paths, seen["n"])
         depth += DEEPER
     member = components(links)
     member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
     counts = member.groupBy("root").agg(F.count("*").alias("n"))
-    member = member.join(counts, "root").select(F.col("node").alias("row"), "root", "n").checkpoint()
+    member, seen = _written(member.join(counts, "root").select(F.col("node").alias("row"), "root", "n"), n=F.count("*"))
 
     def exact(batches):
         seen: set[int] = set()  # of rows that repeat, a task sends the first
@@ -333,7 +357,7 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
                 names=["row", "root", "n", "shingles"],
             )
 
-    side = F.broadcast(member) if member.count() <= BROADCAST_MEMBERS else member
+    side = F.broadcast(_few(member, seen["n"])) if seen["n"] <= BROADCAST_MEMBERS else member
     texts = src.select("row", "text").join(side, "row").select("row", "root", "n", "text")
     whole = texts.mapInArrow(exact, "row long, root long, n long, shingles binary")
     # A large group is dealt to blocks; each pair of blocks meets in one part. half: which of the two blocks a member is of, 0 for all pairs.
@@ -344,7 +368,8 @@ def classes(docs: DataFrame, recall: float = 0.9999, similarity: float = 0.8, id
         F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("half"), "row", "shingles",
     )
-    compared = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_compare_group, "row long, links long, root long").checkpoint()
+    compared, seen = _written(parts.repartition("part").sortWithinPartitions("part").mapInArrow(_compare_group, "row long, links long, root long"), n=F.count("*"))
+    compared = _few(compared, seen["n"])
     linked = compared.groupBy("row").agg(F.sum("links").alias("links"))
     group = components(compared.where("row != root").select(F.col("row").alias("a"), F.col("root").alias("b")))
     sets = sets.join(linked, "row", "left").join(group, F.col("row") == F.col("node"), "left").select(*key, "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "row").alias("root"))

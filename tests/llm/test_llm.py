@@ -483,6 +483,32 @@ def test_similarity_join(spark, monkeypatch):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == classes and kept.count() == len(classes)
 
 
+def test_components_take_tasks_by_their_links(spark):
+    """Many steps run over few links, and the driver holds figures of every task: tasks do not follow the number of partitions."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)]
+    root = {k: k for e in edges for k in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("components", "")
+        found = chosenpath.components(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()
+    finally:
+        sc._jsc.sc().clearJobGroup()
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, found)) == sorted((k, r) for k, r in root.items() if k != r)
+    at = sc.statusTracker()
+    stages = {s for j in at.getJobIdsForGroup("components") for s in at.getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for i in map(at.getStageInfo, stages) if i]
+    assert sum(tasks) < 1500, tasks
+
+
 def test_similarity_join_on_odd_rows(spark, odd):
     got = chosenpath.join(odd).collect()
     assert len(got) == len(ODD) + 1
