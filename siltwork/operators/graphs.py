@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltwork.functions import text as X
 from siltwork.functions.checks import InvalidRows, Limits, at_most, unique
@@ -17,6 +21,8 @@ MAX_FILES, MAX_IMPORTS, MAX_SYMBOLS, MAX_REFERENCES, MAX_EDGES, MAX_FLOWS = 5_00
 CALLABLE = ["function", "arrow_function", "method", "controller"]
 #: Steps that labels spread between two checkpoints.
 STEPS = 6
+#: Edges, of those that a round of components leaves, that one task takes.
+FEW = 1 << 16
 
 
 def resolve_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,13 +50,14 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Rounds of colouring: labels of the least node that reaches a node, and of the least that it reaches, spread along the
     edges, both ways at once and ``STEPS`` steps between checkpoints. Nodes with equal labels both ways form a component and leave; of the other edges
     those stay whose ends have the same two labels, as the nodes of one component have. Edges that lead out of what is left
-    are pruned as long as many do. Every step is distributed; its joins are sorted and not broadcast, and what changed is
+    are pruned as long as many do. What rounds leave, once it is ``FEW`` edges at most, is one task's work, since a round of few
+    edges takes as long as one of many. Every other step is distributed; its joins are sorted and not broadcast, and what changed is
     counted by the job that changes it, so that the driver gets numbers alone."""
     shared_folder(edges.sparkSession)
     edges = edges.select("source", "target").distinct().checkpoint()
     loops = edges.where("source = target").select(F.col("source").alias("component"), F.col("source").alias("node"))
     live, n = _counted(edges.where("source != target"), F.lit(True))
-    done = []
+    done, out = [], T.StructType([T.StructField(c, edges.schema["source"].dataType) for c in ("component", "node")])
     for _ in range(most_rounds):
         while n:
             # A node on a cycle has an edge in and an edge out.
@@ -62,6 +69,9 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
                 break
         if not n:
             break
+        if done and n <= FEW:
+            done.append(live.coalesce(1).mapInPandas(_components, out))
+            break
         labels = _spread(live)
         done.append(labels.where("ahead = back").select(F.col("ahead").alias("component"), "node"))
         left = labels.where("ahead != back").select("node", F.struct("ahead", "back").alias("own"))
@@ -76,6 +86,26 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return out.join(size, "component").join(looped, "component", "left").where("n > 1 or looped").select("component", "node").distinct()
 
 
+def _components(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """component, node for the edges of one task, by the same rounds."""
+    edges = pd.concat(parts, ignore_index=True)
+    names, ends = np.unique(edges[["source", "target"]].to_numpy().ravel(), return_inverse=True)
+    source, target = ends.reshape(-1, 2).T
+    while len(source):
+        labels = []
+        for a, b in ((source, target), (target, source)):
+            label, old = np.arange(len(names)), None
+            while old is None or (label != old).any():
+                old = label.copy()
+                np.minimum.at(label, b, old[a])
+            labels.append(label)
+        node = np.unique(np.r_[source, target])
+        found = node[labels[0][node] == labels[1][node]]
+        yield pd.DataFrame({"component": names[labels[0][found]], "node": names[found]})
+        left = (labels[0][source] != labels[1][source]) & (labels[0][source] == labels[0][target]) & (labels[1][source] == labels[1][target])
+        source, target = source[left], target[left]
+
+
 def _counted(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
     """The checkpointed rows, and for how many of them ``what`` holds; counted by the job that writes them."""
     seen = Observation()

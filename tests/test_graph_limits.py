@@ -136,3 +136,21 @@ def test_components_take_several_steps_between_checkpoints(spark, monkeypatch):
     assert len(plans) < 40
     most = max(plans, key=lambda p: p.count("SortMergeJoin"))
     assert most.count("Exchange") <= 2 * most.count("SortMergeJoin") + 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_what_a_round_leaves_is_one_jobs_work(spark, monkeypatch, kind):
+    """Rings that lead into each other, so that a round finds but one or two of them: at most a spread, not one a round; without ``FEW`` the same."""
+    name = (lambda i: i) if kind == "long" else (lambda i: f"n{i:03}")
+    rings = [[10 * c + i for i in range(4)] for c in range(12)]
+    pairs = [(r[i], r[(i + 1) % 4]) for r in rings for i in range(4)] + [(a[1], b[2]) for a, b in zip(rings, rings[1:])] + [(rings[0][0], 500), (501, rings[5][1]), (502, 502)]
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"source {kind}, target {kind}")
+    want = {(name(r[0]), name(i)) for r in rings for i in r} | {(name(502), name(502))}
+    spreads, spread = [], graphs._spread
+    monkeypatch.setattr(graphs, "_spread", lambda e: (spreads.append(1), spread(e))[1])
+    assert {tuple(r) for r in graphs.strongly_connected(edges).collect()} == want
+    assert len(spreads) == 1
+    if kind == "long":
+        monkeypatch.setattr(graphs, "FEW", 0)
+        assert {tuple(r) for r in graphs.strongly_connected(edges).collect()} == want
+        assert len(spreads) > 2

@@ -78,3 +78,30 @@ def test_memory_does_not_grow_with_centres_or_precision(spark, monkeypatch):
         got = [found(ivf.nearest(df, q, 4, probes=2, centres=centres)) for q in (double, double.withColumn("query", F.col("query").cast("array<float>")))]
     assert got == [exact(rows, 4)] * 2
     assert [x for x in kept if x] == ["array<float>", "array<double>", "array<float>", "array<float>"]
+
+
+def test_near_copies_and_one_listing_of_points_that_ask(spark, monkeypatch):
+    """Groups whose scores differ by less than single precision tells, in several blocks and slices; points that are the queries
+    as well get their lists once."""
+    monkeypatch.setattr(ivf, "PART", 128)
+    monkeypatch.setattr(ivf, "SLICE", 24)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4, 8))[np.arange(600) % 5 % 4] + 5e-4 * rng.standard_normal((600, 8))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    df, kept, frame = spark.createDataFrame(rows, POINTS).repartition(3), [], type(spark.range(1))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "checkpoint", lambda self, f=frame.checkpoint: (kept.append("vector" in self.columns), f(self))[1])
+        got = ivf.neighbour_graph(df, 4).orderBy("source", F.desc("score"), "target").collect()
+    assert sum(kept) == 1
+    u = ivf._units(x)
+    score = np.array([np.einsum("ij,ij->i", np.broadcast_to(v, u.shape), u) for v in u])
+    np.fill_diagonal(score, -np.inf)
+    assert [(r.source, r.target) for r in got] == [(i, j) for i in range(600) for j in np.lexsort((np.arange(600), -score[i]))[:4]]
+    # Of loose bounds and tight ones, no pair that counts is left out, and no row is ranked whole.
+    u = ivf._units(x[::3])
+    s, f4 = u @ u.T, u.astype("f4")
+    for least in (np.full(200, -np.inf), np.sort(s, 1)[:, -4]):
+        hit = ivf._among(f4 @ f4.T, least, 24 * 2.0**-24, 4)
+        assert (hit | (s < np.sort(s, 1)[:, -4:-3])).all()
+    loose = rng.standard_normal((64, 4096)).astype("f4")
+    assert ivf._among(loose, np.full(64, -np.inf), 1e-6, 3).sum() < 64 * 40
