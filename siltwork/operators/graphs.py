@@ -80,10 +80,11 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     found = reduce(DataFrame.unionByName, done) if done else loops.limit(0)
-    out = found.unionByName(loops.join(found.select("node").hint("merge"), "node", "left_anti").select("component", "node"))
-    size = out.groupBy("component").agg(F.count("*").alias("n")).hint("merge")
-    looped = loops.select("component").distinct().withColumn("looped", F.lit(True)).hint("merge")
-    return out.join(size, "component").join(looped, "component", "left").where("n > 1 or looped").select("component", "node").distinct()
+    # Of a large component one row, that of its least node, looks for another member or a loop.
+    more = found.where("component != node")
+    known = more.select("component").unionByName(loops.select("component")).distinct().hint("merge")
+    heads = found.where("component = node").unionByName(loops.join(found.select("node").hint("merge"), "node", "left_anti").select("component", "node"))
+    return more.unionByName(heads.join(known, "component", "left_semi").select("component", "node"))
 
 
 def _components(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

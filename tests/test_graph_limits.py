@@ -154,3 +154,12 @@ def test_what_a_round_leaves_is_one_jobs_work(spark, monkeypatch, kind):
         monkeypatch.setattr(graphs, "FEW", 0)
         assert {tuple(r) for r in graphs.strongly_connected(edges).collect()} == want
         assert len(spreads) > 2
+
+
+def test_a_large_component_is_not_one_tasks_work(spark):
+    """A ring of most of the nodes, with loops inside and outside of components; no task reads all rows of the ring."""
+    pairs = [(i, (i + 1) % 30) for i in range(30)] + [(0, 0), (5, 5), (40, 40), (41, 40), (50, 51), (51, 50), (3, 60)]
+    got = graphs.strongly_connected(spark.createDataFrame(pairs, "source long, target long"))
+    assert sorted(map(tuple, got.collect())) == sorted([(0, i) for i in range(30)] + [(40, 40), (50, 50), (50, 51)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "count(" not in plan and "Join Inner" not in plan
